@@ -61,8 +61,8 @@ def split_placeholders(part: Column, specs: Sequence[ModalitySpec]) -> Column:
     return _split_keeping(part, "|".join(re.escape(s.token) for s in specs))
 
 
-def chat_pieces(chat: Column, specs: Sequence[ModalitySpec]) -> Column:
-    """``array<struct<text, instruction, placeholder>>`` in reading order."""
+def part_pieces(parts: Column, specs: Sequence[ModalitySpec]) -> Column:
+    """``array<struct<text, instruction, placeholder>>`` in reading order, from the parts of a chat."""
     tokens = [s.token for s in specs]
 
     def cut(part: Column) -> Column:
@@ -73,7 +73,7 @@ def chat_pieces(chat: Column, specs: Sequence[ModalitySpec]) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(split_instructions(chat), cut))
+    return F.flatten(F.transform(parts, cut))
 
 
 def placeholder_error(pieces: Column) -> Column:

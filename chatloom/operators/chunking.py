@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatloom import fixed_values as fv
 from chatloom.functions.chat import count_tokens, tokenize
 from chatloom.functions.text import strip
+from chatloom.operators.once import compute_once
 
 PAD_TOKEN = "[PAD]"
 
@@ -47,9 +48,8 @@ def pack_sentences(lengths: Column, window: int) -> Column:
 
 def chunk_documents(df: DataFrame, text: str, window: int = fv.DOCUMENT_WINDOW, out: str = "chunks") -> DataFrame:
     """Add ``chunks``: ``array<struct<tokens, sentences, text>>``. An empty text gives one empty chunk."""
-    split = df.withColumn("_sentences", split_sentences(F.col(text)))
-    sized = split.withColumn("_sizes", F.transform("_sentences", lambda s: count_tokens(s)))
-    packed = sized.withColumn("_packed", pack_sentences(F.col("_sizes"), window))
+    split = compute_once(df, _sentences=split_sentences(F.col(text)))
+    packed = split.withColumn("_packed", pack_sentences(F.transform("_sentences", count_tokens), window))
     chunks = F.transform(
         "_packed",
         lambda c: F.struct(
@@ -58,7 +58,7 @@ def chunk_documents(df: DataFrame, text: str, window: int = fv.DOCUMENT_WINDOW,
             F.array_join(F.slice(F.col("_sentences"), c["first"] + 1, c["n"]), " ").alias("text"),
         ),
     )
-    return packed.withColumn(out, chunks).drop("_sentences", "_sizes", "_packed")
+    return compute_once(packed, **{out: chunks}).drop("_sentences", "_packed")
 
 
 def chunk_texts(chunks: Column) -> Column:
@@ -72,8 +72,8 @@ def cap_chunks(df: DataFrame, max_chunks: int, chunks: str = "chunks") -> DataFr
 
 def clip_documents(df: DataFrame, documents: str, window: int = fv.DOCUMENT_WINDOW, out: str = "clipped") -> DataFrame:
     """Add ``array<struct<tokens, mask>>``: the documents' tokens cut to the window and padded to the row's longest."""
-    cut = df.withColumn("_cut", F.transform(documents, lambda d: F.slice(tokenize(d), 1, window)))
-    longest = cut.withColumn("_longest", F.aggregate("_cut", F.lit(0), lambda acc, t: F.greatest(acc, F.size(t))))
+    cut = compute_once(df, _cut=F.transform(documents, lambda d: F.slice(tokenize(d), 1, window)))
+    longest = compute_once(cut, _longest=F.aggregate("_cut", F.lit(0), lambda acc, t: F.greatest(acc, F.size(t))))
     padded = F.transform(
         "_cut",
         lambda t: F.struct(
@@ -83,4 +83,4 @@ def clip_documents(df: DataFrame, documents: str, window: int = fv.DOCUMENT_WIND
             ).alias("mask"),
         ),
     )
-    return longest.withColumn(out, padded).drop("_cut", "_longest")
+    return compute_once(longest, **{out: padded}).drop("_cut", "_longest")

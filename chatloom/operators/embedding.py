@@ -34,7 +34,7 @@ def find_spans(encoded: DataFrame, key: str, specs: Sequence[ModalitySpec], ids:
     are exploded.
     """
     codes = [s.code for s in specs]
-    spots = encoded.select(key, F.posexplode(ids).alias("pos", "code")).filter(F.col("code").isin(*codes))
+    spots = encoded.select(key, F.posexplode_outer(ids).alias("pos", "code")).filter(F.col("code").isin(*codes))
     by_code = Window.partitionBy(key, "code").orderBy("pos")
     islands = spots.withColumn("island", F.col("pos") - F.row_number().over(by_code))
     runs = islands.groupBy(key, "code", "island").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("run"))
@@ -86,8 +86,8 @@ def masked_mean_pool(vectors: DataFrame, group: str, vector: str, mask: str) ->
 
     (group, dim) sums are combined before the shuffle, so a group of any size ends as one partial row per task.
     """
-    flat = vectors.select(group, F.col(mask).cast("double").alias("_m"), F.posexplode(vector).alias("dim", "_v"))
-    sums = flat.groupBy(group, "dim").agg(
+    flat = vectors.select(group, F.col(mask).cast("double").alias("_m"), F.posexplode_outer(vector).alias("dim", "_v"))
+    sums = flat.filter(F.col("dim").isNotNull()).groupBy(group, "dim").agg(
         F.sum(F.col("_m") * F.col("_v").cast("double")).alias("_s"), F.sum("_m").alias("_n")
     )
     mean = F.when(F.col("_n") == 0, F.lit(float("nan"))).otherwise(F.col("_s") / F.nullif(F.col("_n"), F.lit(0.0)))

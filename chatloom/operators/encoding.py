@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatloom import fixed_values as fv
 from chatloom.functions import chat
 from chatloom.operators.joins import MAX_BROADCAST_ROWS, attach_by_frequency
+from chatloom.operators.once import compute_once
 from chatloom.operators.ranking import hash_positions
 from chatloom.registry import ModalitySpec
 from chatloom.session import stage
@@ -31,10 +32,10 @@ def special_tokens(given: dict[str, int | None]) -> dict[str, int]:
 def with_pieces(rows: DataFrame, specs: Sequence[ModalitySpec], messages: str = "messages") -> DataFrame:
     """Add the rendered ``chat``, its ``pieces`` and the ``error`` that keeps the row from being encoded (or NULL)."""
     msgs = F.col(messages)
-    # rendered first, so that the (long) expressions below refer to a column instead of repeating it
-    rendered = rows.withColumn("chat", chat.render_chat(msgs)).withColumn("_role_error", chat.role_error(msgs))
-    cut = rendered.withColumn("pieces", chat.chat_pieces(F.col("chat"), specs))
-    return cut.withColumn("error", F.coalesce("_role_error", chat.placeholder_error(F.col("pieces")))).drop("_role_error")
+    rendered = compute_once(rows, chat=chat.render_chat(msgs))
+    parted = compute_once(rendered, _parts=chat.split_instructions(F.col("chat")))
+    cut = compute_once(parted, pieces=chat.part_pieces(F.col("_parts"), specs)).drop("_parts")
+    return cut.withColumn("error", F.coalesce(chat.role_error(msgs), chat.placeholder_error(F.col("pieces"))))
 
 
 def token_rows(pieces_rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) -> DataFrame:
@@ -113,6 +114,10 @@ def encode_errors(rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) -> D
     return with_pieces(rows, specs).select(key, "error", marks.alias("has_marks"))
 
 
+def _is_token(token: str):
+    return lambda piece: piece["text"] == token
+
+
 def placeholder_counts(rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) -> DataFrame:
     """``(key, name, placeholders, width)`` per row and modality, counted over the rendered chat's pieces."""
     pieces = with_pieces(rows, specs).select(key, "pieces")
@@ -120,7 +125,7 @@ def placeholder_counts(rows: DataFrame, key: str, specs: Sequence[ModalitySpec])
         *[
             F.struct(
                 F.lit(s.name).alias("name"),
-                F.size(F.filter("pieces", lambda p, s=s: p["text"] == s.token)).cast("bigint").alias("placeholders"),
+                F.size(F.filter("pieces", _is_token(s.token))).cast("bigint").alias("placeholders"),
                 F.lit(s.width).cast("bigint").alias("width"),
             )
             for s in specs
@@ -160,7 +165,7 @@ def validate_items(rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) ->
 def piece_offsets(rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) -> DataFrame:
     """First position of every piece in the encoded sequence: ``(key, piece, offset, length, instruction)``."""
     pieces = with_pieces(rows, specs).filter(F.col("error").isNull()).select(
-        key, F.posexplode("pieces").alias("piece", "p")
+        key, F.posexplode_outer("pieces").alias("piece", "p")
     )
     sized = pieces.select(
         key,

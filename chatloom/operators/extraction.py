@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions.text import replace_literal, stable_id, strip
+from chatloom.operators.once import compute_once
 
 
 def _anchored(pattern: str) -> str:
@@ -44,7 +45,7 @@ def extract_paper_qa(df: DataFrame, instruction: str, input_: str, output: str)
     item slot in the prompt marks where the document goes.
     """
     text = F.col(instruction)
-    matched = df.withColumn("_which", _first_match(text, fv.PAPER_PATTERNS))
+    matched = compute_once(df, _which=_first_match(text, fv.PAPER_PATTERNS))
 
     def group(number: int):
         pattern = _anchored(fv.PAPER_PATTERNS[number])
@@ -69,7 +70,7 @@ def extract_paper_qa(df: DataFrame, instruction: str, input_: str, output: str)
 def extract_long_qa(df: DataFrame, text: str) -> DataFrame:
     """Add ``id, document, prompt, answer, reject_reason`` for rows of long texts."""
     source = F.col(text)
-    matched = df.withColumn("_which", _first_match(source, fv.LONG_TEXT_PATTERNS))
+    matched = compute_once(df, _which=_first_match(source, fv.LONG_TEXT_PATTERNS))
 
     def group(number: int):
         pattern = _anchored(fv.LONG_TEXT_PATTERNS[number])
@@ -79,12 +80,13 @@ def extract_long_qa(df: DataFrame, text: str) -> DataFrame:
     document = _by_match("_which", [group(i)(1) for i in count])
     prompt = _by_match("_which", [_fill(fv.LONG_TEXT_PROMPTS[i], group(i)) for i in count])
     answer = _by_match("_which", [group(i)(fv.LONG_TEXT_ANSWER_GROUPS[i]) for i in count])
-    out = matched.select(
-        *df.columns,
-        stable_id(fv.LONG_TEXT_ID_PREFIX, source).alias("id"),
-        document.alias("document"),
-        prompt.alias("prompt"),
-        replace_literal(answer, " .", ".").alias("answer"),
+    found = compute_once(
+        matched,
+        id=stable_id(fv.LONG_TEXT_ID_PREFIX, source),
+        document=document,
+        prompt=prompt,
+        answer=replace_literal(answer, " .", "."),
     )
+    out = found.select(*df.columns, "id", "document", "prompt", "answer")
     empty = (F.coalesce("document", F.lit("")) == "") | (F.coalesce("answer", F.lit("")) == "")
     return out.withColumn("reject_reason", F.when(empty, "no document found"))

@@ -68,6 +68,10 @@ def attach_by_frequency(
     return frequent.unionByName(joined).unionByName(keyless, allowMissingColumns=True)
 
 
+def _field(name: str):
+    return lambda row: row[name]
+
+
 def gather_rows(draws: DataFrame, data: DataFrame, example: str, fields: list[str]) -> DataFrame:
     """Per example the drawn rows' fields as arrays, in drawn order.
 
@@ -78,4 +82,4 @@ def gather_rows(draws: DataFrame, data: DataFrame, example: str, fields: list[st
     ordered = joined.groupBy(example).agg(
         F.array_sort(F.collect_list(F.struct("slot", *[F.col(f).alias(f"_{f}") for f in fields]))).alias("_rows")
     )
-    return ordered.select(example, *[F.transform("_rows", lambda r, f=f: r[f"_{f}"]).alias(f) for f in fields])
+    return ordered.select(example, *[F.transform("_rows", _field(f"_{f}")).alias(f) for f in fields])

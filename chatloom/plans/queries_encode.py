@@ -123,7 +123,7 @@ def split_instructions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def split_placeholders(spark: SparkSession, sf: str) -> DataFrame:
     pieces = encoding.with_pieces(standins.chats(spark, sf), SPECS)
-    return pieces.select("conv_id", F.posexplode("pieces").alias("piece", "p")).select(
+    return pieces.select("conv_id", F.posexplode_outer("pieces").alias("piece", "p")).select(
         "conv_id", F.col("piece").cast("bigint").alias("piece"), "p.instruction", "p.placeholder", "p.text"
     )
 
@@ -174,7 +174,7 @@ FROM s LEFT JOIN p USING (token)""",
 )
 def modality_specs(spark: SparkSession, sf: str) -> DataFrame:
     """Every specification with the positions its placeholders would fill in the chats."""
-    pieces = encoding.with_pieces(standins.chats(spark, sf), SPECS).select(F.explode("pieces").alias("p"))
+    pieces = encoding.with_pieces(standins.chats(spark, sf), SPECS).select(F.explode_outer("pieces").alias("p"))
     specs = spec_table(spark)
     counts = pieces.filter("p.placeholder").groupBy(F.col("p.text").alias("token")).agg(F.count(F.lit(1)).alias("n"))
     return specs.join(counts, "token", "left").select(
@@ -326,7 +326,7 @@ SELECT k AS doc_id, c AS chunk, tokens, sentences, text FROM chunks""",
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = standins.table(spark, sf, "documents").select("doc_id", "text")
     chunked = chunking.chunk_documents(docs, "text", window=64)
-    return chunked.select("doc_id", F.posexplode("chunks").alias("chunk", "c")).select(
+    return chunked.select("doc_id", F.posexplode_outer("chunks").alias("chunk", "c")).select(
         "doc_id", F.col("chunk").cast("bigint").alias("chunk"), "c.tokens", "c.sentences", "c.text"
     )
 
@@ -342,7 +342,7 @@ SELECT k AS doc_id, c AS chunk, md5(array_to_string(l || list_transform(range(n
 def clip_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = standins.table(spark, sf, "documents").select("doc_id", "text")
     chunked = chunking.chunk_documents(docs, "text").withColumn("texts", chunking.chunk_texts(F.col("chunks")))
-    clipped = chunking.clip_documents(chunked, "texts").select("doc_id", F.posexplode("clipped").alias("chunk", "c"))
+    clipped = chunking.clip_documents(chunked, "texts").select("doc_id", F.posexplode_outer("clipped").alias("chunk", "c"))
     return clipped.select(
         "doc_id",
         F.col("chunk").cast("bigint").alias("chunk"),
