@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["queries_text", "queries_encode"]
+_MODULES = ["queries_text", "queries_encode", "queries_build", "queries_vectors", "queries_io"]
 
 
 def _load() -> None:
