@@ -119,11 +119,16 @@ def frame_indices(key: Column, clip_len: int, rate: int, frames: Column, salt: s
     NULL if the segment is not longer than the window.
     """
     window = int(clip_len * rate)
-    end = F.lit(window).cast("bigint") + pick_index(key, salt, F.greatest(frames.cast("bigint") - window, F.lit(1)))
-    start = end - window
+    last = F.lit(window).cast("bigint") + pick_index(key, salt, F.greatest(frames.cast("bigint") - window, F.lit(1)))
     steps = max(clip_len - 1, 1)
-    at = F.transform(
-        F.sequence(F.lit(0), F.lit(clip_len - 1)),
-        lambda i: F.floor(F.least((end - 1).cast("double"), start + i.cast("double") * (window / steps))).cast("bigint"),
-    )
-    return F.when(frames > window, at)
+
+    def spaced(end: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(clip_len - 1)),
+            lambda i: F.floor(
+                F.least((end - 1).cast("double"), (end - window) + i.cast("double") * (window / steps))
+            ).cast("bigint"),
+        )
+
+    # a list of one, so that the hash is taken once and not for every frame
+    return F.when(frames > window, F.element_at(F.transform(F.array(last), spaced), 1))

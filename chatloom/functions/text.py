@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions.hashing import coin, pick_index, pick_one
 
-# every character Python's str.strip() removes
-_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Every character Python's str.strip() removes
+_BLANK = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 
 
 def strip(text: Column) -> Column:
-    """Remove blanks and line breaks from both ends (``trim`` would leave the line breaks)."""
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{_BLANK}+", ""), rf"{_BLANK}+\z", "")
+    """Remove blanks and line breaks from both ends (plain ``trim`` would leave the line breaks)."""
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def replace_literal(text: Column, old: str, new: Column | str) -> Column:
@@ -74,11 +79,13 @@ def too_visual(path: Column, contents: Column) -> Column:
     Messages are tested one at a time so that no match spans two of them. A carriage return and a form feed count
     as the printed escapes ``\\r`` and ``\\x0c``, whose last letter can complete a word.
     """
+    def printed(text: Column) -> Column:
+        return F.lower(F.replace(F.replace(text, F.lit("\r"), F.lit("\\r")), F.lit("\f"), F.lit("\\x0c")))
+
     def hit(text: Column) -> Column:
-        printed = F.lower(F.replace(F.replace(text, F.lit("\r"), F.lit("\\r")), F.lit("\f"), F.lit("\\x0c")))
-        return printed.rlike("|".join(fv.TOO_VISUAL_WORDS))
+        return reduce(lambda a, b: a | b, [text.contains(word) for word in fv.TOO_VISUAL_WORDS])
 
-    return path.contains(fv.TOO_VISUAL_PATH) | F.exists(contents, hit)
+    return path.contains(fv.TOO_VISUAL_PATH) | F.exists(F.transform(contents, printed), hit)
 
 
 def caption_lines(captions: Column, style: str) -> Column:

@@ -13,8 +13,12 @@ from chatloom.operators.once import compute_once
 
 
 def _anchored(pattern: str) -> str:
-    """Match from the start of the text only; a dot is any character but a line feed."""
-    return rf"(?d)\A(?:{pattern})"
+    """Match from the start of the text only; a dot is any character but a line feed.
+
+    "Any character" is written as a dot in single-line mode: the class of a thing and its opposite means the same
+    but is several times slower to match.
+    """
+    return rf"(?d)\A(?:{pattern})".replace(r"[\s\S]+", "(?s:.+)").replace("(?s:.+)?", "(?s:.+?)")
 
 
 def _fill(template: str, group) -> Column:

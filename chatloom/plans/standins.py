@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from chatloom.functions import media
 from chatloom.operators.messages import assemble_messages, qa_pairs
 from chatloom.operators.ranking import hash_positions
+from chatloom.session import spread
 from chatloom.sources.files import read_table
 
 MEDIA_ROOT = "/media"
 
 
+# row key of each table that feeds row-local text work
+KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "lineitem": "l_orderkey"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, sf, name)
+    df = read_table(spark, sf, name)
+    return spread(df, KEYS[name]) if name in KEYS else df
 
 
 def plain_chats(spark: SparkSession, sf: str) -> DataFrame:
