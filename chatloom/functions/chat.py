@@ -58,6 +58,8 @@ def is_instruction(part: Column) -> Column:
 
 
 def split_placeholders(part: Column, specs: Sequence[ModalitySpec]) -> Column:
+    if not specs:
+        return F.array(part)
     return _split_keeping(part, "|".join(re.escape(s.token) for s in specs))
 
 

@@ -36,8 +36,8 @@ def decode_outputs(outputs: DataFrame, key: str, ids: str, prompt_length: str, v
         F.expr(f"slice({ids}, cast({prompt_length} as int) + 1, greatest(size({ids}) - cast({prompt_length} as int), 0))"),
         lambda i: ~i.isin(*special_ids) & (i >= 0),
     )
-    flat = outputs.select(key, F.posexplode_outer(answer).alias("pos", "id"))
-    words = attach_by_frequency(flat, vocab, "id", "freq")
+    flat = outputs.select(key, F.posexplode_outer(answer).alias("pos", "token_id"))
+    words = attach_by_frequency(flat, vocab, "token_id", "freq")
     packed = words.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("_w")
     )

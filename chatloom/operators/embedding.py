@@ -53,14 +53,13 @@ def find_spans(encoded: DataFrame, key: str, specs: Sequence[ModalitySpec], ids:
     )
 
 
-def embed_tokens(token_ids: DataFrame, vectors: DataFrame, id_: str = "id", freq: str = "freq") -> DataFrame:
-    """Attach the vector columns of ``vectors`` (id, freq, ...) to text positions.
+def embed_tokens(token_ids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Attach the vector columns of ``vectors`` (token_id, freq, ...) to text positions.
 
     Placeholder positions (negative ids) stay without a vector: they count as zero until an item is scattered there.
     """
-    wanted = token_ids.withColumn("_id", F.when(F.col(id_) >= 0, F.col(id_)))
-    renamed = vectors.withColumnRenamed("id", "_id")
-    return attach_by_frequency(wanted, renamed, "_id", freq).drop("_id")
+    wanted = token_ids.withColumn("_text_id", F.when(F.col("token_id") >= 0, F.col("token_id")))
+    return attach_by_frequency(wanted, vectors.withColumnRenamed("token_id", "_text_id"), "_text_id", "freq").drop("_text_id")
 
 
 def scatter_items(spans: DataFrame, slots: DataFrame, key: str) -> DataFrame:

@@ -50,7 +50,7 @@ def token_rows(pieces_rows: DataFrame, key: str, specs: Sequence[ModalitySpec])
 
 
 def build_vocab(tokens: DataFrame, column: str = "token", min_freq: int = 1) -> DataFrame:
-    """Vocabulary ``(token, id, freq)`` of a column of tokens; NULL tokens (placeholders) are skipped.
+    """Vocabulary ``(token, token_id, freq)`` of a column of tokens; NULL tokens (placeholders) are skipped.
 
     Counting combines on the map side, so frequent words cost nothing extra. Ids are positions in hash order, which
     distributes, whereas alphabetical ranks would need a global sort. Words rarer than ``min_freq`` are left out and
@@ -62,29 +62,29 @@ def build_vocab(tokens: DataFrame, column: str = "token", min_freq: int = 1) ->
     )
     counts = stage(counts, "token_counts")
     words = counts.filter(~F.col("token").isin(*SPECIAL_IDS) & (F.col("freq") >= min_freq))
-    ranked = hash_positions(words, ["token"], "vocab", "id").select(
-        "token", (F.col("id") + FIRST_WORD_ID).cast("bigint").alias("id"), "freq"
+    ranked = hash_positions(words, ["token"], "vocab", "token_id").select(
+        "token", (F.col("token_id") + FIRST_WORD_ID).cast("bigint").alias("token_id"), "freq"
     )
-    specials = spark.createDataFrame(list(SPECIAL_IDS.items()), "token string, id bigint")
+    specials = spark.createDataFrame(list(SPECIAL_IDS.items()), "token string, token_id bigint")
     present = specials.join(F.broadcast(counts.filter(F.col("token").isin(*SPECIAL_IDS))), "token", "left")
-    return stage(ranked.unionByName(present.select("token", "id", F.coalesce("freq", F.lit(0)).alias("freq"))), "vocab")
+    return stage(ranked.unionByName(present.select("token", "token_id", F.coalesce("freq", F.lit(0)).alias("freq"))), "vocab")
 
 
 def attach_ids(tokens: DataFrame, vocab: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Give every position its id: the placeholder's code, the word's id, or the unknown id."""
     found = attach_by_frequency(tokens, vocab, "token", "freq", max_broadcast_rows)
-    return found.withColumn("id", F.coalesce("code", "id", F.lit(UNK_ID).cast("bigint")))
+    return found.withColumn("token_id", F.coalesce("code", "token_id", F.lit(UNK_ID).cast("bigint")))
 
 
 def collect_sequences(token_ids: DataFrame, key: str) -> DataFrame:
     """``(key, input_ids, labels)``: ids in order; labels equal the ids where trained and -100 elsewhere."""
-    label = F.when(F.col("trained"), F.col("id")).otherwise(F.lit(fv.IGNORE_INDEX).cast("bigint"))
+    label = F.when(F.col("trained"), F.col("token_id")).otherwise(F.lit(fv.IGNORE_INDEX).cast("bigint"))
     packed = token_ids.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id", label.alias("label")))).alias("_s")
+        F.array_sort(F.collect_list(F.struct("pos", "token_id", label.alias("label")))).alias("_s")
     )
     return packed.select(
         key,
-        F.transform("_s", lambda s: s["id"]).alias("input_ids"),
+        F.transform("_s", lambda s: s["token_id"]).alias("input_ids"),
         F.transform("_s", lambda s: s["label"]).alias("labels"),
     )
 

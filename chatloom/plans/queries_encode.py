@@ -204,7 +204,7 @@ def good_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.token_rows(rows, "conv_id", SPECS)
 
 
-@query("build_vocab", f"WITH {SQL_TOKENS}, {sql_vocab()} SELECT token, id::BIGINT AS id, freq FROM vocab")
+@query("build_vocab", f"WITH {SQL_TOKENS}, {sql_vocab()} SELECT token, id::BIGINT AS token_id, freq FROM vocab")
 def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.build_vocab(good_tokens(spark, sf))
 

@@ -45,18 +45,18 @@ def find_spans(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "embed_tokens",
     f"""WITH {sql_ids()}, n AS (SELECT count(*) AS n FROM embeddings)
-SELECT i.conv_id, i.pos, i.id::BIGINT AS id, e.vec_id, {sql_checksum('e.embedding')} AS vec_check
+SELECT i.conv_id, i.pos, i.id::BIGINT AS token_id, e.vec_id, {sql_checksum('e.embedding')} AS vec_check
 FROM ids i CROSS JOIN n LEFT JOIN embeddings e ON i.id >= 0 AND e.vec_id = i.id % n.n""",
 )
 def embed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Every position with the checksum of its vector; placeholder positions have none yet."""
     tokens = stage(good_tokens(spark, sf), "tokens")
     vocab = encoding.build_vocab(tokens)
-    ids = encoding.attach_ids(tokens, vocab).select("conv_id", "pos", "id")
+    ids = encoding.attach_ids(tokens, vocab).select("conv_id", "pos", "token_id")
     table = standins.table(spark, sf, "embeddings")
     entries = standins.token_vectors(vocab, table, table.count())
     checked = stage(entries.withColumn("vec_check", vectors.checksum(F.col("embedding"))).drop("embedding"), "token_vectors")
-    return embedding.embed_tokens(ids, checked).select("conv_id", "pos", "id", "vec_id", "vec_check")
+    return embedding.embed_tokens(ids, checked).select("conv_id", "pos", "token_id", "vec_id", "vec_check")
 
 
 _ITEMS = """items AS (SELECT conv_id, 'vision_clip' AS name, unnest(range(conv_id % 4 - CASE WHEN conv_id % 10 = 6 AND conv_id % 4 > 0 THEN 1 ELSE 0 END

@@ -285,8 +285,8 @@ def speech(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_vectors(vocab: DataFrame, embeddings: DataFrame, n_vectors: int) -> DataFrame:
-    """``id, freq, vec_id, embedding``: each vocabulary entry takes a row of the embeddings table."""
-    return vocab.withColumn("vec_id", F.col("id") % n_vectors).join(embeddings.select("vec_id", "embedding"), "vec_id").select(
-        "id", "freq", "vec_id", "embedding"
+    """``token_id, freq, vec_id, embedding``: each vocabulary entry takes a row of the embeddings table."""
+    return vocab.withColumn("vec_id", F.col("token_id") % n_vectors).join(embeddings.select("vec_id", "embedding"), "vec_id").select(
+        "token_id", "freq", "vec_id", "embedding"
     )
 
