@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatloom import fixed_values as fv
 from chatloom.operators.joins import attach_by_frequency
 from chatloom.registry import ModalitySpec
 
@@ -93,15 +92,15 @@ def masked_mean_pool(vectors: DataFrame, group: str, vector: str, mask: str) ->
     return sums.select(group, F.col("dim").cast("bigint").alias("dim"), mean.alias("mean"))
 
 
-def supervised_loss(encoded: DataFrame, key: str, nll: DataFrame, by: list[str], labels: str = "labels") -> DataFrame:
+def supervised_loss(positions: DataFrame, key: str, nll: DataFrame, by: list[str]) -> DataFrame:
     """Mean negative log likelihood over the positions whose next token is trained.
 
-    Position t predicts token t + 1, so its label is the next one; the shift happens inside the row. ``nll`` has
-    (key, pos, nll). One mean over all positions of a group ``by``, so long rows weigh more.
+    ``positions`` has (key, pos, trained) and the columns ``by``; ``nll`` has (key, pos, nll). Position t predicts
+    token t + 1, so the trained positions are simply moved one to the left; the first predicts nothing before it.
+    One mean over all positions of a group, so long rows weigh more.
     """
-    shifted = encoded.select(key, *by, F.posexplode(F.expr(f"slice({labels}, 2, greatest(size({labels}) - 1, 0))")).alias("pos", "next"))
-    trained = shifted.filter(F.col("next") != fv.IGNORE_INDEX).select(key, *by, F.col("pos").cast("bigint").alias("pos"))
-    return trained.join(nll, [key, "pos"]).groupBy(*by).agg(
+    predicting = positions.filter(F.col("trained") & (F.col("pos") > 0)).select(key, *by, (F.col("pos") - 1).alias("pos"))
+    return predicting.join(nll, [key, "pos"]).groupBy(*by).agg(
         F.avg("nll").alias("loss"), F.count(F.lit(1)).alias("positions")
     )
 

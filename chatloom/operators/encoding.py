@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions import chat
+from chatloom.functions.text import count_literal
 from chatloom.operators.joins import MAX_BROADCAST_ROWS, attach_by_frequency
 from chatloom.operators.once import compute_once
 from chatloom.operators.ranking import hash_positions
@@ -96,7 +97,10 @@ def encode_chat(
     vocab: DataFrame | None = None,
     min_freq: int = 1,
 ) -> DataFrame:
-    """Encode chat rows. Rows with an error are left out; see ``encode_errors`` and ``fallback_next``.
+    """Encode chat rows. Rows with an error are left out; see ``fallback_next``.
+
+    A chat row is one record with all its messages. For chats too long for that, ``operators.turns`` encodes turn by
+    turn and gives the same sequence in pieces.
 
     Without a vocabulary one is built from the rows themselves.
     """
@@ -107,40 +111,11 @@ def encode_chat(
     return collect_sequences(attach_ids(tokens, vocab), key)
 
 
-def encode_errors(rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) -> DataFrame:
-    """Per row the error, and whether its text itself holds instruction marks (which changes how it is split)."""
-    texts = F.transform("messages", lambda m: m["content"])
-    marks = F.exists(texts, lambda t: t.contains(fv.INST_OPEN) | t.contains(fv.INST_CLOSE))
-    return with_pieces(rows, specs).select(key, "error", marks.alias("has_marks"))
-
-
-def _is_token(token: str):
-    return lambda piece: piece["text"] == token
-
-
-def placeholder_counts(rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) -> DataFrame:
-    """``(key, name, placeholders, width)`` per row and modality, counted over the rendered chat's pieces."""
-    pieces = with_pieces(rows, specs).select(key, "pieces")
-    per_spec = F.array(
-        *[
-            F.struct(
-                F.lit(s.name).alias("name"),
-                F.size(F.filter("pieces", _is_token(s.token))).cast("bigint").alias("placeholders"),
-                F.lit(s.width).cast("bigint").alias("width"),
-            )
-            for s in specs
-        ]
-    )
-    return pieces.select(key, F.inline(per_spec))
-
-
 def validate_items(rows: DataFrame, key: str, specs: Sequence[ModalitySpec]) -> DataFrame:
     """Compare the placeholders of each modality with the items the row carries; a NULL item list counts as empty."""
     texts = F.transform("messages", lambda m: m["content"])
 
     def count(token: str) -> Column:
-        from chatloom.functions.text import count_literal
-
         return F.aggregate(texts, F.lit(0).cast("bigint"), lambda acc, t: acc + count_literal(t, token))
 
     per_spec = F.array(
@@ -181,54 +156,3 @@ def supervised_tokens(encoded: DataFrame, key: str, labels: str = "labels") -> D
     """Trained and masked positions per encoded row."""
     trained = F.size(F.filter(labels, lambda x: x != fv.IGNORE_INDEX)).cast("bigint")
     return encoded.select(key, trained.alias("trained_tokens"), (F.size(labels).cast("bigint") - trained).alias("masked_tokens"))
-
-
-def token_accounting(turns: DataFrame, key: str, order: str, role: str, content: str) -> DataFrame:
-    """Trained and masked tokens per chat, straight from the turns.
-
-    The same numbers as encoding every chat and counting its labels, for chats without placeholders, but no chat is
-    ever put together: each turn is counted where it is read and plain sums are combined before the shuffle, so a
-    single chat may hold any share of the turns. Two kinds of chats need care:
-
-    - chats that cannot be rendered are recognized from sums alone (every turn number from 0 on must occur once and
-      carry the role of its parity);
-    - in chats whose text holds ``[INST]`` or ``[/INST]``, a mark in one turn can change how the next is read. They
-      are found by a filter and go through the encoder; the two results are united.
-    """
-    text, who, at = F.col(content), F.col(role), F.col(order)
-    marked = F.coalesce(text.contains(fv.INST_OPEN) | text.contains(fv.INST_CLOSE), F.lit(False))
-    expected = F.when(at % 2 == 0, fv.ROLE_USER).otherwise(fv.ROLE_ASSISTANT)
-    n = F.when(marked, 0).otherwise(chat.count_tokens(chat.render_turn(who, text))).cast("bigint")
-    per_turn = turns.select(
-        key,
-        at.alias("_at"),
-        (who == expected).alias("_fits"),
-        marked.alias("_marked"),
-        F.when(who == fv.ROLE_USER, 0).otherwise(n).alias("_trained"),
-        F.when(who == fv.ROLE_USER, n).otherwise(0).alias("_masked"),
-    )
-    sums = per_turn.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_turns"),
-        F.min("_at").alias("_first"),
-        F.max("_at").alias("_last"),
-        F.bool_and("_fits").alias("_ok"),
-        F.bool_or("_marked").alias("_any_marked"),
-        F.sum("_trained").alias("_trained"),
-        F.sum("_masked").alias("_masked"),
-    )
-    plain = sums.filter(
-        F.col("_ok") & ~F.col("_any_marked") & (F.col("_first") == 0) & (F.col("_last") == F.col("_turns") - 1)
-    ).select(key, (F.col("_trained") + 1).alias("trained_tokens"), F.col("_masked").alias("masked_tokens"))
-
-    from chatloom.operators.messages import assemble_messages
-
-    suspects = turns.filter(marked).select(key).distinct()
-    chats = assemble_messages(turns.join(suspects, key, "left_semi"), key, order, who, text)
-    good = with_pieces(chats, []).filter(F.col("error").isNull())
-    entries = F.col("t")
-    odd = good.select(key, chat.piece_tokens(F.col("pieces"), []).alias("t")).select(
-        key,
-        F.size(F.filter(entries, lambda e: e["trained"])).cast("bigint").alias("trained_tokens"),
-        F.size(F.filter(entries, lambda e: ~e["trained"])).cast("bigint").alias("masked_tokens"),
-    )
-    return plain.unionByName(odd)

@@ -40,5 +40,6 @@ def fallback_next(rows: DataFrame, idx: str = "idx", ok: str = "ok", block: int
     mapping = fallback_map(rows.select(idx, ok), idx, ok, block)
     good = rows.filter(F.col(ok)).drop(ok)
     replaced = mapping.filter(F.col(idx) != F.col("source"))
-    filled = replaced.join(good.withColumnRenamed(idx, "source"), "source")
+    # a left join, so that the error of a missing replacement is not optimized away with an empty good side
+    filled = replaced.join(good.withColumnRenamed(idx, "source"), "source", "left")
     return good.withColumn("source", F.col(idx)).unionByName(filled)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions import chat
-from chatloom.operators import chunking, collating, encoding, fallback
+from chatloom.operators import chunking, collating, encoding, fallback, turns
 from chatloom.plans import standins
 from chatloom.plans.registry import query, quote, sql_order
 from chatloom.registry import bundle, spec_table
@@ -85,8 +85,7 @@ SELECT conv_id, sum(CASE WHEN instruction THEN 0 ELSE n END)::BIGINT AS trained_
   sum(CASE WHEN instruction THEN n ELSE 0 END)::BIGINT AS masked_tokens FROM n GROUP BY conv_id""",
 )
 def supervised_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    turns = standins.table(spark, sf, "conversations")
-    return encoding.token_accounting(turns, "conv_id", "turn", "role", "text")
+    return turns.token_accounting(standins.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
 # ---- rendering and splitting --------------------------------------------------------------------------------------------
@@ -134,7 +133,7 @@ def split_placeholders(spark: SparkSession, sf: str) -> DataFrame:
 SELECT conv_id, error, has_marks FROM verdicts JOIN m USING (conv_id)""",
 )
 def encode_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.encode_errors(standins.chats(spark, sf), "conv_id", SPECS)
+    return turns.encode_errors(standins.chat_turns(spark, sf), "conv_id", "turn", "role", "text", SPECS)
 
 
 @query(
@@ -145,7 +144,7 @@ SELECT c.conv_id, s.name, count(p.text) AS placeholders, s.width::BIGINT AS widt
 FROM c CROSS JOIN s LEFT JOIN pieces p ON p.conv_id = c.conv_id AND p.text = s.token GROUP BY ALL""",
 )
 def placeholder_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.placeholder_counts(standins.chats(spark, sf), "conv_id", SPECS)
+    return turns.placeholder_counts(standins.chat_turns(spark, sf), "conv_id", "text", SPECS)
 
 
 @query(
@@ -174,10 +173,9 @@ FROM s LEFT JOIN p USING (token)""",
 )
 def modality_specs(spark: SparkSession, sf: str) -> DataFrame:
     """Every specification with the positions its placeholders would fill in the chats."""
-    pieces = encoding.with_pieces(standins.chats(spark, sf), SPECS).select(F.explode_outer("pieces").alias("p"))
-    specs = spec_table(spark)
-    counts = pieces.filter("p.placeholder").groupBy(F.col("p.text").alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    return specs.join(counts, "token", "left").select(
+    found = turns.placeholder_counts(standins.chat_turns(spark, sf), "conv_id", "text", SPECS)
+    counts = found.groupBy("name").agg(F.sum("placeholders").alias("n"))
+    return spec_table(spark).join(F.broadcast(counts), "name", "left").select(
         "bundle", "name", "token", "data_key", "width", "code",
         F.coalesce("n", F.lit(0)).alias("placeholders"),
         (F.coalesce("n", F.lit(0)) * F.col("width")).alias("positions"),
@@ -199,14 +197,16 @@ def piece_offsets(spark: SparkSession, sf: str) -> DataFrame:
 # ---- vocabulary and sequences --------------------------------------------------------------------------------------------
 
 
-def good_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    rows = encoding.with_pieces(standins.chats(spark, sf), SPECS).filter(F.col("error").isNull())
-    return encoding.token_rows(rows, "conv_id", SPECS)
+def encodable(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of all chats that can be encoded, cut into pieces and staged: most queries read them twice."""
+    found = turns.encodable_turns(standins.chat_turns(spark, sf), "conv_id", "turn", "role", "text", SPECS)
+    return stage(found, "encodable")
 
 
 @query("build_vocab", f"WITH {SQL_TOKENS}, {sql_vocab()} SELECT token, id::BIGINT AS token_id, freq FROM vocab")
 def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.build_vocab(good_tokens(spark, sf))
+    found = turns.encodable_turns(standins.chat_turns(spark, sf), "conv_id", "turn", "role", "text", SPECS)
+    return encoding.build_vocab(turns.turn_tokens(found, "conv_id", "turn", SPECS))
 
 
 @query(
@@ -218,14 +218,30 @@ def encode_chat(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("conv_id", ids_text("input_ids").alias("input_ids"), ids_text("labels").alias("labels"))
 
 
+@query(
+    "encode_turns",
+    f"""WITH {sql_ids()},
+owner AS (SELECT p.conv_id, p.piece, CASE WHEN p.piece = 0 THEN 0 ELSE sum(CASE WHEN p.text LIKE '[INST]%' THEN 1 WHEN p.piece > 0 AND NOT p.instruction THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id ORDER BY p.piece) - 1 END AS turn FROM pieces p),
+placed AS (SELECT f.conv_id, o.turn, row_number() OVER (PARTITION BY f.conv_id ORDER BY f.piece, f.no) - 1 AS pos FROM flat f JOIN owner o USING (conv_id, piece))
+SELECT conv_id, turn::BIGINT AS turn, min(pos)::BIGINT AS start, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS input_ids,
+  string_agg(CASE WHEN masked THEN '-100' ELSE id::VARCHAR END, ' ' ORDER BY pos) AS labels
+FROM placed JOIN ids USING (conv_id, pos) GROUP BY conv_id, turn""",
+)
+def encode_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoded sequences in one piece per turn, for chats of any length."""
+    found = encodable(spark, sf)
+    vocab = encoding.build_vocab(turns.turn_tokens(found, "conv_id", "turn", SPECS))
+    encoded = turns.encode_turns(found, "conv_id", "turn", SPECS, vocab)
+    return encoded.select("conv_id", "turn", "start", ids_text("input_ids").alias("input_ids"), ids_text("labels").alias("labels"))
+
+
 @query(
     "label_accounting",
     f"""WITH {sql_ids()} SELECT conv_id, len(list_filter(labels, lambda x: x <> -100)) AS trained_tokens,
   len(list_filter(labels, lambda x: x = -100)) AS masked_tokens FROM encoded""",
 )
 def label_accounting(spark: SparkSession, sf: str) -> DataFrame:
-    encoded = encoding.encode_chat(standins.chats(spark, sf), "conv_id", SPECS)
-    return encoding.supervised_tokens(encoded, "conv_id")
+    return turns.token_accounting(standins.chat_turns(spark, sf), "conv_id", "turn", "role", "text", SPECS)
 
 
 # ---- fallback and batches ---------------------------------------------------------------------------------------------------
@@ -290,7 +306,7 @@ FROM ids i JOIN cut c USING (conv_id) GROUP BY i.conv_id""",
 )
 def decode_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """The last answer of each chat as a generated sequence behind its prompt."""
-    tokens = stage(good_tokens(spark, sf), "tokens")
+    tokens = stage(turns.positions(encodable(spark, sf), "conv_id", "turn", SPECS), "tokens")
     vocab = encoding.build_vocab(tokens)
     encoded = encoding.collect_sequences(encoding.attach_ids(tokens, vocab), "conv_id")
     last_masked = F.array_max(F.transform("labels", lambda x, i: F.when(x == fv.IGNORE_INDEX, i + 1).otherwise(0)))

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import hashing, media, vectors
-from chatloom.operators import embedding, encoding
+from chatloom.operators import embedding, encoding, turns
 from chatloom.operators.embedding import Projector
 from chatloom.plans import standins
-from chatloom.plans.queries_encode import SPECS, good_tokens, sql_ids
+from chatloom.plans.queries_encode import SPECS, encodable, sql_ids
 from chatloom.plans.registry import query, sql_hash
 from chatloom.session import stage
 
@@ -50,7 +50,7 @@ FROM ids i CROSS JOIN n LEFT JOIN embeddings e ON i.id >= 0 AND e.vec_id = i.id
 )
 def embed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Every position with the checksum of its vector; placeholder positions have none yet."""
-    tokens = stage(good_tokens(spark, sf), "tokens")
+    tokens = stage(turns.positions(encodable(spark, sf), "conv_id", "turn", SPECS), "tokens")
     vocab = encoding.build_vocab(tokens)
     ids = encoding.attach_ids(tokens, vocab).select("conv_id", "pos", "token_id")
     table = standins.table(spark, sf, "embeddings")
@@ -174,14 +174,14 @@ FROM l WHERE next IS NOT NULL AND next <> -100 GROUP BY batch_id""",
 )
 def supervised_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Mean loss per batch of chats. The per-position losses are a table made by rule for every position."""
-    encoded = stage(_encoded(spark, sf).withColumn("batch_id", F.floor(F.col("conv_id") / BATCH).cast("bigint")), "encoded")
-    positions = encoded.select("conv_id", F.posexplode_outer("input_ids").alias("pos", "id"))
-    nll = positions.select(
+    found = turns.positions(encodable(spark, sf), "conv_id", "turn", SPECS)
+    nll = found.select(
         "conv_id",
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
         (hashing.pick_index(hashing.key_text(F.col("conv_id"), F.col("pos")), "nll", 8192) / F.lit(1024.0)).alias("nll"),
     )
-    return embedding.supervised_loss(encoded, "conv_id", nll, ["batch_id"]).select(
+    batched = found.withColumn("batch_id", F.floor(F.col("conv_id") / BATCH).cast("bigint"))
+    return embedding.supervised_loss(batched, "conv_id", nll, ["batch_id"]).select(
         "batch_id", F.round("loss", 9).alias("loss"), "positions"
     )
 

@@ -72,6 +72,21 @@ def chats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chat_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """``conv_id, turn, role, text``: the turns of ``chats`` with the same placeholders, chats not put together."""
+    turns = table(spark, sf, "conversations")
+    conv = F.col("conv_id")
+    first = turns.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min("turn").alias("first_user"))
+    asked = F.concat(F.repeat(F.lit("<image>"), (conv % 4).cast("int")), F.col("text"), F.when(conv % 3 == 0, " <document>").otherwise(""))
+    stray = (F.col("role") == "assistant") & (conv % 11 == 0)
+    text = (
+        F.when(F.col("turn") == F.col("first_user"), asked)
+        .when(stray, F.concat(F.col("text"), F.lit(" <image>")))
+        .otherwise(F.col("text"))
+    )
+    return turns.join(first, "conv_id", "left").select("conv_id", "turn", "role", text.alias("text"))
+
+
 def image_path(id_: Column) -> Column:
     """Relative path, absolute path, single segment, unwanted source, or none."""
     name = F.concat(id_.cast("string"), F.lit(".jpg"))

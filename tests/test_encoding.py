@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions import chat
-from chatloom.operators import collating, encoding
+from chatloom.operators import collating, encoding, turns
 from chatloom.registry import ModalitySpec, bundle
 from chatloom.schemas import MESSAGES
 from pyspark.sql import types as T
@@ -18,6 +18,12 @@ def rows(spark, chats):
     return spark.createDataFrame([(i, [{"role": r, "content": c} for r, c in turns]) for i, turns in enumerate(chats)], SCHEMA)
 
 
+def turn_rows(spark, chats):
+    return spark.createDataFrame(
+        [(i, n, r, c) for i, t in enumerate(chats) for n, (r, c) in enumerate(t)], "id long, turn long, role string, content string"
+    )
+
+
 TRICKY = [
     [("user", "q"), ("assistant", "a")],
     [("user", "<image><image> what?"), ("assistant", "a b\nc")],
@@ -71,9 +77,12 @@ def test_pieces_follow_the_rules(spark):
 
 
 def test_errors(spark):
-    got = encoding.encode_errors(rows(spark, BAD), "id", SPECS).orderBy("id").collect()
-    assert ["roles" in r["error"] for r in got] == [True, True, True, False, False]
-    assert ["outside" in r["error"] for r in got] == [False, False, False, True, True]
+    whole = encoding.with_pieces(rows(spark, BAD), SPECS).orderBy("id").collect()
+    by_turn = turns.encode_errors(turn_rows(spark, BAD), "id", "turn", "role", "content", SPECS).orderBy("id").collect()
+    for got in (whole, by_turn):
+        assert ["roles" in r["error"] for r in got] == [True, True, True, False, False]
+        assert ["outside" in r["error"] for r in got] == [False, False, False, True, True]
+    assert [r["has_marks"] for r in by_turn] == [False] * 4 + [True]
 
 
 def test_hand_labels(spark):
@@ -85,26 +94,73 @@ def test_hand_labels(spark):
     assert tuple(encoding.supervised_tokens(encoded, "id").first())[1:] == (3, 3)
 
 
-def test_accounting_from_turns_equals_encoding(spark):
+def test_turns_follow_the_rules(spark):
     chats = [c for c in TRICKY if c] + BAD
-    turns = spark.createDataFrame(
-        [(i, n, r, c) for i, t in enumerate(chats) for n, (r, c) in enumerate(t)], "id long, turn long, role string, content string"
-    )
-    got = {r["id"]: (r["trained_tokens"], r["masked_tokens"]) for r in encoding.token_accounting(turns, "id", "turn", "role", "content").collect()}
+    found = turns.encodable_turns(turn_rows(spark, chats), "id", "turn", "role", "content", SPECS)
+    got = {}
+    for r in turns.positions(found, "id", "turn", SPECS).orderBy("id", "pos").collect():
+        got.setdefault(r["id"], []).append((r["code"] if r["token"] is None else r["token"], r["trained"]))
+        assert r["pos"] == len(got[r["id"]]) - 1
+    assert got == {i: reference_tokens(t, SPECS) for i, t in enumerate(c for c in TRICKY if c)}
+
+
+def test_random_marks_by_turn(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["a", "b.", "[INST]", "[/INST]", "</s>", "<s>", "<image>", "\n", " "]
+    chats = [
+        [(("user", "assistant")[n % 2], "".join(rng.choice(words) for _ in range(rng.randint(0, 7)))) for n in range(rng.randint(1, 5))]
+        for _ in range(1500)
+    ]
     want = {}
     for i, t in enumerate(chats):
-        roles = [r for r, _ in t]
-        if roles == [("user", "assistant")[n % 2] for n in range(len(t))]:
-            tokens = reference_tokens(t, [])
-            want[i] = (sum(x for _, x in tokens), sum(not x for _, x in tokens))
-    assert got == want
+        try:
+            want[i] = reference_tokens(t, SPECS)
+        except AssertionError:
+            continue
+    source = turn_rows(spark, chats)
+    found = turns.encodable_turns(source, "id", "turn", "role", "content", SPECS)
+    got = {}
+    for r in turns.positions(found, "id", "turn", SPECS).orderBy("id", "pos").collect():
+        got.setdefault(r["id"], []).append((r["code"] if r["token"] is None else r["token"], r["trained"]))
+    assert 50 < len(want) < 1500 and got == want
+    sums = turns.token_accounting(source, "id", "turn", "role", "content", SPECS).collect()
+    assert {r["id"]: (r["trained_tokens"], r["masked_tokens"]) for r in sums} == {
+        i: (sum(x for _, x in t), sum(not x for _, x in t)) for i, t in want.items()
+    }
+    # and the record form agrees
+    good = encoding.with_pieces(rows(spark, chats), SPECS).filter("error is null")
+    assert sorted(r["id"] for r in good.select("id").collect()) == sorted(want)
+
+
+def test_encode_turns_is_encode_chat_in_pieces(spark):
+    chats = [c for c in TRICKY if c]
+    found = turns.encodable_turns(turn_rows(spark, chats), "id", "turn", "role", "content", SPECS)
+    vocab = encoding.build_vocab(turns.turn_tokens(found, "id", "turn", SPECS))
+    pieces = turns.encode_turns(found, "id", "turn", SPECS, vocab).orderBy("id", "turn").collect()
+    for r in encoding.encode_chat(rows(spark, chats), "id", SPECS, vocab).collect():
+        mine = [p for p in pieces if p["id"] == r["id"]]
+        assert [x for p in mine for x in p["input_ids"]] == r["input_ids"]
+        assert [x for p in mine for x in p["labels"]] == r["labels"]
+        assert [p["start"] for p in mine] == [sum(len(q["input_ids"]) for q in mine[:i]) for i in range(len(mine))]
+
+
+def test_offsets_over_many_blocks(spark):
+    df = spark.range(1000).select(F.lit(1).alias("id"), F.col("id").alias("turn"), (F.col("id") % 5).alias("length"))
+    got = turns.with_offsets(df, "id", "turn", block=16).orderBy("turn").collect()
+    total = 0
+    for r in got:
+        assert r["start"] == total
+        total += r["length"]
 
 
 def test_accounting_needs_every_turn_once(spark):
-    turns = spark.createDataFrame(
-        [(0, 0, "user", "q"), (0, 2, "user", "r"), (1, 1, "assistant", "a")], "id long, turn long, role string, content string"
+    df = spark.createDataFrame(
+        [(0, 0, "user", "q"), (0, 2, "user", "r"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (2, 0, "user", "q")],
+        "id long, turn long, role string, content string",
     )
-    assert encoding.token_accounting(turns, "id", "turn", "role", "content").count() == 0
+    assert turns.token_accounting(df, "id", "turn", "role", "content").count() == 0
 
 
 def test_ids_do_not_depend_on_partitions(spark):
@@ -175,8 +231,10 @@ def test_decode_outputs(spark):
 
 def test_whole_bundle_runs(spark):
     specs = bundle("vision_clip", "audio_whisper", "audio_clap", "video_xclip", "imagebind", "document_gte_x16")
-    df = rows(spark, [[("user", "<image><speech><sound><video><imagebind><document>"), ("assistant", "ok")]])
-    counts = {r["name"]: (r["placeholders"], r["width"]) for r in encoding.placeholder_counts(df, "id", specs).collect()}
+    chats = [[("user", "<image><speech><sound><video><imagebind><document>"), ("assistant", "ok")]]
+    df = rows(spark, chats)
+    found = turns.placeholder_counts(turn_rows(spark, chats), "id", "content", specs)
+    counts = {r["name"]: (r["placeholders"], r["width"]) for r in found.collect()}
     assert counts["vision_clip"] == (1, 576) and all(n == 1 for n, _ in counts.values())
     encoded = encoding.encode_chat(df, "id", specs).first()
     assert sum(x < 0 for x in encoded["input_ids"]) == sum(s.width for s in specs)
