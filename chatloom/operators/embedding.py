@@ -137,7 +137,7 @@ def project_vectors(df: DataFrame, key: str, vector: str, projector: Projector)
     """
     if projector.nbytes > MAX_WEIGHT_BYTES:
         raise ValueError(f"projector of {projector.nbytes} bytes is too large to broadcast")
-    shared = df.sparkSession.sparkContext.broadcast(projector)
+    shared = df.sparkSession.sparkContext.broadcast(projector.layers)
     key_type = df.schema[key].dataType
     schema = T.StructType(
         [
@@ -148,7 +148,7 @@ def project_vectors(df: DataFrame, key: str, vector: str, projector: Projector)
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = shared.value.layers
+        slots = shared.value
         for batch in batches:
             if batch.empty:
                 continue

@@ -1,0 +1,76 @@
+"""Token ids from a trained SentencePiece model, for users who bring one."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chatloom import fixed_values as fv
+from chatloom.functions.chat import code_of, width_of
+from chatloom.registry import ModalitySpec
+
+
+def encode_with_model(pieces: DataFrame, keys: Sequence[str], specs: Sequence[ModalitySpec], model_path: str) -> DataFrame:
+    """``(keys, input_ids, labels)`` of rows with a ``pieces`` column (chat rows or turns).
+
+    Row-local: no vocabulary join and no shuffle. The model file must be readable on every executor at ``model_path``
+    (a mounted folder, or ``SparkFiles.get`` after ``addFile``). Begin and end markers become the model's own ids.
+    """
+    marked = pieces.select(
+        *keys,
+        F.transform(
+            "pieces",
+            lambda p: F.struct(
+                p["text"].alias("text"),
+                p["instruction"].alias("instruction"),
+                code_of(p["text"], specs).alias("code"),
+                width_of(p["text"], specs).alias("width"),
+            ),
+        ).alias("pieces"),
+    )
+    ids = T.ArrayType(T.LongType())
+    schema = T.StructType(
+        [pieces.schema[k] for k in keys] + [T.StructField("input_ids", ids), T.StructField("labels", ids)]
+    )
+
+    def encode(model, row_pieces) -> tuple[list[int], list[int]]:
+        input_ids: list[int] = []
+        labels: list[int] = []
+        for piece in row_pieces:
+            if piece["code"] is not None:
+                found, trained = [int(piece["code"])] * int(piece["width"]), False
+            else:
+                found, trained = _text_ids(model, piece["text"]), not piece["instruction"]
+            input_ids += found
+            labels += found if trained else [fv.IGNORE_INDEX] * len(found)
+        return input_ids, labels
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sentencepiece
+
+        # loaded once per task
+        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        for batch in batches:
+            done = [encode(model, p) for p in batch["pieces"]]
+            yield batch[list(keys)].assign(input_ids=[d[0] for d in done], labels=[d[1] for d in done])
+
+    return marked.mapInPandas(run, schema)
+
+
+def _text_ids(model, text: str) -> list[int]:
+    """Ids of a text; begin and end markers split it and become single ids."""
+    marks = {fv.BOS: model.bos_id(), fv.EOS: model.eos_id()}
+    out: list[int] = []
+    rest = text
+    while rest:
+        at, mark = min(((rest.find(m), m) for m in marks if m in rest), default=(len(rest), ""))
+        if at:
+            out += model.encode(rest[:at])
+        if mark:
+            out.append(marks[mark])
+        rest = rest[at + len(mark) :]
+    return out

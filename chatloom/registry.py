@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -29,6 +30,9 @@ class ModalitySpec:
     data_key: str
     width: int
     item_size: int | None = None
+    # user hooks, see operators.hooks: lists of items to lists of values, item values to vectors
+    preprocess: Callable[[list[list[Any]]], list[Any]] | None = field(default=None, compare=False)
+    encode: Callable[[list[Any]], list[list[float]]] | None = field(default=None, compare=False)
 
     @property
     def code(self) -> int:
