@@ -15,6 +15,7 @@ from chatloom import fixed_values as fv
 from chatloom.functions import chat
 from chatloom.functions.text import count_literal
 from chatloom.functions.turns import begin_piece, has_marks, open_throughout, piece_sum, stray, turn_parts, turn_pieces
+from chatloom.operators.embedding import find_spans
 from chatloom.operators.encoding import attach_ids
 from chatloom.operators.joins import MAX_BROADCAST_ROWS
 from chatloom.operators.once import compute_once
@@ -118,12 +119,8 @@ def _verdicts(turns: DataFrame, key: str, order: str, role: str, content: str, s
     pieces = _both_ways(
         turns.withColumn("_content", F.when(may_stray, F.col(content)).otherwise("")), order, role, "_content", specs
     )
-    counted = compute_once(
-        pieces,
-        _stray0=_pair(lambda p: stray(p).cast("bigint"))[0],
-        _stray1=_pair(lambda p: stray(p).cast("bigint"))[1],
-        _marks=has_marks(F.col(content)).cast("bigint"),
-    )
+    normal, at_end = _pair(lambda p: stray(p).cast("bigint"))
+    counted = compute_once(pieces, _stray0=normal, _stray1=at_end, _marks=has_marks(F.col(content)).cast("bigint"))
     chats = _chat_sums(
         counted, key, order, role, content, {"stray": (F.col("_stray0"), F.col("_stray1")), "marks": (F.col("_marks"), F.col("_marks"))}
     )
@@ -220,6 +217,26 @@ def encode_turns(
     )
 
 
+def turn_spans(
+    encoded: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec], ids: str = "input_ids", start: str = "start"
+) -> DataFrame:
+    """``(key, name, k, start, width)`` from sequences in one piece per turn, as ``find_spans`` gives for whole ones.
+
+    Instruction marks separate the placeholders of two turns, so a span never crosses turns; the ordinal of an item
+    is its ordinal in the turn plus the number of items in earlier turns.
+    """
+    keyed = encoded.withColumn("_turn", F.struct(key, order))
+    found = find_spans(keyed, "_turn", specs, ids).select(
+        F.col("_turn")[key].alias(key), F.col("_turn")[order].alias(order), "name", "k", F.col("start").alias("_at"), "width"
+    )
+    counts = found.groupBy(key, "name", order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_owner", F.struct(key, "name"))
+    before = with_offsets(counts, "_owner", order, "_n", "_before").select(key, "name", order, "_before")
+    placed = found.join(before, [key, "name", order]).join(encoded.select(key, order, F.col(start).alias("_start")), [key, order])
+    return placed.select(
+        key, "name", (F.col("k") + F.col("_before")).alias("k"), (F.col("_start") + F.col("_at")).alias("start"), "width"
+    )
+
+
 def positions(encodable: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec]) -> DataFrame:
     """``(key, pos, token, code, trained)`` with ``pos`` counted from the start of the chat."""
     starts = with_offsets(encodable.select(key, order, "length", "pieces"), key, order)

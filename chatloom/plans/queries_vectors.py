@@ -30,16 +30,27 @@ spans AS (SELECT conv_id, CASE WHEN id = -1626 THEN 'vision_clip' ELSE 'document
     row_number() OVER (PARTITION BY conv_id, id ORDER BY start) - 1 AS k, start, width FROM starts)"""
 
 
-def _encoded(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.encode_chat(standins.chats(spark, sf), "conv_id", SPECS)
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of all chats that can be encoded, from sequences in one piece per turn."""
+    found = encodable(spark, sf)
+    vocab = encoding.build_vocab(turns.turn_tokens(found, "conv_id", "turn", SPECS))
+    encoded = stage(turns.encode_turns(found, "conv_id", "turn", SPECS, vocab), "encoded")
+    return turns.turn_spans(encoded, "conv_id", "turn", SPECS)
 
 
-@query(
-    "find_spans",
-    f"WITH {sql_ids()}, {SQL_SPANS} SELECT conv_id, name, k, start::BIGINT AS start, width::BIGINT AS width FROM spans",
-)
+_SPANS_SQL = f"WITH {sql_ids()}, {SQL_SPANS} SELECT conv_id, name, k, start::BIGINT AS start, width::BIGINT AS width FROM spans"
+
+
+@query("find_spans", _SPANS_SQL)
 def find_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return embedding.find_spans(_encoded(spark, sf), "conv_id", SPECS)
+    """Over whole sequences, one row per chat."""
+    return embedding.find_spans(encoding.encode_chat(standins.chats(spark, sf), "conv_id", SPECS), "conv_id", SPECS)
+
+
+@query("turn_spans", _SPANS_SQL)
+def turn_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The same spans from sequences in one piece per turn."""
+    return _spans(spark, sf)
 
 
 @query(
@@ -76,8 +87,8 @@ FROM places p LEFT JOIN slots t USING (conv_id, name, k, slot) LEFT JOIN embeddi
 )
 def scatter_items(spark: SparkSession, sf: str) -> DataFrame:
     """Item vectors into their spans. The vector of a slot is a row of the embeddings table, found by its number."""
-    chats = stage(standins.chats(spark, sf), "chats")
-    spans = embedding.find_spans(encoding.encode_chat(chats, "conv_id", SPECS), "conv_id", SPECS)
+    chats = standins.chats(spark, sf)
+    spans = _spans(spark, sf)
     table = standins.table(spark, sf, "embeddings").select("vec_id", vectors.checksum(F.col("embedding")).alias("vec_check"))
     n = table.count()
     items = None
@@ -101,8 +112,8 @@ SELECT conv_id, name, k::BIGINT AS k FROM items ANTI JOIN spans USING (conv_id,
 )
 def surplus_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items that no span asks for, those of chats that cannot be encoded included."""
-    chats = stage(standins.chats(spark, sf), "chats")
-    spans = embedding.find_spans(encoding.encode_chat(chats, "conv_id", SPECS), "conv_id", SPECS)
+    chats = standins.chats(spark, sf)
+    spans = _spans(spark, sf)
     items = None
     for spec in SPECS:
         listed = chats.select("conv_id", F.lit(spec.name).alias("name"), F.posexplode_outer(spec.data_key).alias("k", "item"))

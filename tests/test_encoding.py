@@ -146,6 +146,43 @@ def test_encode_turns_is_encode_chat_in_pieces(spark):
         assert [p["start"] for p in mine] == [sum(len(q["input_ids"]) for q in mine[:i]) for i in range(len(mine))]
 
 
+def test_spans_by_turn_equal_spans_of_the_whole(spark):
+    from chatloom.operators import embedding
+
+    chats = [
+        [("user", "<image><image>"), ("assistant", "a"), ("user", "x <image> <document><image>"), ("assistant", "b")],
+        [("user", "no"), ("assistant", "a"), ("user", "<document>")],
+    ]
+    found = turns.encodable_turns(turn_rows(spark, chats), "id", "turn", "role", "content", SPECS)
+    vocab = encoding.build_vocab(turns.turn_tokens(found, "id", "turn", SPECS))
+    by_turn = turns.turn_spans(turns.encode_turns(found, "id", "turn", SPECS, vocab), "id", "turn", SPECS)
+    whole = embedding.find_spans(encoding.encode_chat(rows(spark, chats), "id", SPECS, vocab), "id", SPECS)
+    assert sorted(map(tuple, by_turn.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 6
+
+
+def test_one_huge_chat(spark):
+    """A third of all turns in one chat: the same result, and no operator gathers a chat."""
+    import contextlib
+    import io
+
+    hot = [(0, n, ("user", "assistant")[n % 2], f"w{n % 13} x") for n in range(4000)]
+    rest = [(1 + n // 2, n % 2, ("user", "assistant")[n % 2], f"w{n % 7}") for n in range(8000)]
+    source = spark.createDataFrame(hot + rest, "id long, turn long, role string, content string")
+    sums = {r["id"]: tuple(r)[1:] for r in turns.token_accounting(source, "id", "turn", "role", "content").collect()}
+    assert sums[0] == (1 + 2000 * 3, 2000 * 4) and len(sums) == 4001
+    found = turns.encodable_turns(source, "id", "turn", "role", "content", SPECS)
+    vocab = encoding.build_vocab(turns.turn_tokens(found, "id", "turn", SPECS))
+    encoded = turns.encode_turns(found, "id", "turn", SPECS, vocab)
+    last = encoded.filter("id = 0").orderBy(F.desc("turn")).first()
+    assert last["start"] + len(last["input_ids"]) == sum(sums[0])
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        encoded.explain("formatted")
+    lines = text.getvalue().splitlines()
+    gathered = [lines[i - 1] for i, line in enumerate(lines) if line.startswith("Functions") and "collect_list" in line]
+    assert gathered and all(k.startswith("Keys [2]") and "turn#" in k for k in gathered)
+
+
 def test_offsets_over_many_blocks(spark):
     df = spark.range(1000).select(F.lit(1).alias("id"), F.col("id").alias("turn"), (F.col("id") % 5).alias("length"))
     got = turns.with_offsets(df, "id", "turn", block=16).orderBy("turn").collect()
