@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatloom import fixed_values as fv
 from chatloom.functions import chat
 from chatloom.functions.text import count_literal
-from chatloom.operators.joins import MAX_BROADCAST_ROWS, attach_by_frequency
+from chatloom.operators.joins import MAX_BROADCAST_BYTES, attach_by_frequency
 from chatloom.operators.once import compute_once
 from chatloom.operators.ranking import hash_positions
 from chatloom.registry import ModalitySpec
@@ -71,9 +71,9 @@ def build_vocab(tokens: DataFrame, column: str = "token", min_freq: int = 1) ->
     return stage(ranked.unionByName(present.select("token", "token_id", F.coalesce("freq", F.lit(0)).alias("freq"))), "vocab")
 
 
-def attach_ids(tokens: DataFrame, vocab: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def attach_ids(tokens: DataFrame, vocab: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Give every position its id: the placeholder's code, the word's id, or the unknown id."""
-    found = attach_by_frequency(tokens, vocab, "token", "freq", max_broadcast_rows)
+    found = attach_by_frequency(tokens, vocab, "token", "freq", max_broadcast_bytes)
     return found.withColumn("token_id", F.coalesce("code", "token_id", F.lit(UNK_ID).cast("bigint")))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 << 20
 
 
 def resolve_refs(refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx") -> DataFrame:
@@ -42,21 +43,39 @@ def missing_files(df: DataFrame, manifest: DataFrame, path: str = "path") -> Dat
     return df.join(manifest.select(F.col("path").alias(path)), path, "left_anti")
 
 
+def row_bytes(df: DataFrame, columns: list[str]) -> Column:
+    """Rough size of a row: text length, eight bytes per number or array element, and a fixed overhead."""
+    total = F.lit(32).cast("bigint")
+    for name in columns:
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(name)
+        elif isinstance(kind, T.ArrayType):
+            size = F.size(name) * 8
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0)).cast("bigint")
+    return total
+
+
 def attach_by_frequency(
-    facts: DataFrame, dim: DataFrame, key: str, freq: str = "freq", max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    facts: DataFrame, dim: DataFrame, key: str, freq: str = "freq", max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:
     """Left join of ``facts`` with a dimension whose ``freq`` column tells how often each key occurs in ``facts``.
 
-    Words follow a steep frequency curve: a few keys make up most rows. A dimension of proven small size is
-    broadcast. Of a larger one only the frequent head is: at most total/T keys can occur T times or more, so
-    T = total / max_broadcast_rows bounds the broadcast. The tail is joined by a shuffle in which no key has more
-    than T rows. ``dim`` is read several times: pass a staged table.
+    Words follow a steep frequency curve: a few keys make up most rows. A dimension whose counted rows times its
+    widest row fit the limit is broadcast. Of a larger one only the frequent head is: at most total/T keys can occur T
+    times or more, so T = total / (rows that fit) bounds the broadcast. The tail is joined by a shuffle in which no
+    key has more than T rows. ``dim`` is read several times: pass a staged table.
     """
-    size = dim.agg(F.count(F.lit(1)).alias("n"), F.sum(freq).alias("total")).first()
     dim_columns = [c for c in dim.columns if c not in (key, freq)]
-    if size["n"] <= max_broadcast_rows:
+    size = dim.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(freq).alias("total"), F.max(row_bytes(dim, [key, *dim_columns])).alias("widest")
+    ).first()
+    fitting = max(1, max_broadcast_bytes // (size["widest"] or 1))
+    if size["n"] <= fitting:
         return facts.join(F.broadcast(dim.drop(freq)), key, "left")
-    floor = -(-size["total"] // max_broadcast_rows)
+    floor = -(-size["total"] // fitting)
     head = dim.filter(F.col(freq) >= floor).drop(freq).withColumn("_head", F.lit(True))
     tail = dim.filter(F.col(freq) < floor).drop(freq)
     met = facts.join(F.broadcast(head), key, "left")

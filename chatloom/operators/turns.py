@@ -17,7 +17,7 @@ from chatloom.functions.text import count_literal
 from chatloom.functions.turns import begin_piece, has_marks, open_throughout, piece_sum, stray, turn_parts, turn_pieces
 from chatloom.operators.embedding import find_spans
 from chatloom.operators.encoding import attach_ids
-from chatloom.operators.joins import MAX_BROADCAST_ROWS
+from chatloom.operators.joins import MAX_BROADCAST_BYTES
 from chatloom.operators.once import compute_once
 from chatloom.registry import ModalitySpec
 
@@ -195,14 +195,14 @@ def turn_tokens(encodable: DataFrame, key: str, order: str, specs: Sequence[Moda
 
 
 def encode_turns(
-    encodable: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec], vocab: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    encodable: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec], vocab: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:
     """``(key, order, start, input_ids, labels)``: the chat's sequence in one piece per turn.
 
     Putting the pieces of a chat one after the other by ``start`` gives exactly what ``encode_chat`` gives. Pass a
     staged ``encodable``; it is read for the offsets and for the tokens.
     """
-    ids = attach_ids(turn_tokens(encodable, key, order, specs), vocab, max_broadcast_rows)
+    ids = attach_ids(turn_tokens(encodable, key, order, specs), vocab, max_broadcast_bytes)
     label = F.when(F.col("trained"), F.col("token_id")).otherwise(F.lit(fv.IGNORE_INDEX).cast("bigint"))
     packed = ids.groupBy(key, order).agg(
         F.array_sort(F.collect_list(F.struct("at", "token_id", label.alias("label")))).alias("_s")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions import hashing, media, text
-from chatloom.operators import chunking, extraction, joins, merging, messages, sampling
+from chatloom.operators import chunking, extraction, joins, messages, sampling
 from chatloom.session import stage
 from chatloom.sources.files import write_cache_jsonl
 
@@ -78,16 +78,21 @@ def crossmodal_finetune(dialogs: DataFrame, root: str, manifest: DataFrame, on_e
 
 
 def document_pretrain(
-    articles: DataFrame, max_examples: int = 1_000_000, max_chunks: int = fv.PRETRAIN_MAX_CHUNKS, window: int = fv.DOCUMENT_WINDOW
+    articles: DataFrame,
+    max_examples: int = 1_000_000,
+    max_chunks: int = fv.PRETRAIN_MAX_CHUNKS,
+    window: int = fv.DOCUMENT_WINDOW,
+    key: str = "title",
 ) -> DataFrame:
-    """``(title, text)`` articles of few enough chunks: repeat the document."""
+    """``(title, text)`` articles of few enough chunks: repeat the document. ``key`` must be unique."""
 
     def build(rows: DataFrame) -> DataFrame:
         return chunking.cap_chunks(chunking.chunk_documents(rows, "text", window), max_chunks)
 
-    accepted = sampling.accept_until(articles.select("title", "text"), ["title"], build, max_examples, "doc_pretrain")
+    source = articles.select(*dict.fromkeys([key, "title", "text"]))
+    accepted = sampling.accept_until(source, [key], build, max_examples, "doc_pretrain")
     question = text.expand_items(
-        text.pick_template(F.col("title"), fv.DOCUMENT_PHRASES, "document"), "<document>", F.size("chunks")
+        text.pick_template(F.col(key), fv.DOCUMENT_PHRASES, "document"), "<document>", F.size("chunks")
     )
     return accepted.select(
         F.col("title").cast("string").alias("id"),
@@ -321,5 +326,3 @@ def save_generated(rows: DataFrame, cache_folder: str) -> None:
     """Append generated rows to the cache before anything else can fail."""
     write_cache_jsonl(rows, cache_folder)
 
-
-merge = merging.merge_datasets

@@ -9,6 +9,7 @@ from chatloom import fixed_values as fv
 from chatloom.functions import chat
 from chatloom.operators import chunking, collating, encoding, fallback, turns
 from chatloom.plans import standins
+from chatloom.plans.batches import requests, training_batches
 from chatloom.plans.registry import query, quote, sql_order
 from chatloom.registry import bundle, spec_table
 from chatloom.session import stage
@@ -286,12 +287,8 @@ SELECT conv_id, batch_id::BIGINT AS batch_id, array_to_string(input_ids, ' ') AS
 )
 def collate_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Words seen once are unknown here, so that the mask shows what padding with the unknown token does."""
-    special = encoding.special_tokens({"unk": encoding.UNK_ID, "pad": None})
-    rows = stage(checked_chats(spark, sf), "checked")
-    filled = fallback.fallback_next(rows, "conv_id", "ok")
-    encoded = encoding.encode_chat(rows.filter("ok"), "conv_id", SPECS, min_freq=2)
-    sequences = filled.select("conv_id", "source").join(encoded.withColumnRenamed("conv_id", "source"), "source")
-    batches = collating.collate(sequences, "conv_id", BATCH, special["pad"], MAX_LENGTH)
+    special = {"unk": encoding.UNK_ID, "pad": None}
+    batches = training_batches(standins.chats(spark, sf), "conv_id", SPECS, BATCH, MAX_LENGTH, special, min_freq=2)
     return batches.select(
         "conv_id", "batch_id", ids_text("input_ids").alias("input_ids"), ids_text("labels").alias("labels"),
         F.array_join(F.transform("attention_mask", lambda b: b.cast("int").cast("string")), " ").alias("attention_mask"),
@@ -314,6 +311,18 @@ def decode_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return collating.decode_outputs(outputs, "conv_id", "input_ids", "prompt_length", vocab, list(encoding.SPECIAL_IDS.values()))
 
 
+@query(
+    "encode_requests",
+    f"""WITH {sql_ids()}, last AS (SELECT conv_id, max_by(role, turn) AS role FROM turns GROUP BY conv_id)
+SELECT conv_id, array_to_string(input_ids, ' ') AS input_ids, len(input_ids) AS prompt_length FROM encoded JOIN last USING (conv_id) WHERE role = 'user'""",
+)
+def encode_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Chats that end with a question, ready to be answered."""
+    vocab = encoding.build_vocab(turns.turn_tokens(encodable(spark, sf), "conv_id", "turn", SPECS))
+    found = requests(standins.chats(spark, sf), "conv_id", SPECS, vocab)
+    return found.select("conv_id", ids_text("input_ids").alias("input_ids"), F.col("prompt_length").cast("bigint").alias("prompt_length"))
+
+
 # ---- documents -----------------------------------------------------------------------------------------------------------------
 
 

@@ -221,7 +221,7 @@ def shards_for(rows: int) -> tuple[int, int]:
     return shards, -(-rows // shards)
 
 
-def draw_responses(spark: SparkSession, sf: str, shards: int, quota: int, factor: int = 8) -> DataFrame:
+def draw_responses(spark: SparkSession, sf: str, shards: int, quota: int, factor: int = 4) -> DataFrame:
     """``shard, attempt, response``: question/answer JSON, some of it cut off or incomplete."""
     qa = pairs(spark, sf)
     n = qa.count()

@@ -122,6 +122,43 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "cache")).count() == 2
 
 
+def test_shuffled_files_hold_consecutive_positions(spark, tmp_path):
+    from chatloom.operators.sampling import shuffle_dataset
+
+    files.write_shuffled(shuffle_dataset(spark.range(100), ["id"]), str(tmp_path / "s"), 4)
+    back = files.read_chat(spark, str(tmp_path / "s")).withColumn("f", F.input_file_name())
+    rows = back.groupBy("f").agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("id").alias("n")).collect()
+    assert sorted((r["a"], r["b"], r["n"]) for r in rows) == [(0, 24, 25), (25, 49, 25), (50, 74, 25), (75, 99, 25)]
+    files.write_shuffled(spark.createDataFrame([], "id long, position long"), str(tmp_path / "e"), 4)
+    assert files.read_chat(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_training_batches_and_requests(spark):
+    from chatloom.operators import encoding
+    from chatloom.plans.batches import requests, training_batches
+    from chatloom.registry import ModalitySpec
+    from chatloom.schemas import chat_schema
+
+    spec = ModalitySpec("toy", "<toy>", "toys", 2)
+    chats = [
+        [("user", "<toy> a"), ("assistant", "b")],
+        [("assistant", "bad")],
+        [("user", "c")],
+        [("user", "<toy> x y"), ("assistant", "stray <toy>")],
+    ]
+    data = [(str(i), [f"t{i}"], [{"role": r, "content": c} for r, c in turns], i) for i, turns in enumerate(chats)]
+    schema = chat_schema("toys").add("idx", "long")
+    df = spark.createDataFrame(data, schema).drop("id")
+    got = training_batches(df, "idx", [spec], 2, 7, {"unk": 0, "pad": None}).orderBy("idx").collect()
+    assert [(r["idx"], r["source"], r["batch_id"], r["toys"]) for r in got] == [
+        (0, 0, 0, ["t0"]), (1, 2, 0, ["t2"]), (2, 2, 1, ["t2"]), (3, 0, 1, ["t0"]),
+    ]
+    assert {len(r["input_ids"]) for r in got} == {7} and sum(got[1]["attention_mask"]) == 4
+    vocab = encoding.build_vocab(spark.createDataFrame([("c",), ("<s>",)], "token string"))
+    waiting = requests(df, "idx", [spec], vocab).collect()
+    assert [(r["idx"], r["input_ids"], r["prompt_length"]) for r in waiting] == [(2, [1, 0, 3, 0], 4)]
+
+
 def test_card(spark):
     df = spark.createDataFrame([(3, "x"), (1, "y")], "id long, m string")
     row = dataset_card(df, "id", bundle("audio_clap")).first()

@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from chatloom.operators import embedding
 from chatloom.operators.embedding import Projector

@@ -214,7 +214,7 @@ def test_frequency_split_gives_the_same_ids(spark):
     tokens = encoding.token_rows(good, "id", SPECS)
     vocab = encoding.build_vocab(tokens)
     whole = encoding.attach_ids(tokens, vocab)
-    split = encoding.attach_ids(tokens, vocab, max_broadcast_rows=5)
+    split = encoding.attach_ids(tokens, vocab, max_broadcast_bytes=200)
     def collected(df):
         return sorted(map(tuple, df.select("id", "pos", "token", "trained", "token_id").collect()), key=repr)
 

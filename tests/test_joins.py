@@ -31,11 +31,23 @@ def test_attach_by_frequency_head_and_tail(spark):
         return sorted(map(tuple, df.select("i", "word", "code").collect()))
 
     whole = rows(joins.attach_by_frequency(facts, dim, "word"))
-    for limit in (1, 5, 30):
-        assert rows(joins.attach_by_frequency(facts, dim, "word", max_broadcast_rows=limit)) == whole
+    for limit in (1, 300, 1500):
+        assert rows(joins.attach_by_frequency(facts, dim, "word", max_broadcast_bytes=limit)) == whole
     assert len(whole) == len(words)
 
 
+def test_wide_rows_are_not_all_broadcast(spark):
+    facts = spark.createDataFrame([(i, i % 3) for i in range(90)], "i int, k int")
+    dim = spark.createDataFrame([(k, 30, [float(k)] * 1000) for k in range(3)], "k int, freq long, vec array<double>")
+
+    def broadcast_all(limit):
+        plan = joins.attach_by_frequency(facts, dim, "k", max_broadcast_bytes=limit)
+        assert plan.filter("vec[0] = k").count() == 90
+        return "Union" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+    assert broadcast_all(1 << 20) and not broadcast_all(10_000)
+
+
 def test_gather_rows_keeps_the_drawn_order(spark):
     draws = spark.createDataFrame([("e", 0, 5), ("e", 1, 2), ("f", 0, 2), ("e", 2, 9)], "example string, slot long, idx long")
     data = spark.range(10).select(F.col("id").alias("idx"), F.concat(F.lit("c"), "id").alias("caption"), F.col("id").alias("n"))
