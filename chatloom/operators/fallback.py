@@ -17,14 +17,17 @@ def fallback_map(flags: DataFrame, idx: str = "idx", ok: str = "ok", block: int
     good = F.when(F.col(ok), F.col(idx))
     keyed = flags.select(idx, good.alias("_good"), F.floor(F.col(idx) / F.lit(block)).cast("bigint").alias("_block"))
     blocks = keyed.groupBy("_block").agg(F.min("_good").alias("_first"))
-    later = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    # Both windows run downwards: the smallest ok row seen so far is the next one. A frame that reaches forward to the
+    # end would be evaluated anew for every row.
+    downwards = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.partitionBy()
     following = blocks.select(
-        "_block",
-        F.coalesce(F.first("_first", ignorenulls=True).over(later), F.min("_first").over(everywhere)).alias("_next"),
+        "_block", F.coalesce(F.min("_first").over(downwards), F.min("_first").over(everywhere)).alias("_next")
     )
-    onward = Window.partitionBy("_block").orderBy(idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    inside = keyed.withColumn("_inside", F.first("_good", ignorenulls=True).over(onward))
+    onward = (
+        Window.partitionBy("_block").orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    inside = keyed.withColumn("_inside", F.min("_good").over(onward))
     mapped = inside.join(F.broadcast(following), "_block").withColumn("source", F.coalesce("_inside", "_next"))
     return mapped.select(
         idx, F.when(F.col("source").isNull(), F.raise_error(F.lit("no row can be encoded"))).otherwise(F.col("source")).alias("source")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.hashing import key_text, order_key
 
-HASH_DIGITS = 3  # 4096 buckets; 4 digits (65536) for tables beyond some 10**10 rows
+HASH_DIGITS = 5  # at most 2**20 buckets: some 10**5 rows in each at 10**11 rows
 RANGE_WIDTH = 1 << 20
 
 
@@ -48,11 +48,12 @@ def hash_positions(
     """0-based position of every row in a reproducible random order of the row key ``keys`` (must be unique).
 
     With ``first_n`` only the rows in front are kept, and buckets that lie wholly behind them never reach the window.
-    At most 16**digits bucket counts are broadcast.
+    Small buckets keep each window group in memory; at most 16**digits (bucket, offset) pairs of numbers are broadcast.
     """
     key = key_text(*[F.col(k) for k in keys])
     shuffled = order_key(key, salt)
-    return _positions(df, F.substring(shuffled, 1, digits), [shuffled, key], out, first_n)
+    bucket = F.conv(F.substring(shuffled, 1, digits), 16, 10).cast("int")
+    return _positions(df, bucket, [shuffled, key], out, first_n)
 
 
 def range_positions(df: DataFrame, key: str, out: str = "idx", width: int = RANGE_WIDTH) -> DataFrame:

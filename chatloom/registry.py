@@ -81,6 +81,11 @@ def register_bundle(name: str, specs: Iterable[ModalitySpec]) -> list[ModalitySp
     return BUNDLES[name]
 
 
+def register_modality(spec: ModalitySpec) -> ModalitySpec:
+    """Add a modality of one's own as a bundle of its name."""
+    return register_bundle(spec.name, [spec])[0]
+
+
 def bundle(*names: str) -> list[ModalitySpec]:
     """The specifications of one or several bundles."""
     return check_specs(spec for name in names for spec in BUNDLES[name])

@@ -17,7 +17,7 @@ def test_bundles_can_be_combined_and_extended():
     assert [s.token for s in registry.bundle("vision_clip_pool", "document_gte")] == ["<image>", "<document>"]
     mine = registry.ModalitySpec("toy", "<toy>", "toys", 3)
     try:
-        registry.register_bundle("toy", [mine])
+        assert registry.register_modality(mine) is mine
         assert registry.bundle("toy", "audio_clap")[0] is mine
         with pytest.raises(ValueError):
             registry.register_bundle("toy", [mine])
