@@ -31,8 +31,8 @@ def has_marks(content: Column) -> Column:
     return F.coalesce(content.contains(fv.INST_OPEN) | content.contains(fv.INST_CLOSE), F.lit(False))
 
 
-def _labelled(text: Column, instruction: Column) -> Column:
-    return F.struct(text.alias("text"), instruction.alias("instruction"))
+def _labelled(text: Column, instruction: Column, at_end: Column) -> Column:
+    return F.struct(text.alias("text"), instruction.alias("instruction"), at_end.alias("at_end"))
 
 
 def open_throughout(content: Column) -> Column:
@@ -41,28 +41,29 @@ def open_throughout(content: Column) -> Column:
     return has_marks(content) & (F.size(chat.split_instructions(text)) == 1) & chat.is_instruction(text)
 
 
-def turn_parts(role: Column, content: Column, at_end: Column) -> Column:
-    """``array<struct<text, instruction>>`` of a rendered turn.
+def turn_parts(role: Column, content: Column) -> Column:
+    """``array<struct<text, instruction, at_end>>`` of a rendered turn.
 
-    ``at_end``: of an assistant turn, that it is the last one; of a user turn, that the next turn is the last one and
-    open throughout.
+    ``instruction`` holds in the middle of a chat, ``at_end`` where an open end touches the turn: for an assistant
+    turn, if it is the last; for a user turn, if the next turn is the last and open throughout.
     """
-    text = chat.render_turn(role, content)
-    plain = F.array(_labelled(text, role == fv.ROLE_USER))
+    text, asked = chat.render_turn(role, content), role == fv.ROLE_USER
+    plain = F.array(_labelled(text, asked, asked))
 
     def cut(part: Column, rest: Column) -> Column:
         # ``rest``: the part behind the last closed instruction of the turn
-        opened = F.instr(part, fv.INST_OPEN)
+        opened, inside = F.instr(part, fv.INST_OPEN), chat.is_instruction(part)
         halves = F.array(
-            _labelled(F.substring(part, F.lit(1), opened - 1), F.lit(False)),
-            _labelled(F.substring(part, opened, F.length(part)), F.lit(True)),
+            _labelled(F.substring(part, F.lit(1), opened - 1), F.lit(False), F.lit(True)),
+            _labelled(F.substring(part, opened, F.length(part)), F.lit(True), F.lit(True)),
         )
-        whole = F.array(_labelled(part, chat.is_instruction(part) | (rest & at_end & (role == fv.ROLE_USER))))
-        return F.when(rest & (opened > 0) & ~at_end & (role == fv.ROLE_ASSISTANT), halves).otherwise(whole)
+        whole = F.array(_labelled(part, inside, inside | (rest & asked)))
+        return F.when(rest & inside & ~asked, halves).otherwise(whole)
 
     def split(parts: Column) -> Column:
         return F.flatten(F.transform(parts, lambda p, i: cut(p, (i == F.size(parts) - 1) & ~_closed(p))))
 
+    # a list of one, so that the text is split once
     marked = F.element_at(F.transform(F.array(chat.split_instructions(text)), split), 1)
     return F.filter(F.when(has_marks(content), marked).otherwise(plain), lambda p: p["text"] != "")
 
@@ -72,34 +73,65 @@ def _closed(part: Column) -> Column:
 
 
 def turn_pieces(parts: Column, specs: Sequence[ModalitySpec]) -> Column:
-    """``array<struct<text, instruction, placeholder>>`` from the parts of a turn."""
+    """``array<struct<text, instruction, at_end, placeholder>>`` from the parts of a turn."""
     tokens = [s.token for s in specs]
 
     def cut(part: Column) -> Column:
         return F.transform(
             chat.split_placeholders(part["text"], specs),
             lambda t: F.struct(
-                t.alias("text"), part["instruction"].alias("instruction"), t.isin(*tokens).alias("placeholder")
+                t.alias("text"),
+                part["instruction"].alias("instruction"),
+                part["at_end"].alias("at_end"),
+                t.isin(*tokens).alias("placeholder"),
             ),
         )
 
     return F.flatten(F.transform(parts, cut))
 
 
+def settled(pieces: Column, at_end: Column) -> Column:
+    """``array<struct<text, instruction, placeholder>>`` once it is known whether an open end touches the turn."""
+    return F.transform(
+        pieces,
+        lambda p: F.struct(
+            p["text"].alias("text"),
+            F.when(at_end, p["at_end"]).otherwise(p["instruction"]).alias("instruction"),
+            p["placeholder"].alias("placeholder"),
+        ),
+    )
+
+
 def begin_piece() -> Column:
     """The begin marker, a trained piece in front of the first turn."""
     return F.struct(F.lit(fv.BOS).alias("text"), F.lit(False).alias("instruction"), F.lit(False).alias("placeholder"))
 
 
-def stray(pieces: Column) -> Column:
+def stray(pieces: Column, label: str = "instruction") -> Column:
     """A placeholder outside an instruction."""
-    return F.exists(pieces, lambda p: p["placeholder"] & ~p["instruction"])
+    return F.exists(pieces, lambda p: p["placeholder"] & ~p[label])
+
+
+def piece_sizes(pieces: Column, specs: Sequence[ModalitySpec]) -> Column:
+    """``array<struct<n, instruction, at_end>>``: the positions each piece fills."""
+    return F.transform(
+        pieces,
+        lambda p: F.struct(
+            chat.piece_length(p, specs).cast("bigint").alias("n"),
+            p["instruction"].alias("instruction"),
+            p["at_end"].alias("at_end"),
+        ),
+    )
+
+
+def size_sum(sizes: Column, label: str, masked: bool) -> Column:
+    """Positions that are masked (or trained) by a label."""
+    return F.aggregate(
+        sizes, F.lit(0).cast("bigint"), lambda acc, s: acc + F.when(s[label] == F.lit(masked), s["n"]).otherwise(0)
+    )
 
 
-def piece_sum(pieces: Column, specs: Sequence[ModalitySpec], trained: bool | None = None) -> Column:
-    """Positions the pieces fill: all, only the trained ones, or only the masked ones."""
-    if trained is not None:
-        pieces = F.filter(pieces, lambda p: p["instruction"] != F.lit(trained))
+def total_length(pieces: Column, specs: Sequence[ModalitySpec]) -> Column:
     return F.aggregate(
         pieces, F.lit(0).cast("bigint"), lambda acc, p: acc + chat.piece_length(p, specs).cast("bigint")
     )

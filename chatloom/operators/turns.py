@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 from chatloom import fixed_values as fv
 from chatloom.functions import chat
 from chatloom.functions.text import count_literal
-from chatloom.functions.turns import begin_piece, has_marks, open_throughout, piece_sum, stray, turn_parts, turn_pieces
+from chatloom.functions.turns import (
+    begin_piece,
+    has_marks,
+    open_throughout,
+    piece_sizes,
+    settled,
+    size_sum,
+    stray,
+    total_length,
+    turn_parts,
+    turn_pieces,
+)
 from chatloom.operators.embedding import find_spans
 from chatloom.operators.encoding import attach_ids
 from chatloom.operators.joins import MAX_BROADCAST_BYTES
@@ -22,6 +33,7 @@ from chatloom.operators.once import compute_once
 from chatloom.registry import ModalitySpec
 
 BLOCK_TURNS = 4096
+LABELS = ("instruction", "at_end")
 
 ROLE_ERROR = "roles do not alternate from user"
 STRAY_ERROR = "placeholder outside an instruction"
@@ -31,20 +43,10 @@ def _expected(order: Column) -> Column:
     return F.when(order % 2 == 0, fv.ROLE_USER).otherwise(fv.ROLE_ASSISTANT)
 
 
-def _both_ways(turns: DataFrame, order: str, role: str, content: str, specs: Sequence[ModalitySpec]) -> DataFrame:
-    """Pieces of every turn as they normally are (``_mid``) and as they are at an open end of the chat (``_last``).
-
-    The two can differ only for turns with marks; elsewhere ``_last`` is NULL.
-    """
-    who, text = F.col(role), F.col(content)
-    parts = compute_once(
-        turns,
-        _mid_parts=turn_parts(who, text, F.lit(False)),
-        _last_parts=F.when(has_marks(text), turn_parts(who, text, F.lit(True))),
-    )
-    return compute_once(
-        parts, _mid=turn_pieces(F.col("_mid_parts"), specs), _last=turn_pieces(F.col("_last_parts"), specs)
-    ).drop("_mid_parts", "_last_parts")
+def _with_pieces(turns: DataFrame, role: str, content: str, specs: Sequence[ModalitySpec]) -> DataFrame:
+    """Add the ``_pieces`` of every turn, each labelled for the middle and for an open end of its chat."""
+    parts = compute_once(turns, _parts=turn_parts(F.col(role), F.col(content)))
+    return compute_once(parts, _pieces=turn_pieces(F.col("_parts"), specs)).drop("_parts")
 
 
 def _chat_sums(
@@ -79,11 +81,6 @@ def _chat_sums(
     )
 
 
-def _pair(expression) -> tuple[Column, Column]:
-    inner = expression(F.col("_mid"))
-    return inner, F.when(F.col("_last").isNotNull(), expression(F.col("_last"))).otherwise(inner)
-
-
 def token_accounting(
     turns: DataFrame, key: str, order: str, role: str, content: str, specs: Sequence[ModalitySpec] = ()
 ) -> DataFrame:
@@ -91,20 +88,16 @@ def token_accounting(
 
     One aggregation over per-turn counts; without placeholders no id is ever looked up.
     """
-    pieces = _both_ways(turns, order, role, content, specs)
-    counted = compute_once(
-        pieces,
-        **{
-            f"_{name}{i}": column
-            for name, pair in {
-                "trained": _pair(lambda p: piece_sum(p, specs, True)),
-                "masked": _pair(lambda p: piece_sum(p, specs, False)),
-                "stray": _pair(lambda p: stray(p).cast("bigint")),
-            }.items()
-            for i, column in enumerate(pair)
-        },
-    )
-    sums = {n: (F.col(f"_{n}0"), F.col(f"_{n}1")) for n in ("trained", "masked", "stray")}
+    pieces = _with_pieces(turns, role, content, specs)
+    # the only place where text is tokenized
+    sized = compute_once(pieces, _sizes=piece_sizes(F.col("_pieces"), specs))
+    sums = {
+        "trained": tuple(size_sum(F.col("_sizes"), label, False) for label in LABELS),
+        "masked": tuple(size_sum(F.col("_sizes"), label, True) for label in LABELS),
+        "stray": tuple(stray(F.col("_pieces"), label).cast("bigint") for label in LABELS),
+    }
+    counted = compute_once(sized, **{f"_{n}{i}": pair[i] for n, pair in sums.items() for i in (0, 1)})
+    sums = {n: (F.col(f"_{n}0"), F.col(f"_{n}1")) for n in sums}
     chats = _chat_sums(counted, key, order, role, content, sums)
     return chats.filter(F.col("proper") & (F.col("stray") == 0)).select(
         key, (F.col("trained") + 1).alias("trained_tokens"), F.col("masked").alias("masked_tokens")
@@ -116,10 +109,10 @@ def _verdicts(turns: DataFrame, key: str, order: str, role: str, content: str, s
     may_stray = F.lit(False)
     for s in specs:
         may_stray = may_stray | F.col(content).contains(s.token)
-    pieces = _both_ways(
-        turns.withColumn("_content", F.when(may_stray, F.col(content)).otherwise("")), order, role, "_content", specs
+    pieces = _with_pieces(
+        turns.withColumn("_content", F.when(may_stray, F.col(content)).otherwise("")), role, "_content", specs
     )
-    normal, at_end = _pair(lambda p: stray(p).cast("bigint"))
+    normal, at_end = (stray(F.col("_pieces"), label).cast("bigint") for label in LABELS)
     counted = compute_once(pieces, _stray0=normal, _stray1=at_end, _marks=has_marks(F.col(content)).cast("bigint"))
     chats = _chat_sums(
         counted, key, order, role, content, {"stray": (F.col("_stray0"), F.col("_stray1")), "marks": (F.col("_marks"), F.col("_marks"))}
@@ -160,15 +153,15 @@ def encodable_turns(
     at_end = F.when(F.col(role) == fv.ROLE_USER, F.col("wide") & (F.col(order) == F.col("last_turn") - 1)).otherwise(
         F.col(order) == F.col("last_turn")
     )
-    parts = compute_once(kept, _parts=turn_parts(F.col(role), F.col(content), at_end))
+    found = _with_pieces(kept, role, content, specs)
     pieces = compute_once(
-        parts,
+        found,
         pieces=F.concat(
             F.when(F.col(order) == 0, F.array(begin_piece())).otherwise(F.array().cast("array<struct<text:string,instruction:boolean,placeholder:boolean>>")),
-            turn_pieces(F.col("_parts"), specs),
+            settled(F.col("_pieces"), at_end),
         ),
     )
-    return compute_once(pieces, length=piece_sum(F.col("pieces"), specs)).select(key, order, "pieces", "length")
+    return compute_once(pieces, length=total_length(F.col("pieces"), specs)).select(key, order, "pieces", "length")
 
 
 def with_offsets(turns: DataFrame, key: str, order: str, length: str = "length", out: str = "start", block: int = BLOCK_TURNS) -> DataFrame:
