@@ -27,7 +27,7 @@ from chatloom.functions.turns import (
     turn_pieces,
 )
 from chatloom.operators.embedding import find_spans
-from chatloom.operators.encoding import attach_ids
+from chatloom.operators.encoding import UNK_ID, attach_ids
 from chatloom.operators.joins import MAX_BROADCAST_BYTES
 from chatloom.operators.once import compute_once
 from chatloom.registry import ModalitySpec
@@ -210,6 +210,20 @@ def encode_turns(
     )
 
 
+def code_sequences(encodable: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec]) -> DataFrame:
+    """``(key, order, start, input_ids)`` in which every word counts as unknown.
+
+    Enough to find and fill spans: no vocabulary, no lookup and no regrouping of words.
+    """
+    starts = with_offsets(encodable.select(key, order, "length", "pieces"), key, order)
+
+    def ids(p: Column) -> Column:
+        code = F.coalesce(chat.code_of(p["text"], specs), F.lit(UNK_ID).cast("bigint"))
+        return F.array_repeat(code, chat.piece_length(p, specs).cast("int"))
+
+    return starts.select(key, order, "start", F.flatten(F.transform("pieces", ids)).alias("input_ids"))
+
+
 def turn_spans(
     encoded: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec], ids: str = "input_ids", start: str = "start"
 ) -> DataFrame:

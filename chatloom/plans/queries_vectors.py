@@ -31,11 +31,9 @@ spans AS (SELECT conv_id, CASE WHEN id = -1626 THEN 'vision_clip' ELSE 'document
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans of all chats that can be encoded, from sequences in one piece per turn."""
-    found = encodable(spark, sf)
-    vocab = encoding.build_vocab(turns.turn_tokens(found, "conv_id", "turn", SPECS))
-    encoded = stage(turns.encode_turns(found, "conv_id", "turn", SPECS, vocab), "encoded")
-    return turns.turn_spans(encoded, "conv_id", "turn", SPECS)
+    """Spans of all chats that can be encoded, from sequences in one piece per turn; no word is looked up."""
+    sequences = stage(turns.code_sequences(encodable(spark, sf), "conv_id", "turn", SPECS), "sequences")
+    return turns.turn_spans(sequences, "conv_id", "turn", SPECS)
 
 
 _SPANS_SQL = f"WITH {sql_ids()}, {SQL_SPANS} SELECT conv_id, name, k, start::BIGINT AS start, width::BIGINT AS width FROM spans"

@@ -156,7 +156,9 @@ def test_spans_by_turn_equal_spans_of_the_whole(spark):
     found = turns.encodable_turns(turn_rows(spark, chats), "id", "turn", "role", "content", SPECS)
     vocab = encoding.build_vocab(turns.turn_tokens(found, "id", "turn", SPECS))
     by_turn = turns.turn_spans(turns.encode_turns(found, "id", "turn", SPECS, vocab), "id", "turn", SPECS)
+    codes = turns.turn_spans(turns.code_sequences(found, "id", "turn", SPECS), "id", "turn", SPECS)
     whole = embedding.find_spans(encoding.encode_chat(rows(spark, chats), "id", SPECS, vocab), "id", SPECS)
+    assert sorted(map(tuple, codes.collect())) == sorted(map(tuple, whole.collect()))
     assert sorted(map(tuple, by_turn.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 6
 
 
