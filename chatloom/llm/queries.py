@@ -5,7 +5,60 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatloom.llm.exact_dedup import exact_duplicates
+from chatloom.llm.mixing import first_position, mix_sources
 from chatloom.llm.registry import query, table
+from chatloom.llm.secrets import scan_secrets
+from chatloom.llm.sharding import shard_by_bytes
+from chatloom.llm.url_filter import filter_urls, rules_table
+
+# fixed values: the rules (host, path, verdict) that the query judges pages by
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+_URL_RULES_SQL = ", ".join(str(r) for r in URL_RULES)
+
+
+@query(
+    "op1_url_filter",
+    f"""
+    WITH rules(rule_host, rule_path, verdict) AS (VALUES {_URL_RULES_SQL}),
+    rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+    parts AS (
+      SELECT row_number() OVER () AS n, page_id,
+             translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM rest),
+    fits AS (
+      SELECT n, rule_host || rule_path AS rule, verdict,
+             row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+      FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+    FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+    """,
+)
+def op1_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, rules_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["by_pattern"])
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    digest = F.sha2(joined(plain), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, joined(F.col("spans")).alias("spans"))
 
 
 @query(
@@ -18,3 +71,17 @@ from chatloom.llm.registry import query, table
 )
 def op9_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_mix_sources")
+def op7_mix_sources(spark, sf_dir):
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    columns = ["doc_id", "size", "source_size", "target", "taken", first_position().alias("first_position")]
+    return mixed.select(*columns).orderBy("first_position")
+
+
+@query("op8_shard_by_bytes")
+def op8_shard_by_bytes(spark, sf_dir):
+    rows = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("doc_id", "size", checksum.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
