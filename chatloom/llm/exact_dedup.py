@@ -120,7 +120,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n
         "suspects",
     )
     # rows are found again by key and fingerprint: even however hot a text is, and harmless for repeated rows
-    wanted = suspects.select("_key", "_print").distinct().select(F.col("_key").alias("_k"), F.col("_print").alias("_p"))
+    wanted = suspects.select(F.col("_key").alias("_k"), F.col("_print").alias("_p")).distinct().hint("merge")  # one plan at every size
     same_bytes = (
         texts.withColumn("_print", F.xxhash64("_text"))
         .join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_print") == F.col("_p")), "left_semi")
