@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.exact_dedup import exact_duplicates
 from chatloom.llm.mixing import first_position, mix_sources
+from chatloom.llm.quality import ERROR, NEARLY, RISK, TOLERATED, quality_rules
 from chatloom.llm.registry import query, table
 from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sharding import shard_by_bytes
@@ -46,6 +47,71 @@ def op1_url_filter(spark, sf_dir):
     return filter_urls(pages, rules_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+_TOLERATED_SQL = ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(TOLERATED))
+
+QUALITY_CTES = rf"""
+texts AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM split)),
+repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM repeats, range(5) r(d) GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+         len(lines) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals
+  FROM split LEFT JOIN covered USING (doc_id)),
+valued AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         [1000 * n_symbols // greatest(word_chars, 1), 1000 * n_capitals // greatest(word_chars, 1),
+          1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1),
+          least(1000, 10 * word_chars // greatest(n_words, 1)), 1000 - least(1000, 10 * word_chars // greatest(n_words, 1))] AS v
+  FROM measured),
+labelled AS (
+  SELECT valued.*, quality = 1 AS good, substr(md5(doc_id::VARCHAR), 1, 1) >= '8' AS holdout
+  FROM valued JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL),
+fit AS (SELECT stratum, unnest(range(1, 7)) AS rule, unnest(v) AS value FROM labelled WHERE good AND NOT holdout),
+reach AS (
+  SELECT stratum, rule, value, count(*) OVER (PARTITION BY stratum, rule ORDER BY value DESC) AS reached,
+         count(*) OVER (PARTITION BY stratum, rule) AS every FROM fit),
+tolerated(share_rank, share) AS (VALUES {_TOLERATED_SQL}),
+least_values AS (
+  SELECT stratum, share_rank, rule, coalesce(max(value) FILTER (reached > share * every) + 1, 0) AS cut
+  FROM reach, tolerated GROUP BY ALL),
+sets AS (SELECT stratum, share_rank, list(cut ORDER BY rule) AS cuts FROM least_values GROUP BY ALL),
+tried AS (
+  SELECT sets.stratum, share_rank, good, list_bool_or(list_transform(list_zip(v, cuts), lambda z: z[1] >= z[2])) AS hit
+  FROM labelled JOIN sets USING (stratum) WHERE holdout),
+counted AS (
+  SELECT stratum, share_rank, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k, count(*) FILTER (hit AND NOT good) AS caught
+  FROM tried GROUP BY ALL),
+certified AS (
+  SELECT * FROM counted
+  WHERE n > 0 AND k < n * {RISK} AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))
+    FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {ERROR} / (SELECT count(DISTINCT stratum) FROM sets)),
+nearly AS (SELECT *, max(caught) OVER (PARTITION BY stratum) AS most FROM certified),
+used AS (SELECT stratum, min(share_rank) AS share_rank FROM nearly WHERE caught > 0 AND caught >= {NEARLY} * most GROUP BY stratum),
+judged AS (
+  SELECT valued.*, NOT base_failed AND NOT coalesce(list_bool_or(list_transform(list_zip(v, cuts), lambda z: z[1] >= z[2])), false) AS kept
+  FROM valued LEFT JOIN (SELECT * FROM sets JOIN used USING (stratum, share_rank)) USING (stratum))
+"""
+
+
+@query(
+    "op2_quality_rules",
+    f"WITH {QUALITY_CTES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
+)
+def op2_quality_rules(spark, sf_dir):
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark, sf_dir):
     found = scan_secrets(table(spark, sf_dir, "documents"))
