@@ -10,6 +10,7 @@ from chatloom.llm.quality import ERROR, NEARLY, RISK, TOLERATED, quality_rules
 from chatloom.llm.registry import query, table
 from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sharding import shard_by_bytes
+from chatloom.llm.simhash import near_duplicates
 from chatloom.llm.url_filter import filter_urls, rules_table
 
 # fixed values: the rules (host, path, verdict) that the query judges pages by
@@ -112,6 +113,11 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark, sf_dir):
     found = scan_secrets(table(spark, sf_dir, "documents"))
