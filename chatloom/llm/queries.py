@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from chatloom.llm.exact_dedup import exact_duplicates
 from chatloom.llm.mixing import first_position, mix_sources
+from chatloom.llm.packing import Packed, pack
 from chatloom.llm.quality import ERROR, NEARLY, RISK, TOLERATED, quality_rules
 from chatloom.llm.registry import query, table
 from chatloom.llm.secrets import scan_secrets
@@ -113,6 +115,22 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def digests(packed: Packed):
+    """The pieces with the checksum of their ids."""
+    checksums = packed.tokens.select("piece", F.crc32("ids").alias("ids_crc32"))
+    return packed.pieces.join(checksums, "piece").drop("piece")
+
+
+@query("op3_pack_sequences")
+def op3_pack_sequences(spark, sf_dir):
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    return digests(packed).select(*columns)
+
+
 @query("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
