@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from chatloom.llm.exact_dedup import exact_duplicates
+from chatloom.llm.language import held_out, identify, learn
 from chatloom.llm.mixing import first_position, mix_sources
 from chatloom.llm.packing import Packed, pack
 from chatloom.llm.quality import ERROR, NEARLY, RISK, TOLERATED, quality_rules
@@ -175,3 +176,11 @@ def op8_shard_by_bytes(spark, sf_dir):
     rows = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     checksum = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return rows.select("doc_id", "size", checksum.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text"))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
