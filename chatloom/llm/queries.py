@@ -14,6 +14,7 @@ from chatloom.llm.registry import query, table
 from chatloom.llm.secrets import scan_secrets
 from chatloom.llm.sharding import shard_by_bytes
 from chatloom.llm.simhash import near_duplicates
+from chatloom.llm.suffix_dedup import remove_repeats
 from chatloom.llm.url_filter import filter_urls, rules_table
 
 # fixed values: the rules (host, path, verdict) that the query judges pages by
@@ -137,6 +138,14 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    removed = remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    n_spans = F.size("spans").cast("bigint")
+    return removed.select("doc_id", "n_bytes", n_removed.alias("n_removed"), n_spans.alias("n_spans"), "kept_sha256")
+
+
 @query("op6_secret_scan")
 def op6_secret_scan(spark, sf_dir):
     found = scan_secrets(table(spark, sf_dir, "documents"))
