@@ -90,7 +90,8 @@ def _marker(bits: int) -> Callable:
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row for each input row: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row for each input row: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``text_print``
+    (the XXH64 of the text, by which rows are found again).
 
     Of rows with equal (normalised) texts the one with the largest key stays. A NULL text counts as empty. A NULL key
     is smaller than any other and stays only if all keys of its group are NULL. Rows that repeat both key and text are
@@ -138,4 +139,5 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         (alone | (F.col("_row") == F.col("_stay._row"))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        F.col("_print").alias("text_print"),
     )

@@ -170,7 +170,7 @@ def op6_secret_scan(spark, sf_dir):
     """,
 )
 def op9_exact_dedup(spark, sf_dir):
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("text_print")
 
 
 @query("op7_mix_sources")
