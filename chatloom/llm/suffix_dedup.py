@@ -139,14 +139,14 @@ def _distinct(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.nda
 # ---- 1: anchors --------------------------------------------------------------------------------------------
 
 
-def _anchor_sender(bits: int) -> Callable:
+def _anchor_sender(bits: int, hot_contexts: int) -> Callable:
     def send(table: pa.Table) -> pa.Table:
         texts = _Texts(table)
         found = [(h, texts.text_of(p)) for _, _, h, p, _, _ in texts.runs()]
         rows = []
         if found:
             hashes, _, counts = _distinct(*(np.concatenate(x) for x in zip(*found)))
-            hot = hashes[counts > HOT_CONTEXTS]
+            hot = hashes[counts > hot_contexts]
             cuts, hot_cuts = _cuts(hashes, bits), _cuts(hot, bits)
             for owner in np.flatnonzero(np.diff(cuts)):
                 share = hashes[cuts[owner] : cuts[owner + 1]]
@@ -352,13 +352,13 @@ def _remover(table: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """One row for each input row: ``key``, ``n_bytes``, ``spans`` (removed bytes, maximal runs), ``kept_sha256``.
 
     Texts are UTF-8 bytes, NULL is empty. A byte is removed if a 50-byte string over it also starts in a row with a
     smaller key; strings never cross rows and are judged on the input. ``key`` must be an integer; rows without one come
     behind all others and remove nothing from each other, nor do different rows with the same key. An empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read. ``hot_contexts`` only steers how anchors are dealt, not the result.
     """
     body = whole(F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), body.alias("text"))
@@ -371,7 +371,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     dealt = rows.select(sha.alias("sha"), order.alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(_dealer(groups), "g bigint, blob binary")
     by_group = dealt.groupBy("g")
-    anchors = by_group.applyInArrow(_anchor_sender(bits), ROW_SQL)
+    anchors = by_group.applyInArrow(_anchor_sender(bits, hot_contexts), ROW_SQL)
     shared = stage(anchors.groupBy("owner").applyInArrow(_anchor_owner(bits), ROW_SQL), "shared")
     sent = stage(by_group.cogroup(shared.groupBy("g")).applyInArrow(_context_sender(bits), ROW_SQL), "contexts")
     found = sent.filter("owner >= 0").groupBy("owner").applyInArrow(_context_owner, ROW_SQL)
