@@ -26,8 +26,19 @@ def hash32(key: Column, salt: str) -> Column:
     return F.conv(F.substring(order_key(key, salt), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(key: Column, salt: str) -> Column:
+    """The first 15 hex digits: wide enough for row numbers of any table."""
+    return F.conv(F.substring(order_key(key, salt), 1, 15), 16, 10).cast("bigint")
+
+
+def pick_row(key: Column, salt: str, n: Column | int) -> Column:
+    """A row number in 0..n-1, as good as uniform for n up to some 2**50."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.pmod(hash60(key, salt), n.cast("bigint"))
+
+
 def pick_index(key: Column, salt: str, n: Column | int) -> Column:
-    """A number in 0..n-1."""
+    """A number in 0..n-1 for a small n (a list, a handful of files); row numbers take ``pick_row``."""
     n = F.lit(n) if isinstance(n, int) else n
     return F.pmod(hash32(key, salt), n.cast("bigint"))
 

@@ -71,16 +71,49 @@ def extract_paper_qa(df: DataFrame, instruction: str, input_: str, output: str)
     )
 
 
+def _last_split(text: Column, literal: str) -> tuple[Column, Column]:
+    """What stands before and behind the last ``literal`` with something behind it; NULLs without one."""
+    # the last place that leaves a character behind it is the last one in the text less its last character
+    searched = F.left(text, F.length(text) - 1)
+    after = F.when((F.length(text) > 0) & searched.contains(literal), F.substring_index(searched, literal, -1))
+    size = F.length(searched) - F.length(after) - len(literal)
+    return F.left(text, size), F.substring(text, size + len(literal) + 1, F.length(text))
+
+
+def _by_literals(df: DataFrame, text: Column, lead: str, literals: list[str], out: list[str]) -> DataFrame:
+    """Columns ``out``: the groups that a pattern of greedy "one or more of anything" groups between ``literals`` captures.
+
+    Greedy groups take the last literal from the right, then the last of the one before in what is left, and so on, as
+    long as every group keeps a character; each step is one scan, where a matcher would try all combinations.
+    """
+    fits = text.startswith(lead)
+    df = compute_once(df, _rest=F.when(fits, F.substring(text, len(lead) + 1, F.length(text))))
+    for literal, name in reversed(list(zip(literals, out[1:]))):
+        before, behind = _last_split(F.col("_rest"), literal)
+        df = compute_once(df, _before=before, **{name: behind}).drop("_rest").withColumnRenamed("_before", "_rest")
+    return df.withColumnRenamed("_rest", out[0])
+
+
 def extract_long_qa(df: DataFrame, text: str) -> DataFrame:
-    """Add ``id, document, prompt, answer, reject_reason`` for rows of long texts."""
+    """Add ``id, document, prompt, answer, reject_reason`` for rows of long texts.
+
+    The frames of ``fv.LONG_TEXT_PATTERNS`` are found by their literals in linear time; the first that fits counts.
+    """
     source = F.col(text)
-    matched = compute_once(df, _which=_first_match(source, fv.LONG_TEXT_PATTERNS))
+    cut = df
+    for number, (lead, literals) in enumerate(_LONG_FRAMES):
+        names = [f"_g{number}_{g}" for g in range(1, len(literals) + 2)]
+        cut = _by_literals(cut, source, lead, literals, names)
+    complete = [F.length(f"_g{n}_1") > 0 for n in range(len(_LONG_FRAMES))]
+    which = F.lit(None).cast("int")
+    for number in reversed(range(len(_LONG_FRAMES))):
+        which = F.when(F.coalesce(complete[number], F.lit(False)), F.lit(number)).otherwise(which)
+    matched = compute_once(cut, _which=which)
 
     def group(number: int):
-        pattern = _anchored(fv.LONG_TEXT_PATTERNS[number])
-        return lambda g: strip(F.regexp_extract(source, pattern, g))
+        return lambda g: strip(F.col(f"_g{number}_{g}"))
 
-    count = range(len(fv.LONG_TEXT_PATTERNS))
+    count = range(len(_LONG_FRAMES))
     document = _by_match("_which", [group(i)(1) for i in count])
     prompt = _by_match("_which", [_fill(fv.LONG_TEXT_PROMPTS[i], group(i)) for i in count])
     answer = _by_match("_which", [group(i)(fv.LONG_TEXT_ANSWER_GROUPS[i]) for i in count])
@@ -94,3 +127,13 @@ def extract_long_qa(df: DataFrame, text: str) -> DataFrame:
     out = found.select(*df.columns, "id", "document", "prompt", "answer")
     empty = (F.coalesce("document", F.lit("")) == "") | (F.coalesce("answer", F.lit("")) == "")
     return out.withColumn("reject_reason", F.when(empty, "no document found"))
+
+
+def _frame(pattern: str) -> tuple[str, list[str]]:
+    """(lead, literals between the groups) of a pattern whose groups all take anything."""
+    lead, *rest = re.split(r"\(\[\\s\\S\]\+\)", pattern)
+    assert rest and rest[-1] == "", pattern
+    return re.sub(r"\\(\W)", r"\1", lead), [part.replace("\\n", "\n") for part in rest[:-1]]
+
+
+_LONG_FRAMES = [_frame(p) for p in fv.LONG_TEXT_PATTERNS]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.functions.hashing import bernoulli, hash32, key_text, pick_index
+from chatloom.functions.hashing import bernoulli, hash32, key_text, pick_index, pick_row
 from chatloom.operators.ranking import hash_positions
 from chatloom.session import stage
 
@@ -58,6 +58,14 @@ def accept_until(
         share = min(1.0, share * max(2.0, 1.25 * n / max(found, 1)))
 
 
+def attempts(spark: SparkSession, rows: int, shards: int, first: int, last: int, salt: str = "draw") -> DataFrame:
+    """``shard, attempt, idx``: the attempts ``first`` to ``last`` - 1 of every shard and the row each draws."""
+    made = spark.range(shards * (last - first)).select(
+        F.expr(f"id div {last - first}").alias("shard"), (F.col("id") % (last - first) + first).alias("attempt")
+    )
+    return made.withColumn("idx", pick_row(key_text(F.col("shard"), F.col("attempt")), salt, rows))
+
+
 def draw_with_retry(
     spark: SparkSession,
     rows: int,
@@ -77,12 +85,7 @@ def draw_with_retry(
         raise ValueError("nothing to draw from")
     factor = 2
     while True:
-        attempts = spark.range(shards * quota * factor).select(
-            F.floor(F.col("id") / (quota * factor)).cast("bigint").alias("shard"),
-            (F.col("id") % (quota * factor)).alias("attempt"),
-        )
-        attempts = attempts.withColumn("idx", pick_index(key_text(F.col("shard"), F.col("attempt")), salt, rows))
-        accepted = stage(build(attempts), "draws")
+        accepted = stage(build(attempts(spark, rows, shards, 0, quota * factor, salt)), "draws")
         full = accepted.groupBy("shard").count().filter(F.col("count") >= quota).count()
         if full == shards:
             order = Window.partitionBy("shard").orderBy("attempt")
@@ -98,19 +101,20 @@ def draw_with_retry(
 def draw_k_rows(examples: DataFrame, example: str, rows: int, max_k: int, salt: str = "k") -> DataFrame:
     """For each example k ~ U[1, max_k] distinct row numbers in drawn order, as rows ``(example, slot, idx)``.
 
-    Draws beyond the needed ones replace repeats; all of it happens inside the row. When repeats used up the spare
-    draws (only likely for tiny tables) the lowest unused numbers follow.
+    The i-th draw is a number below rows - i and stands for the so-maniest row not drawn before, so every ordered choice
+    of k rows is equally likely and no draw is ever repeated. All of it happens inside the row.
     """
     if rows < max_k:
         raise ValueError(f"cannot draw {max_k} distinct rows from {rows}")
-    spare = 4 * max_k
     key = F.col(example)
     k = (pick_index(key, salt + ".count", max_k) + 1).cast("int")
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(spare - 1)), lambda s: pick_index(key_text(key, s), salt + ".row", rows)
-    )
-    fill = F.sequence(F.lit(0).cast("bigint"), F.lit(max_k - 1).cast("bigint"))
-    chosen = F.slice(F.array_distinct(F.concat(draws, fill)), F.lit(1), k)
+
+    def draw(drawn: Column, i: Column) -> Column:
+        number = pick_row(key_text(key, i), salt + ".row", F.lit(rows) - i)
+        skipped = F.aggregate(F.array_sort(drawn), number, lambda v, taken: F.when(taken <= v, v + 1).otherwise(v))
+        return F.array_append(drawn, skipped)
+
+    chosen = F.aggregate(F.sequence(F.lit(0), k - 1), F.array().cast("array<bigint>"), draw)
     return examples.select(example, F.posexplode(chosen).alias("slot", "idx")).withColumn(
         "slot", F.col("slot").cast("bigint")
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions import hashing, media, text
-from chatloom.operators import chunking, extraction, joins, messages, sampling
+from chatloom.operators import chunking, extraction, joins, messages, ranking, sampling
 from chatloom.session import stage
 from chatloom.sources.files import write_cache_jsonl
 
@@ -150,107 +150,164 @@ def speech_pretrain(speech: DataFrame, max_examples: int = 200_000) -> DataFrame
     )
 
 
-def generated_rows(
-    draws: DataFrame, responses: DataFrame, token: str, n_items: Column, keys: Sequence[str], payload: Sequence[str]
+# Answers of a model: a table keyed like the requests, or a function that is handed the requests, prompts included, and
+# returns such a table. ``response`` is JSON text.
+Responses = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def generated_answers(requests: DataFrame, responses: Responses, keys: Sequence[str], *fields: str) -> DataFrame:
+    """The requests whose answer parses, with the answer's ``fields``; ``prompt`` is dropped."""
+    table = responses(requests) if callable(responses) else responses
+    met = requests.drop("prompt").join(table.select(*keys, "response"), list(keys))
+    parsed = met.withColumn("_qa", text.parse_json_fields(F.col("response"), *fields)).filter(F.col("_qa").isNotNull())
+    return parsed.select(*[c for c in requests.columns if c != "prompt"], *[F.col(f"_qa.{f}").alias(f) for f in fields])
+
+
+def _draw_answers(
+    spark: SparkSession, rows: int, responses: Responses, shards: int, quota: int, salt: str, ask: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Join draws with the answers a model gave; keep those that parse; place the tokens by a coin.
+    """(shard, slot, attempt, idx, question, answer): attempts accepted by their answers alone, cut to the quota.
 
-    ``responses`` has the key columns and ``response`` (JSON text). Adds ``question`` (with tokens) and ``answer``.
+    ``ask`` turns attempts into requests. Prompts are made for a responding function only; a table needs none.
     """
-    met = draws.join(responses, list(keys))
-    parsed = met.withColumn("_qa", text.parse_json_fields(F.col("response"), "question", "answer")).filter(F.col("_qa").isNotNull())
-    key = hashing.key_text(*[F.col(k) for k in keys])
-    return parsed.select(
-        *keys,
-        *payload,
-        text.place_tokens(key, F.col("_qa.question"), token, n_items).alias("question"),
-        F.col("_qa.answer").alias("answer"),
-    )
 
+    def build(attempts: DataFrame) -> DataFrame:
+        requests = ask(attempts) if callable(responses) else attempts
+        return generated_answers(requests, responses, ["shard", "attempt"], "question", "answer")
 
-def speech_generated(spark: SparkSession, speech: DataFrame, responses: DataFrame, shards: int, quota: int) -> DataFrame:
-    """Question/answer rows over randomly drawn speech rows; ``responses`` is keyed by (shard, attempt)."""
-    n = speech.count()
+    return sampling.draw_with_retry(spark, rows, build, shards, quota, salt)
 
-    def build(attempts: DataFrame) -> DataFrame:
-        known = attempts.join(speech.select("idx"), "idx", "left_semi")
-        return generated_rows(known, responses, "<speech>", F.lit(1), ["shard", "attempt"], ["idx"])
 
-    accepted = sampling.draw_with_retry(spark, n, build, shards, quota, "speech_draw")
-    return accepted.select(
+def _rows(source: DataFrame) -> int:
+    """How many rows can be drawn; their ``idx`` must count 0, 1, ..., or drawn rows would be missing."""
+    if not ranking.is_dense(source, "idx"):
+        raise ValueError("idx must count from 0 without gaps; ranking.dense_index makes it so")
+    return source.count()
+
+
+def _attempt_key() -> Column:
+    return hashing.key_text(F.col("shard"), F.col("attempt"))
+
+
+def _question(phrases: list[str], key: Column) -> Column:
+    return text.pick_template(key, phrases, "question")
+
+
+def speech_prompts(attempts: DataFrame, speech: DataFrame) -> DataFrame:
+    """``attempts`` (shard, attempt, idx) with the prompt a model is asked for the drawn row."""
+    rows = speech.select("idx", speech_text(speech).alias("_caption"))
+    lines = text.caption_lines(F.array("_caption"), "caption")
+    prompt = text.build_prompt(fv.SPEECH_PROMPT, lines, _question(fv.SPEECH_QUESTIONS, _attempt_key()))
+    return attempts.join(rows, "idx").select(*attempts.columns, prompt.alias("prompt"))
+
+
+def sound_prompts(attempts: DataFrame, sounds: DataFrame) -> DataFrame:
+    lines = text.caption_lines(F.array("tags"), "plain")
+    prompt = text.build_prompt(fv.SOUND_PROMPT, lines, _question(fv.SOUND_QUESTIONS, _attempt_key()))
+    return attempts.join(sounds.select("idx", "tags"), "idx").select(*attempts.columns, prompt.alias("prompt"))
+
+
+def caption_prompts(sounds: DataFrame) -> DataFrame:
+    """``idx, prompt`` of every sound."""
+    return sounds.select("idx", text.build_prompt(fv.CAPTION_PROMPT, text.caption_lines(F.array("tags"), "tags")).alias("prompt"))
+
+
+def image_prompts(attempts: DataFrame, images: DataFrame, rows: int, max_images: int = 6) -> DataFrame:
+    """The prompt of each attempt over the captions of the images that its example draws."""
+    examples = attempts.withColumn("example", _attempt_key())
+    draws = sampling.draw_k_rows(examples, "example", rows, max_images, "images")
+    prompts = multi_image_prompts(joins.gather_rows(draws, images, "example", ["caption"]), "example", "caption")
+    return examples.join(prompts, "example").select(*attempts.columns, "prompt")
+
+
+def speech_generated(
+    spark: SparkSession, speech: DataFrame, responses: Responses, shards: int, quota: int, cache: str | None = None
+) -> DataFrame:
+    """Question/answer rows over randomly drawn speech rows; responses are keyed by (shard, attempt).
+
+    With ``cache`` the rows are also appended to that folder as JSON lines before anything else can fail.
+    """
+
+    def ask(attempts: DataFrame) -> DataFrame:
+        return speech_prompts(attempts, speech)
+
+    accepted = _draw_answers(spark, _rows(speech), responses, shards, quota, "speech_draw", ask)
+    question = text.place_tokens(_attempt_key(), F.col("question"), "<speech>", F.lit(1))
+    rows = accepted.select(
         "shard",
         "slot",
-        text.stable_id("speech-", hashing.key_text(F.col("shard"), F.col("attempt"))).alias("id"),
+        text.stable_id("speech-", _attempt_key()).alias("id"),
         F.array(speech_reference(F.col("idx"))).alias("speech_audios"),
-        text.qa_messages(F.col("question"), F.col("answer")).alias("messages"),
+        text.qa_messages(question, F.col("answer")).alias("messages"),
     )
+    return cached(rows, cache)
 
 
-def sound_generated(spark: SparkSession, sounds: DataFrame, responses: DataFrame, shards: int, quota: int) -> DataFrame:
-    """Question/answer rows over randomly drawn ``(idx, url, tags)`` sounds."""
-    n = sounds.count()
+def sound_generated(
+    spark: SparkSession, sounds: DataFrame, responses: Responses, shards: int, quota: int, cache: str | None = None
+) -> DataFrame:
+    """Question/answer rows over randomly drawn ``(idx, url, tags)`` sounds, fetched after the quota is met."""
 
-    def build(attempts: DataFrame) -> DataFrame:
-        return generated_rows(
-            attempts.join(sounds.select("idx", "url"), "idx"), responses, "<sound>", F.lit(1), ["shard", "attempt"], ["url"]
-        )
+    def ask(attempts: DataFrame) -> DataFrame:
+        return sound_prompts(attempts, sounds)
 
-    accepted = sampling.draw_with_retry(spark, n, build, shards, quota, "sound_draw")
-    return accepted.select(
+    accepted = _draw_answers(spark, _rows(sounds), responses, shards, quota, "sound_draw", ask)
+    question = text.place_tokens(_attempt_key(), F.col("question"), "<sound>", F.lit(1))
+    rows = accepted.join(sounds.select("idx", "url"), "idx").select(
         "shard",
         "slot",
-        text.stable_id("sound-", hashing.key_text(F.col("shard"), F.col("attempt"))).alias("id"),
+        text.stable_id("sound-", _attempt_key()).alias("id"),
         F.array("url").alias("sounds"),
-        text.qa_messages(F.col("question"), F.col("answer")).alias("messages"),
+        text.qa_messages(question, F.col("answer")).alias("messages"),
     )
+    return cached(rows, cache)
 
 
-def sound_captions(sounds: DataFrame, responses: DataFrame) -> DataFrame:
+def sound_captions(sounds: DataFrame, responses: Responses, cache: str | None = None) -> DataFrame:
     """Every sound once, in random order; a failed caption is dropped, not drawn again."""
-    met = sounds.join(responses, "idx")
-    parsed = met.withColumn("_c", text.parse_json_fields(F.col("response"), "caption")).filter(F.col("_c").isNotNull())
+    requests = caption_prompts(sounds) if callable(responses) else sounds.select("idx")
+    parsed = generated_answers(requests, responses, ["idx"], "caption")
     question = text.pick_template(F.col("idx"), fv.SOUND_PHRASES, "sound")
-    rows = parsed.select(
+    rows = parsed.join(sounds.select("idx", "url"), "idx").select(
         "idx",
         text.stable_id("sound-", F.col("idx").cast("string")).alias("id"),
         F.array("url").alias("sounds"),
-        text.qa_messages(question, F.col("_c.caption")).alias("messages"),
+        text.qa_messages(question, F.col("caption")).alias("messages"),
     )
-    return sampling.shuffle_dataset(rows, ["idx"], "sound_captions")
+    # joined and parsed once: the shuffle reads its input twice
+    return sampling.shuffle_dataset(cached(stage(rows, "sound_captions"), cache), ["idx"], "sound_captions")
 
 
 def multi_image_generated(
-    spark: SparkSession, images: DataFrame, responses: DataFrame, shards: int, quota: int, max_images: int = 6
+    spark: SparkSession,
+    images: DataFrame,
+    responses: Responses,
+    shards: int,
+    quota: int,
+    max_images: int = 6,
+    cache: str | None = None,
 ) -> DataFrame:
     """Question/answer rows over 1..max_images distinct images ``(idx, image, caption)`` in drawn order.
 
-    The prompt of every attempt is a function of its captions (``multi_image_prompts``); the answers come as a table.
+    The images of an attempt depend on its number alone, so they are fetched for accepted attempts only.
     """
-    n = images.count()
+    n = _rows(images)
 
-    def build(attempts: DataFrame) -> DataFrame:
-        examples = attempts.select("shard", "attempt", hashing.key_text(F.col("shard"), F.col("attempt")).alias("example"))
-        parsed = generated_answers(examples, responses)
-        draws = sampling.draw_k_rows(parsed, "example", n, max_images, "images")
-        gathered = joins.gather_rows(draws, images, "example", ["image"])
-        return parsed.join(gathered, "example")
+    def ask(attempts: DataFrame) -> DataFrame:
+        return image_prompts(attempts, images, n, max_images)
 
-    accepted = sampling.draw_with_retry(spark, n, build, shards, quota, "image_draw")
+    accepted = _draw_answers(spark, n, responses, shards, quota, "image_draw", ask).withColumn("example", _attempt_key())
+    draws = sampling.draw_k_rows(accepted, "example", n, max_images, "images")
+    rows = accepted.join(joins.gather_rows(draws, images, "example", ["image"]), "example")
     question = text.place_tokens(F.col("example"), F.col("question"), "<image>", F.size("image"))
-    return accepted.select(
+    rows = rows.select(
         "shard",
         "slot",
         text.stable_id("images-", F.col("example")).alias("id"),
         F.col("image").alias("images"),
         text.qa_messages(question, F.col("answer")).alias("messages"),
     )
-
-
-def generated_answers(examples: DataFrame, responses: DataFrame) -> DataFrame:
-    """Attempts whose answer parses, before any row is fetched for them."""
-    met = examples.join(responses, ["shard", "attempt"])
-    parsed = met.withColumn("_qa", text.parse_json_fields(F.col("response"), "question", "answer")).filter(F.col("_qa").isNotNull())
-    return parsed.select(*examples.columns, F.col("_qa.question").alias("question"), F.col("_qa.answer").alias("answer"))
+    return cached(rows, cache)
 
 
 def multi_image_prompts(gathered: DataFrame, example: str, captions: str) -> DataFrame:
@@ -263,6 +320,15 @@ def multi_image_prompts(gathered: DataFrame, example: str, captions: str) -> Dat
     return gathered.select(example, prompt.alias("prompt"))
 
 
+def cached(rows: DataFrame, folder: str | None) -> DataFrame:
+    """Append the rows to the cache, if there is one, and go on with what was staged for it."""
+    if folder is None:
+        return rows
+    rows = stage(rows, "generated")
+    write_cache_jsonl(rows, folder)
+    return rows
+
+
 def video_pretrain(clips: DataFrame, max_examples: int = 500_000) -> DataFrame:
     """``(clip_id, video_id, start, end, caption)`` clips: sample first, then drop clips whose times do not parse."""
     sampled = sampling.sample_at_most(clips, ["clip_id"], max_examples, "video_sample")
@@ -320,9 +386,3 @@ def policy_rows(rollout: DataFrame, image_root: str, rate: float = 0.01) -> Data
         F.array(media.join_path(image_root, F.concat("id", F.lit(".jpg")))).alias("images"),
         text.qa_messages(F.concat(F.lit(fv.LANDER_QUESTION), options), action_label(F.col("action"))).alias("messages"),
     )
-
-
-def save_generated(rows: DataFrame, cache_folder: str) -> None:
-    """Append generated rows to the cache before anything else can fail."""
-    write_cache_jsonl(rows, cache_folder)
-

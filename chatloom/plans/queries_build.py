@@ -21,10 +21,11 @@ from chatloom.plans.queries_text import (
     sql_dup,
     sql_join_path,
     sql_place,
+    sql_prompt,
     sql_reword,
     sql_seconds,
 )
-from chatloom.plans.registry import query, quote, sql_hash, sql_order, sql_pick
+from chatloom.plans.registry import query, quote, sql_hash, sql_hash60, sql_order, sql_pick
 from chatloom.session import stage
 
 N_SAMPLE = 200
@@ -174,7 +175,7 @@ plan AS (SELECT n, greatest(4, n // 100000) AS shards, -(-n // greatest(4, n //
 quotas AS (SELECT n, shards, CASE WHEN n % shards = 0 THEN n // shards ELSE n // shards + 1 END AS quota FROM plan),
 attempts AS (SELECT s.shard, a.attempt, q.n, q.quota FROM quotas q, LATERAL (SELECT unnest(range(q.shards)) AS shard) s, LATERAL (SELECT unnest(range(q.quota * 8)) AS attempt) a),
 {SQL_PAIRS}, n_pairs AS (SELECT count(*) AS np FROM pairs),
-answers AS (SELECT t.shard, t.attempt, t.quota, {sql_hash("t.shard || ':' || t.attempt", salt)} % t.n AS idx, p.question, p.answer
+answers AS (SELECT t.shard, t.attempt, t.quota, {sql_hash60("t.shard || ':' || t.attempt", salt)} % t.n AS idx, p.question, p.answer
   FROM attempts t, n_pairs JOIN pairs p ON p.pair = (t.shard * 7919 + t.attempt) % np
   WHERE t.attempt % 6 <> 0 AND t.attempt % 7 <> 0),
 drawn AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY attempt) - 1 AS slot FROM answers QUALIFY slot < quota)"""
@@ -189,11 +190,57 @@ SELECT shard, slot, 'speech-' || sha256(shard || ':' || attempt) AS id, '{_REF}'
 def speech_generated_rows(spark: SparkSession, sf: str) -> DataFrame:
     source = standins.speech(spark, sf)
     shards, quota = standins.shards_for(source.count())
-    responses = stage(standins.draw_responses(spark, sf, shards, quota), "responses")
+    responses = standins.answers(spark, sf)
     rows = builders.speech_generated(spark, source, responses, shards, quota)
     return flat(rows.withColumn("speech_audios", F.transform("speech_audios", _ref_text)), "speech_audios", "shard", "slot")
 
 
+def first_attempts(spark: SparkSession, rows: int, salt: str) -> DataFrame:
+    """``shard, attempt, idx``: as many attempts as there are rows."""
+    shards, quota = standins.shards_for(rows)
+    return sampling.attempts(spark, rows, shards, 0, quota, salt)
+
+
+def sql_first_attempts(table: str, salt: str) -> str:
+    return f"""size_ AS (SELECT count(*) AS n FROM {table}),
+quotas AS (SELECT n, greatest(4, n // 100000) AS shards FROM size_),
+attempts AS (SELECT s.shard, a.attempt, {sql_hash60("s.shard || ':' || a.attempt", salt)} % n AS idx FROM quotas q,
+  LATERAL (SELECT unnest(range(q.shards)) AS shard) s, LATERAL (SELECT unnest(range((q.n + q.shards - 1) // q.shards)) AS attempt) a)"""
+
+
+_ATTEMPT = "shard || ':' || attempt"
+
+
+@query(
+    "speech_prompts",
+    f"""WITH {sql_first_attempts('benchmark', 'speech_draw')}
+SELECT shard, attempt, idx, {sql_prompt(fv.SPEECH_PROMPT, "'Caption: " + '"' + "' || text || '" + '"' + "'", sql_pick(_ATTEMPT, 'question', fv.SPEECH_QUESTIONS))} AS prompt
+FROM attempts JOIN benchmark ON item_id = idx""",
+)
+def speech_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    source = standins.speech(spark, sf)
+    return builders.speech_prompts(first_attempts(spark, source.count(), "speech_draw"), source)
+
+
+@query(
+    "sound_prompts",
+    f"""WITH {sql_first_attempts('part', 'sound_draw')}
+SELECT shard, attempt, idx, {sql_prompt(fv.SOUND_PROMPT, "p_name || ', ' || p_type", sql_pick(_ATTEMPT, 'question', fv.SOUND_QUESTIONS))} AS prompt
+FROM attempts JOIN part ON p_partkey = idx""",
+)
+def sound_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    source = standins.sounds(spark, sf)
+    return builders.sound_prompts(first_attempts(spark, source.count(), "sound_draw"), source)
+
+
+@query(
+    "caption_prompts",
+    f"""SELECT p_partkey AS idx, {sql_prompt(fv.CAPTION_PROMPT, "'Tags: " + '"' + "' || p_name || ', ' || p_type || '" + '"' + "'")} AS prompt FROM part""",
+)
+def caption_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return builders.caption_prompts(standins.sounds(spark, sf))
+
+
 @query(
     "sound_generated_rows",
     f"""WITH {sql_draws('part', 'sound_draw')}
@@ -203,7 +250,7 @@ SELECT shard, slot, 'sound-' || sha256(shard || ':' || attempt) AS id, 'https://
 def sound_generated_rows(spark: SparkSession, sf: str) -> DataFrame:
     source = standins.sounds(spark, sf)
     shards, quota = standins.shards_for(source.count())
-    responses = stage(standins.draw_responses(spark, sf, shards, quota), "responses")
+    responses = standins.answers(spark, sf)
     return flat(builders.sound_generated(spark, source, responses, shards, quota), "sounds", "shard", "slot")
 
 
@@ -216,23 +263,24 @@ SELECT row_number() OVER (ORDER BY {sql_order('idx', 'sound_captions')}) - 1 AS
   'user: ' || {sql_pick('idx', 'sound', fv.SOUND_PHRASES)} || chr(10) || 'assistant: ' || answer AS messages FROM ok""",
 )
 def sound_generated_captions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = builders.sound_captions(standins.sounds(spark, sf), stage(standins.caption_responses(spark, sf), "captions"))
+    rows = builders.sound_captions(standins.sounds(spark, sf), standins.captions(spark, sf))
     return flat(rows, "sounds", "position")
 
 
 def sql_k_rows(examples: str, key: str, n: str, max_k: int) -> str:
-    """k distinct rows per example: repeats dropped, first k kept; the lowest numbers follow the 4k draws."""
-    spare = 4 * max_k
-    return f"""slots AS (SELECT e.*, s.slot, CASE WHEN s.slot < {spare} THEN {sql_hash(f"{key} || ':' || s.slot", 'images.row')} % {n} ELSE s.slot - {spare} END AS idx
-  FROM {examples} e, LATERAL (SELECT unnest(range({spare + max_k})) AS slot) s),
-firsts AS (SELECT {key} AS example, idx, min(slot) AS first_slot FROM slots GROUP BY ALL),
-chosen AS (SELECT example, idx, row_number() OVER (PARTITION BY example ORDER BY first_slot) - 1 AS slot FROM firsts
-  QUALIFY slot < {sql_hash('example', 'images.count')} % {max_k} + 1)"""
+    """k distinct rows per example: each draw counts the rows that were not drawn before."""
+    return f"""steps AS (
+  SELECT {key} AS example, {n} AS n, 0 AS i, []::BIGINT[] AS drawn, {sql_hash(key, 'images.count')} % {max_k} + 1 AS k FROM {examples}
+  UNION ALL
+  SELECT example, n, i + 1, list_append(drawn, list_reduce(
+    list_concat([{sql_hash60("example || ':' || i", 'images.row')} % (n - i)], list_sort(drawn)),
+    lambda v, taken: CASE WHEN taken <= v THEN v + 1 ELSE v END)), k FROM steps WHERE i < k),
+chosen AS (SELECT example, unnest(drawn) AS idx, unnest(range(k)) AS slot FROM steps WHERE i = k)"""
 
 
 @query(
     "draw_k_rows",
-    f"""WITH ex AS (SELECT item_id AS example_id, (SELECT count(*) FROM documents) AS n FROM benchmark),
+    f"""WITH RECURSIVE ex AS (SELECT item_id AS example_id, (SELECT count(*) FROM documents) AS n FROM benchmark),
 {sql_k_rows('ex', 'example_id', 'n', 6)}
 SELECT example AS item_id, slot, idx FROM chosen""",
 )
@@ -249,17 +297,17 @@ def draw_k_rows(spark: SparkSession, sf: str) -> DataFrame:
 def draw_with_retry(spark: SparkSession, sf: str) -> DataFrame:
     rows = standins.table(spark, sf, "documents").count()
     shards, quota = standins.shards_for(rows)
-    responses = stage(standins.draw_responses(spark, sf, shards, quota), "responses")
+    responses = standins.answers(spark, sf)
 
     def build(attempts: DataFrame) -> DataFrame:
-        return builders.generated_answers(attempts, responses).select("shard", "attempt", "idx")
+        return builders.generated_answers(attempts, responses, ["shard", "attempt"], "answer").select("shard", "attempt", "idx")
 
     return sampling.draw_with_retry(spark, rows, build, shards, quota).select("shard", "slot", "attempt", "idx")
 
 
 @query(
     "multi_image_generated",
-    f"""WITH {sql_draws('documents', 'image_draw')},
+    f"""WITH RECURSIVE {sql_draws('documents', 'image_draw')},
 ex AS (SELECT shard, slot AS place, attempt, shard || ':' || attempt AS ex_key, question, answer, n FROM drawn, size_),
 {sql_k_rows('ex', 'ex_key', 'n', 6)},
 g AS (SELECT example, count(*) AS k, string_agg('images/' || idx || '.jpg', '|' ORDER BY slot) AS images FROM chosen GROUP BY example)
@@ -268,15 +316,15 @@ SELECT ex.shard, ex.place AS slot, 'images-' || sha256(ex.ex_key) AS id, g.image
 FROM ex JOIN g ON g.example = ex.ex_key""",
 )
 def multi_image_generated(spark: SparkSession, sf: str) -> DataFrame:
-    source = standins.images(spark, sf).select("idx", "image")
+    source = standins.images(spark, sf)
     shards, quota = standins.shards_for(source.count())
-    responses = stage(standins.draw_responses(spark, sf, shards, quota), "responses")
+    responses = standins.answers(spark, sf)
     return flat(builders.multi_image_generated(spark, source, responses, shards, quota), "images", "shard", "slot")
 
 
 @query(
     "multi_image_prompts",
-    f"""WITH ex AS (SELECT item_id AS example_id, (SELECT count(*) FROM documents) AS n FROM benchmark),
+    f"""WITH RECURSIVE ex AS (SELECT item_id AS example_id, (SELECT count(*) FROM documents) AS n FROM benchmark),
 {sql_k_rows('ex', 'example_id', 'n', 6)},
 l AS (SELECT example, string_agg('Image ' || (slot + 1) || ' - ' || text, chr(10) ORDER BY slot) AS lines FROM chosen JOIN documents ON doc_id = idx GROUP BY example)
 SELECT example AS item_id, {quote(fv.MULTI_IMAGE_PROMPT.split('{captions}')[0])} || lines
@@ -291,20 +339,16 @@ def multi_image_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- video -----------------------------------------------------------------------------------------------------------------
 
-N_CLIPS = 4000
-
-
 @query(
     "build_video_pretrain",
-    f"""WITH {SQL_CLIPS}, s AS (SELECT * FROM clips ORDER BY {sql_order('clip_id', 'video_sample')} LIMIT {N_CLIPS}),
+    f"""WITH {SQL_CLIPS}, s AS (SELECT * FROM clips ORDER BY {sql_order('clip_id', 'video_sample')} LIMIT 500000),
 t AS (SELECT *, {sql_seconds('"start"')} AS a, {sql_seconds('"end"')} AS b FROM s)
 SELECT 'video-' || sha256(clip_id::VARCHAR) AS id, 'https://www.youtube.com/watch?v=' || video_id AS url, round(a, 6) AS start_time, round(b, 6) AS end_time,
   'user: ' || {sql_pick('clip_id', 'video', fv.VIDEO_PHRASES)} || chr(10) || 'assistant: ' || caption AS messages
 FROM t WHERE a IS NOT NULL AND b IS NOT NULL""",
 )
 def build_video_pretrain(spark: SparkSession, sf: str) -> DataFrame:
-    """At most N_CLIPS sampled clips (the builder's sampling step), less those with bad times."""
-    rows = builders.video_pretrain(standins.clips(spark, sf), N_CLIPS)
+    rows = builders.video_pretrain(standins.clips(spark, sf))
     video = F.element_at("videos", 1)
     return rows.select(
         "id",

@@ -44,6 +44,10 @@ def sql_hash(key: str, salt: str) -> str:
     return f"('0x' || substr({sql_order(key, salt)}, 1, 8))::BIGINT"
 
 
+def sql_hash60(key: str, salt: str) -> str:
+    return f"('0x' || substr({sql_order(key, salt)}, 1, 15))::BIGINT"
+
+
 def sql_pick(key: str, salt: str, values: list[str]) -> str:
     return f"({sql_list(values)})[({sql_hash(key, salt)} % {len(values)} + 1)::INT]"
 

@@ -6,25 +6,22 @@ Every rule only decides what a row looks like; no row is left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import media
 from chatloom.operators.messages import assemble_messages, qa_pairs
 from chatloom.operators.ranking import hash_positions
-from chatloom.session import spread
+from chatloom.session import stage
 from chatloom.sources.files import read_table
 
 MEDIA_ROOT = "/media"
 
 
-# row key of each table that feeds row-local text work
-KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "lineitem": "l_orderkey"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = read_table(spark, sf, name)
-    return spread(df, KEYS[name]) if name in KEYS else df
+    return read_table(spark, sf, name)
 
 
 def plain_chats(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,17 +218,19 @@ def shards_for(rows: int) -> tuple[int, int]:
     return shards, -(-rows // shards)
 
 
-def draw_responses(spark: SparkSession, sf: str, shards: int, quota: int, factor: int = 4) -> DataFrame:
-    """``shard, attempt, response``: question/answer JSON, some of it cut off or incomplete."""
-    qa = pairs(spark, sf)
+def answers(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    """A model's part: ``shard, attempt, response`` for whatever attempts it is handed, some of it cut off or incomplete."""
+    qa = stage(pairs(spark, sf), "pairs")
     n = qa.count()
-    calls = spark.range(shards * quota * factor).select(
-        F.floor(F.col("id") / (quota * factor)).cast("bigint").alias("shard"), (F.col("id") % (quota * factor)).alias("attempt")
-    ).withColumn("pair", (F.col("shard") * 7919 + F.col("attempt")) % n)
-    whole = F.to_json(F.struct("question", "answer"))
-    partial = F.to_json(F.struct("question"))
-    payload = F.when(F.col("attempt") % 7 == 0, partial).otherwise(whole)
-    return calls.join(qa, "pair").select("shard", "attempt", broken_json(payload, F.col("attempt")).alias("response"))
+
+    def respond(requests: DataFrame) -> DataFrame:
+        calls = requests.select("shard", "attempt", ((F.col("shard") * 7919 + F.col("attempt")) % n).alias("pair"))
+        whole = F.to_json(F.struct("question", "answer"))
+        partial = F.to_json(F.struct("question"))
+        payload = F.when(F.col("attempt") % 7 == 0, partial).otherwise(whole)
+        return calls.join(qa, "pair").select("shard", "attempt", broken_json(payload, F.col("attempt")).alias("response"))
+
+    return respond
 
 
 def sounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,15 +242,19 @@ def sounds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def caption_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """``idx, response``: a caption per sound, some of it cut off or missing."""
-    qa = pairs(spark, sf)
+def captions(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    """``idx, response``: a caption for each request, some of it cut off or missing."""
+    qa = stage(pairs(spark, sf), "pairs")
     n = qa.count()
-    calls = sounds(spark, sf).select("idx", (F.col("idx") % n).alias("pair"))
-    whole = F.to_json(F.struct(F.col("answer").alias("caption")))
-    partial = F.to_json(F.struct(F.col("answer").alias("title")))
-    payload = F.when(F.col("idx") % 7 == 0, partial).otherwise(whole)
-    return calls.join(qa, "pair").select("idx", broken_json(payload, F.col("idx")).alias("response"))
+
+    def respond(requests: DataFrame) -> DataFrame:
+        calls = requests.select("idx", (F.col("idx") % n).alias("pair"))
+        whole = F.to_json(F.struct(F.col("answer").alias("caption")))
+        partial = F.to_json(F.struct(F.col("answer").alias("title")))
+        payload = F.when(F.col("idx") % 7 == 0, partial).otherwise(whole)
+        return calls.join(qa, "pair").select("idx", broken_json(payload, F.col("idx")).alias("response"))
+
+    return respond
 
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:

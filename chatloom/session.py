@@ -59,14 +59,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a small input by key when it arrives in fewer partitions than there are cores.
-
-    A file with one row group is read by one task, and row-local work on it would stay there. Inputs of a real size
-    have more partitions than cores and pass unchanged, without a shuffle. A later grouping by the same keys finds
-    its rows in place.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

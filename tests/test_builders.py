@@ -118,7 +118,7 @@ def test_sources(spark, tmp_path):
     assert files.read_chat(spark, "chats_by_name").collect() == chats.collect()
 
     for _ in range(2):
-        builders.save_generated(chats, str(tmp_path / "cache"))
+        assert builders.cached(chats, str(tmp_path / "cache")).collect() == chats.collect()
     assert spark.read.json(str(tmp_path / "cache")).count() == 2
 
 
@@ -164,3 +164,24 @@ def test_card(spark):
     row = dataset_card(df, "id", bundle("audio_clap")).first()
     assert row["num_examples"] == 2 and json.loads(row["first_example"]) == {"id": 1, "m": "y"}
     assert row["modalities"] == "* audio_clap (use `<sound>` in text and provide `sounds`, encoded as 5 tokens)"
+
+
+def test_generated_rows_make_a_round_trip(spark, tmp_path):
+    """The model is handed prompts for just the attempts asked for; what it answered is in the cache as built."""
+    sounds = spark.range(20).select(F.col("id").alias("idx"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("tag "), "id").alias("tags"))
+    asked = []
+
+    def model(requests):
+        asked.append(requests)
+        good = F.to_json(F.struct(F.lit("q").alias("question"), F.col("prompt").alias("answer")))
+        return requests.select("shard", "attempt", F.when(F.col("attempt") % 9 == 0, good).otherwise("{").alias("response"))
+
+    cache = str(tmp_path / "cache")
+    rows = builders.sound_generated(spark, sounds, model, shards=2, quota=3, cache=cache).collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, i) for s in range(2) for i in range(3)]
+    for r in rows:
+        assert f"tag {r['sounds'][0][1:]}\n" in r["messages"][1]["content"]
+    assert len(asked) > 1 and "prompt" in asked[0].columns
+    assert sorted(r["id"] for r in spark.read.json(cache).collect()) == sorted(r["id"] for r in rows)
+    with pytest.raises(ValueError):
+        builders.sound_generated(spark, sounds.filter("idx <> 5"), model, 2, 3)

@@ -70,3 +70,29 @@ def test_long_input_does_not_overflow(spark):
     df = spark.createDataFrame([(f"{text}\nQ: q\nA: a",), (text,)], "text string")
     got = extraction.extract_long_qa(df, "text").collect()
     assert sorted(len(r["document"] or "") for r in got) == [0, len(text.strip())]
+
+
+def test_long_texts_follow_the_patterns_on_random_texts(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = ["Question: ", "Answer: ", "\nLong Answer: ", "\nQ: ", "\nA: ", "x", " ", "\n", "é", " ."]
+    texts = ["".join([rng.choice([SEARCH, ""])] + [rng.choice(parts) for _ in range(rng.randrange(25))]) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in extraction.extract_long_qa(df, "text").collect():
+        want = (None, None, None)
+        for pattern, template, at in zip(fv.LONG_TEXT_PATTERNS, fv.LONG_TEXT_PROMPTS, fv.LONG_TEXT_ANSWER_GROUPS):
+            m = re.match(pattern, r["text"])
+            if m:
+                want = (m.group(1).strip(), template.replace("\\2", m.group(2).strip()), m.group(at).strip().replace(" .", "."))
+                break
+        assert (r["document"], r["prompt"], r["answer"]) == want, r["text"]
+
+
+def test_a_lead_without_a_long_answer_takes_linear_time(spark):
+    import time
+
+    text = SEARCH + "Question: x Answer: y " * 45_000
+    begin = time.time()
+    row = extraction.extract_long_qa(spark.createDataFrame([(text,)], "text string"), "text").first()
+    assert row["reject_reason"] and time.time() - begin < 10

@@ -58,7 +58,7 @@ def test_draw_with_retry_fills_every_shard(spark):
     got = sampling.draw_with_retry(spark, 37, build, shards=3, quota=10).orderBy("shard", "slot").collect()
     assert [(r["shard"], r["slot"], r["attempt"]) for r in got] == [(s, i, 5 * i) for s in range(3) for i in range(10)]
     assert all(0 <= r["idx"] < 37 for r in got)
-    want = [int(hashlib.md5(f"draw:{r['shard']}:{r['attempt']}".encode()).hexdigest()[:8], 16) % 37 for r in got]
+    want = [int(hashlib.md5(f"draw:{r['shard']}:{r['attempt']}".encode()).hexdigest()[:15], 16) % 37 for r in got]
     assert [r["idx"] for r in got] == want
 
 
@@ -85,6 +85,28 @@ def test_draw_k_rows(spark):
         sampling.draw_k_rows(ex, "example", 5, 6)
 
 
+def test_row_numbers_beyond_32_bits(spark):
+    rows = 2**40
+    got = sampling.attempts(spark, rows, 4, 0, 500).agg(F.max("idx").alias("hi"), F.avg("idx").alias("mean")).first()
+    assert got["hi"] > 2**39 and abs(got["mean"] / rows - 0.5) < 0.05
+    ex = spark.range(300).withColumnRenamed("id", "example")
+    assert sampling.draw_k_rows(ex, "example", rows, 6).agg(F.max("idx")).first()[0] > 2**39
+
+
+def test_every_choice_of_k_rows_is_as_likely(spark):
+    """All ordered choices of distinct rows out of 4, over 6,000 examples."""
+    ex = spark.range(6000).withColumnRenamed("id", "example")
+    by = {}
+    for r in sampling.draw_k_rows(ex, "example", 4, 3).collect():
+        by.setdefault(r["example"], []).append((r["slot"], r["idx"]))
+    chosen = [tuple(i for _, i in sorted(v)) for v in by.values()]
+    for k, kinds in ((1, 4), (2, 12), (3, 24)):
+        own = [c for c in chosen if len(c) == k]
+        counts = [own.count(c) for c in set(own)]
+        assert abs(len(own) - 2000) < 200 and len(counts) == kinds
+        assert all(abs(n - len(own) / kinds) < 5 * (len(own) / kinds) ** 0.5 for n in counts)
+
+
 def test_rate(spark):
     assert sampling.sample_rate(spark.range(1000), F.col("id"), 0.0).count() == 0
     assert sampling.sample_rate(spark.range(1000), F.col("id"), 1.0).count() == 1000
@@ -98,3 +120,16 @@ def test_merge_keeps_copies_and_fills_columns(spark):
     assert [r["position"] for r in got] == list(range(5))
     assert sorted((r["dataset_no"], r["id"]) for r in got) == [(0, "x"), (0, "y"), (1, "x"), (2, "x"), (2, "y")]
     assert [r["images"] for r in got if r["dataset_no"] == 1] == [None]
+
+
+def test_merge_of_equal_ids_is_stable(spark):
+    """One id with many copies: the same positions for any partitioning, no window group of its size."""
+    rows = [("same", [str(i % 3)]) for i in range(600)] + [(f"id{i}", ["x"]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, images array<string>")
+    seen = None
+    for n in (1, 4, 16):
+        got = sorted((r["position"], r["id"], tuple(r["images"])) for r in merge_datasets([df.repartition(n), df.limit(10)]).collect())
+        assert [p for p, _, _ in got] == list(range(810))
+        head = [x for x in got]
+        assert seen is None or [(p, i) for p, i, _ in head] == seen
+        seen = [(p, i) for p, i, _ in head]
