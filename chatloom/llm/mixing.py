@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 #: under it is the target. Heavy sources are even, middle ones grow, light ones come early and fade.
 SCHEDULES = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
 AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
-BUCKET_ROWS = 1 << 15
+BUCKET_ROWS = 1 << 10
 MOST_BUCKET_BITS = 20
 
 
