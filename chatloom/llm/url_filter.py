@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from chatloom.llm.common import in_ranges
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULE = "struct<host: string, path: string, verdict: string>"
 START, POINT, END = 0, 1, 2
 
 
@@ -146,4 +145,7 @@ def _label_ends(key: Column) -> Column:
 
 
 def rules_table(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """(host, path, verdict) rows as literals of a plan."""
+    made = [F.struct(*[F.lit(x).alias(c) for c, x in zip(("host", "path", "verdict"), rule)]) for rule in rules]
+    empty = F.array().cast("array<struct<host: string, path: string, verdict: string>>")
+    return spark.range(1).select(F.inline(F.array(*made) if made else empty))
