@@ -7,10 +7,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chatloom.operators.joins import attach_by_frequency
 from chatloom.registry import ModalitySpec
@@ -18,37 +19,37 @@ from chatloom.registry import ModalitySpec
 MAX_WEIGHT_BYTES = 1 << 30
 
 
-def _spec_value(code: Column, specs: Sequence[ModalitySpec], field: str, kind: str) -> Column:
-    out = F.lit(None).cast(kind)
-    for s in specs:
-        out = F.when(code == s.code, F.lit(getattr(s, field)).cast(kind)).otherwise(out)
-    return out
+def _span_starts(ids: Column, spec: ModalitySpec) -> Column:
+    """First positions of a modality's spans: a fold over the positions that hold its code."""
+    spots = F.filter(F.transform(ids, lambda x, i: F.when(x == spec.code, i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("starts"), F.lit(-2).alias("last"), F.lit(0).alias("run"))
+
+    def step(a: Column, pos: Column) -> Column:
+        run = F.when(pos == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1))
+        full = run == spec.width
+        return F.struct(
+            F.when(full, F.concat(a["starts"], F.array(pos - (spec.width - 1)))).otherwise(a["starts"]).alias("starts"),
+            pos.alias("last"),
+            F.when(full, F.lit(0)).otherwise(run).alias("run"),
+        )
+
+    return F.aggregate(spots, start, step, lambda a: a["starts"])
 
 
 def find_spans(encoded: DataFrame, key: str, specs: Sequence[ModalitySpec], ids: str = "input_ids") -> DataFrame:
     """``(key, name, k, start, width)``: where the k-th item of a modality goes.
 
-    Runs of one code are islands of consecutive positions; a run holds floor(run / width) spans, read from the left,
-    so touching placeholders separate correctly and a cut-off rest of a run is no span. Only placeholder positions
-    are exploded.
+    Runs of one code are read from the left; a run holds floor(run / width) spans, so touching placeholders separate
+    correctly and a cut-off rest of a run is no span. A sequence lies in one row, and so does the work: no shuffle.
     """
-    codes = [s.code for s in specs]
-    spots = encoded.select(key, F.posexplode_outer(ids).alias("pos", "code")).filter(F.col("code").isin(*codes))
-    by_code = Window.partitionBy(key, "code").orderBy("pos")
-    islands = spots.withColumn("island", F.col("pos") - F.row_number().over(by_code))
-    runs = islands.groupBy(key, "code", "island").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("run"))
-    sized = runs.withColumn("width", _spec_value(F.col("code"), specs, "width", "bigint"))
-    whole = sized.withColumn("spans", F.floor(F.col("run") / F.col("width")).cast("bigint")).filter(F.col("spans") > 0)
-    starts = whole.select(
-        key, "code", "width", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("spans") - 1)).alias("j")
-    ).withColumn("start", (F.col("first") + F.col("j") * F.col("width")).cast("bigint"))
-    by_start = Window.partitionBy(key, "code").orderBy("start")
-    return starts.select(
-        key,
-        _spec_value(F.col("code"), specs, "name", "string").alias("name"),
-        (F.row_number().over(by_start) - 1).cast("bigint").alias("k"),
-        "start",
-        "width",
+    per_spec = [
+        F.struct(F.lit(s.name).alias("name"), _span_starts(F.col(ids), s).alias("starts"), F.lit(s.width).cast("bigint").alias("width"))
+        for s in specs
+    ]
+    found = encoded.select(key, F.inline(F.array(*per_spec)))
+    return found.select(key, "name", F.posexplode("starts").alias("k", "start"), "width").select(
+        key, "name", F.col("k").cast("bigint").alias("k"), F.col("start").cast("bigint").alias("start"), "width"
     )
 
 
@@ -74,22 +75,37 @@ def scatter_items(spans: DataFrame, slots: DataFrame, key: str) -> DataFrame:
     ).drop("_found", "start")
 
 
+def input_vectors(embedded: DataFrame, filled: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """The sequence a model reads: ``(key, pos, kind, vector)`` with one vector of ``size`` numbers for each position.
+
+    ``embedded`` has every position with its text vector or NULL (``embed_tokens``), ``filled`` the vectors of items
+    (``scatter_items``). A position is ``text``, ``item``, or ``zero`` where a placeholder has no item. Positions are
+    unique on both sides, so the join is even.
+    """
+    items = filled.select(key, "pos", F.col(vector).alias("_item"))
+    met = embedded.select(key, "pos", F.col(vector).alias("_text")).join(items, [key, "pos"], "left")
+    kind = F.when(F.col("_text").isNotNull(), "text").when(F.col("_item").isNotNull(), "item").otherwise("zero")
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return met.select(key, "pos", kind.alias("kind"), F.coalesce("_text", "_item", zeros).alias(vector))
+
+
 def surplus_items(spans: DataFrame, slots: DataFrame, key: str) -> DataFrame:
     """Items no span asks for."""
     return slots.select(key, "name", "k").distinct().join(spans, [key, "name", "k"], "left_anti")
 
 
 def masked_mean_pool(vectors: DataFrame, group: str, vector: str, mask: str) -> DataFrame:
-    """Mean per dimension over the unmasked vectors of a group: ``(group, dim, mean)``; all masked gives NaN.
+    """``(group, vector)``: the mean of a group's unmasked vectors; all masked gives NaN in every dimension.
 
-    (group, dim) sums are combined before the shuffle, so a group of any size ends as one partial row per task.
+    One grouping of whole vectors; partial means combine in the tasks, so a group of any size ends as one row for each.
+    A masked vector weighs next to nothing rather than nothing, which keeps the size of a group that has no other.
     """
-    flat = vectors.select(group, F.col(mask).cast("double").alias("_m"), F.posexplode_outer(vector).alias("dim", "_v"))
-    sums = flat.filter(F.col("dim").isNotNull()).groupBy(group, "dim").agg(
-        F.sum(F.col("_m") * F.col("_v").cast("double")).alias("_s"), F.sum("_m").alias("_n")
+    weight = F.when(F.col(mask) != 0, F.col(mask).cast("double")).otherwise(F.lit(1e-200))
+    summed = vectors.groupBy(group).agg(
+        Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")), weight).alias("_mean"), F.max(F.col(mask) != 0).alias("_any")
     )
-    mean = F.when(F.col("_n") == 0, F.lit(float("nan"))).otherwise(F.col("_s") / F.nullif(F.col("_n"), F.lit(0.0)))
-    return sums.select(group, F.col("dim").cast("bigint").alias("dim"), mean.alias("mean"))
+    mean = vector_to_array("_mean")
+    return summed.select(group, F.transform(mean, lambda x: F.when(F.col("_any"), x).otherwise(F.lit(float("nan")))).alias(vector))
 
 
 def supervised_loss(positions: DataFrame, key: str, nll: DataFrame, by: list[str]) -> DataFrame:
@@ -116,9 +132,22 @@ class Projector:
         return sum(w.nbytes + b.nbytes for slot in self.layers for w, b in slot)
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """Error function to double accuracy: 2/sqrt(pi) exp(-x^2) times the sum of 2^n x^(2n+1) / (2n+1)!!, which has no
+    cancellation; from 6 on it is 1."""
+    clipped = np.clip(x, -6.0, 6.0)
+    square = clipped * clipped
+    term, total = clipped.copy(), clipped.copy()
+    n = 0
+    while np.any(np.abs(term) > 1e-17 * np.abs(total)):
+        n += 1
+        term *= 2.0 * square / (2 * n + 1)
+        total += term
+    return 2.0 / math.sqrt(math.pi) * np.exp(-square) * total
+
+
 def _gelu(x: np.ndarray) -> np.ndarray:
-    erf = np.frompyfunc(math.erf, 1, 1)
-    return x * 0.5 * (1.0 + erf(x / math.sqrt(2.0)).astype(np.float64))
+    return x * 0.5 * (1.0 + erf(x / math.sqrt(2.0)))
 
 
 def apply_slot(layers: Sequence[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
@@ -132,29 +161,27 @@ def project_vectors(df: DataFrame, key: str, vector: str, projector: Projector)
     """``(key, slot, projected)``: every vector through the network of each slot.
 
     One network per slot makes one vector fill several positions; a projector with a single slot maps patch vectors
-    one to one. Matrix products need numpy, so Arrow batches go through ``mapInPandas``; the weights are model
-    constants, broadcast once and refused above a fixed size.
+    one to one. Matrix products need numpy, so Arrow batches go through ``mapInArrow``, whole batches at a time; the
+    weights are model constants, broadcast once and refused above a fixed size. Vectors must not be NULL and all have
+    the size of the first layer.
     """
     if projector.nbytes > MAX_WEIGHT_BYTES:
         raise ValueError(f"projector of {projector.nbytes} bytes is too large to broadcast")
     shared = df.sparkSession.sparkContext.broadcast(projector.layers)
-    key_type = df.schema[key].dataType
-    schema = T.StructType(
-        [
-            T.StructField(key, key_type),
-            T.StructField("slot", T.LongType()),
-            T.StructField("projected", T.ArrayType(T.DoubleType())),
-        ]
-    )
+    kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
         for batch in batches:
-            if batch.empty:
+            n = batch.num_rows
+            if not n:
                 continue
-            x = np.stack(batch[vector].to_numpy()).astype(np.float64)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
             for slot, layers in enumerate(slots):
                 y = apply_slot(layers, x)
-                yield pd.DataFrame({key: batch[key], "slot": slot, "projected": list(y)})
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * y.shape[1])
+                columns = [batch.column(0), pa.array(np.full(n, slot, np.int64)), pa.ListArray.from_arrays(ends, pa.array(y.reshape(-1)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "slot", "projected"])
 
-    return df.select(key, vector).mapInPandas(run, schema)
+    rows = df.select(F.col(key).alias("key"), vector)
+    return rows.mapInArrow(run, f"key {kind}, slot bigint, projected array<double>").withColumnRenamed("key", key)

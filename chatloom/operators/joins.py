@@ -9,28 +9,51 @@ from pyspark.sql import types as T
 MAX_BROADCAST_BYTES = 256 << 20
 
 
-def resolve_refs(refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx") -> DataFrame:
-    """Attach to every reference (dataset name, row number) the columns of the row it names.
-
-    ``sources`` maps a dataset name to a frame with an ``idx`` column; all must have the same columns. Row numbers
-    are unique per dataset, so only the reference side can be skewed (many references to one row), which adaptive
-    execution splits; a small dataset is broadcast by its size. References to a row that does not exist are dropped
-    (see ``dangling_refs``).
-    """
+def _tagged(sources: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """All rows that can be referred to, as (_dataset, _idx, columns)."""
     tagged = None
     for name, frame in sources.items():
-        part = frame.withColumn(dataset, F.lit(name)).withColumnRenamed("idx", idx)
+        chosen = [c for c in frame.columns if c != "idx"] if columns is None else columns
+        part = frame.select(F.lit(name).alias("_dataset"), F.col("idx").alias("_idx"), *chosen)
         tagged = part if tagged is None else tagged.unionByName(part)
-    return refs.join(tagged, [dataset, idx])
+    return tagged
+
+
+def reference_name(reference: Column) -> Column:
+    """The name of a stored reference's dataset: path, name and split of its arguments, joined by slashes."""
+    args = reference["dataset_args"]
+    return F.concat_ws("/", args["path"], args["name"], args["split"])
+
 
+def _target(refs: DataFrame, dataset: str, idx: str, reference: str | None) -> tuple[Column, Column]:
+    if reference is None:
+        return F.col(dataset), F.col(idx)
+    return reference_name(F.col(reference)), F.col(reference)["idx"]
+
+
+def resolve_refs(
+    refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx", reference: str | None = None
+) -> DataFrame:
+    """Attach to every reference the columns of the row it names.
+
+    A reference is a dataset name and a row number in two columns, or, with ``reference``, a struct as the builders store
+    it (``dataset_args`` with path, name and split, and ``idx``). ``sources`` maps a name (``reference_name``) to a frame
+    with an ``idx`` column; all have the same columns. Row numbers are unique per dataset, so only the reference side can
+    be skewed (many references to one row), which adaptive execution splits; a small dataset is broadcast by its size.
+    References to a row that does not exist are dropped (see ``dangling_refs``).
+    """
+    name, number = _target(refs, dataset, idx, reference)
+    keyed = refs.withColumn("_dataset", name).withColumn("_idx", number)
+    return keyed.join(_tagged(sources), ["_dataset", "_idx"]).drop("_dataset", "_idx")
 
-def dangling_refs(refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx") -> DataFrame:
+
+def dangling_refs(
+    refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx", reference: str | None = None
+) -> DataFrame:
     """References that name no row."""
-    known = None
-    for name, frame in sources.items():
-        part = frame.select(F.lit(name).alias(dataset), F.col("idx").alias(idx))
-        known = part if known is None else known.unionByName(part)
-    return refs.join(known, [dataset, idx], "left_anti")
+    name, number = _target(refs, dataset, idx, reference)
+    keyed = refs.withColumn("_dataset", name).withColumn("_idx", number)
+    return keyed.join(_tagged(sources, []), ["_dataset", "_idx"], "left_anti").drop("_dataset", "_idx")
 
 
 def keep_existing(df: DataFrame, manifest: DataFrame, path: str = "path") -> DataFrame:
@@ -44,47 +67,67 @@ def missing_files(df: DataFrame, manifest: DataFrame, path: str = "path") -> Dat
 
 
 def row_bytes(df: DataFrame, columns: list[str]) -> Column:
-    """Rough size of a row: text length, eight bytes per number or array element, and a fixed overhead."""
+    """Rough size of a row: bytes of texts, eight for each number, the printed size of anything nested, and an overhead."""
     total = F.lit(32).cast("bigint")
     for name in columns:
         kind = df.schema[name].dataType
         if isinstance(kind, (T.StringType, T.BinaryType)):
             size = F.octet_length(name)
-        elif isinstance(kind, T.ArrayType):
-            size = F.size(name) * 8
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            size = F.size(name) * 8 + 16
+        elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+            size = F.octet_length(F.to_json(name)) * 2
         else:
             size = F.lit(8)
         total = total + F.coalesce(size, F.lit(0)).cast("bigint")
     return total
 
 
+def _head_floor(dim: DataFrame, columns: list[str], freq: str, limit: int) -> int:
+    """Least frequency from which on the rows of ``dim`` fit ``limit`` bytes in all; 0 if the whole table does.
+
+    Rows are counted by frequency class, sixteen to each doubling, so the driver sees at most a thousand sums whatever
+    the table holds, and one huge row only weighs on its own class.
+    """
+    kind = F.floor(F.log2(F.greatest(F.col(freq), F.lit(1)).cast("double")) * 16).cast("int").alias("class")
+    classes = dim.groupBy(kind).agg(F.sum(row_bytes(dim, columns)).alias("bytes"), F.min(freq).alias("least")).collect()
+    used, floor = 0, None
+    for c in sorted(classes, key=lambda c: -c["class"]):
+        used += c["bytes"]
+        if used > limit:
+            return floor if floor is not None else 1 << 62
+        floor = c["least"]
+    return 0
+
+
 def attach_by_frequency(
     facts: DataFrame, dim: DataFrame, key: str, freq: str = "freq", max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:
-    """Left join of ``facts`` with a dimension whose ``freq`` column tells how often each key occurs in ``facts``.
+    """Left join of ``facts`` with a dimension of unique keys whose ``freq`` column tells how often a key occurs in them.
 
-    Words follow a steep frequency curve: a few keys make up most rows. A dimension whose counted rows times its
-    widest row fit the limit is broadcast. Of a larger one only the frequent head is: at most total/T keys can occur T
-    times or more, so T = total / (rows that fit) bounds the broadcast. The tail is joined by a shuffle in which no
-    key has more than T rows. ``dim`` is read several times: pass a staged table.
+    Words follow a steep frequency curve: a few keys make up most rows. The most frequent rows of the dimension are
+    broadcast as far as they fit the limit, counted in bytes; what they don't find is looked up in the rest by a shuffle,
+    in which no known key has more rows than the least frequent one broadcast. Rows whose key was found or is NULL are
+    spread over all partitions there. The facts are read once. ``freq`` must come from these facts: keys that the
+    dimension lacks have no bound, and a hot one is left to the splitting of skewed joins.
+
+    ``dim`` is read several times: pass a staged table.
     """
-    dim_columns = [c for c in dim.columns if c not in (key, freq)]
-    size = dim.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(freq).alias("total"), F.max(row_bytes(dim, [key, *dim_columns])).alias("widest")
-    ).first()
-    fitting = max(1, max_broadcast_bytes // (size["widest"] or 1))
-    if size["n"] <= fitting:
+    columns = [c for c in dim.columns if c not in (key, freq)]
+    floor = _head_floor(dim, [key, *columns], freq, max_broadcast_bytes)
+    if floor == 0:
         return facts.join(F.broadcast(dim.drop(freq)), key, "left")
-    floor = -(-size["total"] // fitting)
-    head = dim.filter(F.col(freq) >= floor).drop(freq).withColumn("_head", F.lit(True))
-    tail = dim.filter(F.col(freq) < floor).drop(freq)
+    order = [*facts.columns, *columns]
+    row = F.struct(*columns)
+    head = dim.filter(F.col(freq) >= floor).select(key, row.alias("_head"))
+    tail = dim.filter(F.col(freq) < floor).select(F.col(key).alias("_key"), row.alias("_tail"), F.lit(0).alias("_salt"))
     met = facts.join(F.broadcast(head), key, "left")
-    frequent = met.filter(F.col("_head")).drop("_head")
-    rest = met.filter(F.col("_head").isNull()).drop("_head", *dim_columns)
-    # rows without a key would all land in one partition of the shuffle
-    keyless = rest.filter(F.col(key).isNull())
-    joined = rest.filter(F.col(key).isNotNull()).join(tail, key, "left")
-    return frequent.unionByName(joined).unionByName(keyless, allowMissingColumns=True)
+    open_ = F.when(F.col("_head").isNull(), F.col(key))
+    salted = met.withColumn("_key", open_).withColumn(
+        "_salt", F.when(F.col("_key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("int")).otherwise(F.lit(0))
+    )
+    found = salted.join(tail, ["_key", "_salt"], "left").withColumn("_row", F.coalesce("_head", "_tail"))
+    return found.select(*facts.columns, *[F.col("_row").getField(c).alias(c) for c in columns]).select(*order)
 
 
 def _field(name: str):

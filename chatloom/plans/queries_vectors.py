@@ -73,6 +73,21 @@ _ITEMS = """items AS (SELECT conv_id, 'vision_clip' AS name, unnest(range(conv_i
   UNION ALL SELECT conv_id, 'document_gte', 0 FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 = 0)"""
 
 
+def _slots(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """``(conv_id, name, k, slot, vec_id)``: the row of the embeddings table in each slot of each item."""
+    chats = standins.chats(spark, sf)
+    items = None
+    for spec in SPECS:
+        listed = chats.select("conv_id", F.lit(spec.name).alias("name"), F.posexplode_outer(spec.data_key).alias("k", "item"))
+        part = listed.filter(F.col("k").isNotNull()).select(
+            "conv_id", "name", F.col("k").cast("bigint").alias("k"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spec.width - 1).cast("bigint"))).alias("slot"),
+        )
+        items = part if items is None else items.unionByName(part)
+    key = hashing.key_text(F.col("conv_id"), F.col("name"), F.col("k"))
+    return items.withColumn("vec_id", (hashing.hash32(key, "item") + F.col("slot")) % n)
+
+
 @query(
     "scatter_items",
     f"""WITH {sql_ids()}, {SQL_SPANS}, {_ITEMS}, n AS (SELECT count(*) AS n FROM embeddings),
@@ -85,24 +100,49 @@ FROM places p LEFT JOIN slots t USING (conv_id, name, k, slot) LEFT JOIN embeddi
 )
 def scatter_items(spark: SparkSession, sf: str) -> DataFrame:
     """Item vectors into their spans. The vector of a slot is a row of the embeddings table, found by its number."""
-    chats = standins.chats(spark, sf)
-    spans = _spans(spark, sf)
     table = standins.table(spark, sf, "embeddings").select("vec_id", vectors.checksum(F.col("embedding")).alias("vec_check"))
-    n = table.count()
-    items = None
-    for spec in SPECS:
-        listed = chats.select("conv_id", F.lit(spec.name).alias("name"), F.posexplode_outer(spec.data_key).alias("k", "item"))
-        part = listed.filter(F.col("k").isNotNull()).select(
-            "conv_id", "name", F.col("k").cast("bigint").alias("k"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spec.width - 1).cast("bigint"))).alias("slot"),
-        )
-        items = part if items is None else items.unionByName(part)
-    key = hashing.key_text(F.col("conv_id"), F.col("name"), F.col("k"))
-    slots = items.withColumn("vec_id", (hashing.hash32(key, "item") + F.col("slot")) % n).join(table, "vec_id")
+    slots = _slots(spark, sf, table.count()).join(table, "vec_id")
+    spans = _spans(spark, sf)
     filled = embedding.scatter_items(spans, slots, "conv_id")
     return filled.select("conv_id", "name", "k", "slot", "pos", "vec_id", "vec_check", "status")
 
 
+def _linear(size: int) -> Projector:
+    """One layer from a rule."""
+    grid = np.arange(size * size, dtype=np.float64).reshape(size, size)
+    return Projector((((np.sin(grid * 0.7) / np.sqrt(size), np.sin(np.arange(size) * 0.7 + 0.1)),),))
+
+
+@query(
+    "input_vectors",
+    f"""WITH {sql_ids()}, {SQL_SPANS}, {_ITEMS}, n AS (SELECT count(*) AS n FROM embeddings),
+x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (SELECT vec_id, j, sum(x * sin((i * 64 + j) * 0.7::DOUBLE) / 8) + sin(j * 0.7::DOUBLE + 0.1::DOUBLE) AS v FROM x, (SELECT unnest(range(64)) AS j) GROUP BY vec_id, j),
+projected AS (SELECT vec_id, round(sum(abs(v)), 6) AS size FROM p GROUP BY vec_id),
+slots AS (SELECT i.conv_id, i.name, i.k, s.slot, ({sql_hash("i.conv_id || ':' || i.name || ':' || i.k", 'item')} + s.slot) % n.n AS vec_id
+  FROM items i, n, LATERAL (SELECT unnest(range(CASE WHEN i.name = 'vision_clip' THEN 10 ELSE 4 END)) AS slot) s),
+places AS (SELECT conv_id, name, k, start + s.slot AS pos, s.slot FROM spans, LATERAL (SELECT unnest(range(width)) AS slot) s),
+filled AS (SELECT p.conv_id, p.pos, r.size FROM places p JOIN slots t USING (conv_id, name, k, slot) JOIN projected r USING (vec_id)),
+plain AS (SELECT vec_id, round(sum(abs(x)), 6) AS size FROM x GROUP BY vec_id)
+SELECT i.conv_id, i.pos, CASE WHEN i.id >= 0 THEN 'text' WHEN f.size IS NOT NULL THEN 'item' ELSE 'zero' END AS kind,
+  CASE WHEN i.id >= 0 THEN e.size ELSE coalesce(f.size, 0) END AS size
+FROM ids i CROSS JOIN n LEFT JOIN plain e ON e.vec_id = i.id % n.n LEFT JOIN filled f ON f.conv_id = i.conv_id AND f.pos = i.pos""",
+)
+def input_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole sequences of vectors: text, projected items, zeros. ``size`` is the sum of absolute values."""
+    found = stage(turns.positions(encodable(spark, sf), "conv_id", "turn", SPECS), "positions")
+    vocab = encoding.build_vocab(found)
+    ids = encoding.attach_ids(found, vocab).select("conv_id", "pos", "token_id")
+    table = standins.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    entries = stage(standins.token_vectors(vocab, table, table.count()).withColumnRenamed("embedding", "vector"), "token_vectors")
+    embedded = embedding.embed_tokens(ids, entries.drop("vec_id"))
+    projected = embedding.project_vectors(table, "vec_id", "embedding", _linear(64)).select("vec_id", F.col("projected").alias("vector"))
+    filled = embedding.scatter_items(_spans(spark, sf), _slots(spark, sf, table.count()).join(projected, "vec_id"), "conv_id")
+    rows = embedding.input_vectors(embedded, filled, "conv_id", "vector", 64)
+    size = F.aggregate("vector", F.lit(0.0), lambda a, v: a + F.abs(v))
+    return rows.select("conv_id", "pos", "kind", F.round(size, 6).alias("size"))
+
+
 @query(
     "surplus_items",
     f"""WITH {sql_ids()}, {SQL_SPANS}, {_ITEMS}
@@ -131,7 +171,8 @@ SELECT label::BIGINT AS label, dim::BIGINT AS dim, round(sum(m * v) / sum(m), 5)
 def masked_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
     table = standins.table(spark, sf, "embeddings").withColumn("mask", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1))
     pooled = embedding.masked_mean_pool(table, "label", "embedding", "mask")
-    return pooled.select(F.col("label").cast("bigint").alias("label"), "dim", F.round("mean", 5).alias("mean"))
+    flat = pooled.select(F.col("label").cast("bigint").alias("label"), F.posexplode("embedding").alias("dim", "mean"))
+    return flat.select("label", F.col("dim").cast("bigint").alias("dim"), F.round("mean", 5).alias("mean"))
 
 
 @query(
@@ -165,11 +206,26 @@ def fixed_projector(slots: int, size: int, hidden: int) -> Projector:
     )
 
 
-@query("project_vectors")
+def sql_wave(row: str, column: str, columns: int, phase: str, rows: int) -> str:
+    return f"sin(({row} * {columns} + {column}) * 0.7::DOUBLE + {phase}) / sqrt({rows}::DOUBLE)"
+
+
+@query(
+    "project_vectors",
+    f"""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+slots AS (SELECT unnest(range(4)) AS slot), units AS (SELECT unnest(range(16)) AS j),
+h AS (SELECT vec_id, slot, j, sum(x * {sql_wave('i', 'j', 16, 'slot', 64)}) + {sql_wave('0', 'j', 16, '(slot + 0.1::DOUBLE)', 1)} AS h FROM x, slots, units GROUP BY vec_id, slot, j),
+c AS (SELECT n, exp(2 * n * ln(2::DOUBLE) + lgamma(n + 1) - lgamma(2 * n + 2)) AS c FROM range(120) r(n)),
+e AS (SELECT vec_id, slot, j, h, 2 / sqrt(pi()) * exp(-h * h / 2) * sum(c * (h / sqrt(2::DOUBLE)) ** (2 * n + 1)) AS erf FROM h, c GROUP BY vec_id, slot, j, h),
+g AS (SELECT vec_id, slot, j, h * 0.5::DOUBLE * (1 + erf) AS g FROM e)
+SELECT vec_id, slot, k AS dim, round(sum(g * {sql_wave('j', 'k', 16, '(slot + 0.2::DOUBLE)', 16)}) + {sql_wave('0', 'k', 16, '(slot + 0.3::DOUBLE)', 1)}, 6) AS value
+FROM g, (SELECT unnest(range(16)) AS k) GROUP BY vec_id, slot, k""",
+)
 def project_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL check: the exact GELU needs the error function. Tested against numpy."""
     table = standins.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return embedding.project_vectors(table, "vec_id", "embedding", fixed_projector(4, 64, 16))
+    projected = embedding.project_vectors(table, "vec_id", "embedding", fixed_projector(4, 64, 16))
+    flat = projected.select("vec_id", "slot", F.posexplode("projected").alias("dim", "value"))
+    return flat.select("vec_id", "slot", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
 # ---- loss --------------------------------------------------------------------------------------------------------------

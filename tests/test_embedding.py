@@ -39,6 +39,11 @@ def test_spans_equal_a_greedy_scan(spark):
     assert spans(spark, sequences) == sorted(want)
 
 
+def test_spans_need_no_shuffle(spark):
+    df = spark.createDataFrame([(0, [A.code] * 6)], "row long, input_ids array<long>")
+    assert "Exchange" not in embedding.find_spans(df, "row", [A, B])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scatter_and_surplus(spark):
     df = spark.createDataFrame([(0, [1, *[A.code] * 6, 2])], "row long, input_ids array<long>")
     found = embedding.find_spans(df, "row", [A, B])
@@ -61,9 +66,24 @@ def test_masked_mean(spark):
     df = spark.createDataFrame(
         [("g", [1.0, 2.0], 1), ("g", [3.0, 6.0], 1), ("g", [100.0, 100.0], 0), ("h", [5.0, 5.0], 0)], "g string, v array<double>, m int"
     )
-    got = {(r["g"], r["dim"]): r["mean"] for r in embedding.masked_mean_pool(df, "g", "v", "m").collect()}
-    assert got[("g", 0)] == 2.0 and got[("g", 1)] == 4.0
-    assert math.isnan(got[("h", 0)]) and math.isnan(got[("h", 1)])
+    pooled = embedding.masked_mean_pool(df, "g", "v", "m")
+    got = {r["g"]: r["v"] for r in pooled.collect()}
+    assert got["g"] == [2.0, 4.0]
+    assert len(got["h"]) == 2 and all(map(math.isnan, got["h"]))
+    plan = embedding.masked_mean_pool(df, "g", "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+
+
+def test_erf():
+    x = np.concatenate([np.linspace(-7, 7, 4001), [0.0, 1e-12, -1e-300]])
+    assert np.allclose(embedding.erf(x), [math.erf(v) for v in x], rtol=4e-15, atol=0)
+
+
+def test_input_vectors(spark):
+    embedded = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, None), (0, 2, None)], "row long, pos long, v array<double>")
+    filled = spark.createDataFrame([(0, 1, [3.0, 4.0]), (0, 2, None)], "row long, pos long, v array<double>")
+    got = embedding.input_vectors(embedded, filled, "row", "v", 2).orderBy("pos").collect()
+    assert [(r["kind"], r["v"]) for r in got] == [("text", [1.0, 2.0]), ("item", [3.0, 4.0]), ("zero", [0.0, 0.0])]
 
 
 def test_loss_is_one_mean_over_shifted_positions(spark):

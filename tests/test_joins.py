@@ -32,10 +32,45 @@ def test_attach_by_frequency_head_and_tail(spark):
 
     whole = rows(joins.attach_by_frequency(facts, dim, "word"))
     for limit in (1, 300, 1500):
-        assert rows(joins.attach_by_frequency(facts, dim, "word", max_broadcast_bytes=limit)) == whole
+        met = joins.attach_by_frequency(facts, dim, "word", max_broadcast_bytes=limit)
+        assert rows(met) == whole and met.columns == ["i", "word", "code"]
     assert len(whole) == len(words)
 
 
+def test_facts_are_read_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "cast(id % 7 as string) as word").write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    dim = spark.createDataFrame([(str(k), 143, ["t" * 50]) for k in range(7)], "word string, freq long, texts array<string>")
+    met = joins.attach_by_frequency(facts, dim, "word", max_broadcast_bytes=500)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Union" not in plan
+    assert met.filter("texts[0] is not null").count() == 1000
+
+
+def test_one_huge_row_does_not_empty_the_head(spark):
+    dim = spark.createDataFrame([(f"w{k}", 1000 - k, "c") for k in range(500)] + [("x" * 200_000, 1, "c")], "word string, freq long, c string")
+    floor = joins._head_floor(dim, ["word", "c"], "freq", 100_000)
+    assert 1 < floor <= 600  # all but the huge one fit
+    assert joins._head_floor(dim, ["word", "c"], "freq", 1 << 20) == 0
+    assert joins._head_floor(dim, ["word", "c"], "freq", 10) > 10**6
+
+
+def test_a_frequent_unknown_key_stays_whole(spark):
+    facts = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'unknown', cast(id % 5 as string)) as word")
+    dim = spark.createDataFrame([(str(k), 600, k) for k in range(5)], "word string, freq long, code long")
+    met = joins.attach_by_frequency(facts, dim, "word", max_broadcast_bytes=1)
+    assert met.count() == 5000 and met.filter("code is null").count() == 1667
+
+
+def test_references_as_stored(spark):
+    args = "struct('p' as path, 'en' as name, 'train' as split)"
+    refs = spark.range(6).selectExpr("id", f"named_struct('dataset_args', {args}, 'idx', id * 2) as item")
+    rows = spark.range(7).selectExpr("id as idx", "concat('t', id) as text")
+    found = joins.resolve_refs(refs, {"p/en/train": rows}, reference="item").collect()
+    assert {r["id"]: r["text"] for r in found} == {0: "t0", 1: "t2", 2: "t4", 3: "t6"}
+    assert sorted(r["id"] for r in joins.dangling_refs(refs, {"p/en/train": rows}, reference="item").collect()) == [4, 5]
+
+
 def test_wide_rows_are_not_all_broadcast(spark):
     facts = spark.createDataFrame([(i, i % 3) for i in range(90)], "i int, k int")
     dim = spark.createDataFrame([(k, 30, [float(k)] * 1000) for k in range(3)], "k int, freq long, vec array<double>")
@@ -43,7 +78,7 @@ def test_wide_rows_are_not_all_broadcast(spark):
     def broadcast_all(limit):
         plan = joins.attach_by_frequency(facts, dim, "k", max_broadcast_bytes=limit)
         assert plan.filter("vec[0] = k").count() == 90
-        return "Union" not in plan._jdf.queryExecution().optimizedPlan().toString()
+        return plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
     assert broadcast_all(1 << 20) and not broadcast_all(10_000)
 
