@@ -7,17 +7,29 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.operators.joins import attach_by_frequency
+from chatloom.operators.ranking import is_dense, range_positions
 
 
 def collate(
-    encoded: DataFrame, idx: str, batch_size: int, pad_id: int, max_length: int, ids: str = "input_ids", labels: str = "labels"
+    encoded: DataFrame,
+    idx: str,
+    batch_size: int,
+    pad_id: int,
+    max_length: int,
+    ids: str = "input_ids",
+    labels: str = "labels",
+    dense: bool | None = None,
 ) -> DataFrame:
     """Add ``batch_id``, pad every row to its batch's longest, cut to ``max_length``, add the attention mask.
 
     The mask is computed from values: if the pad id is also the unknown id, unknown tokens are masked too. A batch
-    has ``batch_size`` rows, so the window groups stay small.
+    has ``batch_size`` rows, so the window groups stay small. Rows are counted in the order of ``idx``; one with gaps is
+    numbered anew, unless ``dense`` tells that it has none.
     """
-    batched = encoded.withColumn("batch_id", F.floor(F.col(idx) / F.lit(batch_size)).cast("bigint"))
+    number = F.col(idx)
+    if not (is_dense(encoded, idx) if dense is None else dense):
+        encoded, number = range_positions(encoded, idx, "_number"), F.col("_number")
+    batched = encoded.withColumn("batch_id", F.floor(number / F.lit(batch_size)).cast("bigint")).drop("_number")
     longest = batched.withColumn("_longest", F.max(F.size(ids)).over(Window.partitionBy("batch_id")))
     missing = F.col("_longest") - F.size(ids)
     padded = longest.withColumn(

@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.ranking import is_dense, range_positions
+
 BLOCK = 1 << 20
 
 
 def fallback_map(flags: DataFrame, idx: str = "idx", ok: str = "ok", block: int = BLOCK) -> DataFrame:
     """``(idx, source)``: the row itself if it is ok, else the next ok row, wrapping round to the first.
 
+    An index with gaps is numbered anew for the work, so that blocks hold as many rows as they should.
+    """
+    if is_dense(flags, idx):
+        return _dense_map(flags, idx, ok, block)
+    numbered = range_positions(flags.select(idx, ok), idx, "_number")
+    found = _dense_map(numbered, "_number", ok, block)
+    names = numbered.select("_number", idx)
+    own = found.join(names, "_number")
+    return own.join(names.select(F.col("_number").alias("source"), F.col(idx).alias("_name")), "source", "left").select(
+        idx, F.col("_name").alias("source")
+    )
+
+
+def _dense_map(flags: DataFrame, idx: str, ok: str, block: int) -> DataFrame:
+    """The map for row numbers without gaps.
+
     Works on the two narrow columns only. Rows are ranked within blocks of consecutive row numbers; what comes after
     a block is looked up in a table with one row per block. No ok row at all is an error.
     """

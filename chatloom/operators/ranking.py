@@ -2,7 +2,7 @@
 
 A window without PARTITION BY would rank all rows in one task. Here rows fall into many ordered buckets, each bucket
 is ranked on its own, and the bucket's first position comes from a running sum over the (bounded) list of bucket
-counts. Hash buckets are even whatever the keys look like; range buckets hold at most ``width`` distinct keys.
+counts. Hash buckets are even whatever the keys look like; sorted ranges come from Spark's range partitioning.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.hashing import key_text, order_key
+from chatloom.session import stage
 
 HASH_DIGITS = 5  # at most 2**20 buckets: some 10**5 rows in each at 10**11 rows
-RANGE_WIDTH = 1 << 20
 
 
 def _positions(
@@ -56,12 +56,27 @@ def hash_positions(
     return _positions(df, bucket, [shuffled, key], out, first_n)
 
 
-def range_positions(df: DataFrame, key: str, out: str = "idx", width: int = RANGE_WIDTH) -> DataFrame:
-    """0-based dense index in the order of an integer key (must be unique).
+def in_ranges(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Stage ``df`` in sorted ranges of ``order``, as many as shuffle partitions; ``_range`` numbers them.
 
-    The bucket list has (max - min) / width entries; choose ``width`` so that this stays below some 10**5.
+    The number is written with the rows, so later plans and repeated tasks see the same ranges. Rows with equal keys
+    stay together: end the order with a unique column where one key may be hot.
     """
-    return _positions(df, F.floor(F.col(key) / F.lit(width)).cast("bigint"), [F.col(key)], out)
+    return stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+
+
+def range_positions(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
+    """0-based dense index in the order of a unique key of any sortable type.
+
+    Each range is ranked on its own; what is broadcast has one row for each range, whatever the keys look like.
+    """
+    ranged = in_ranges(df, [F.col(key)], "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    first = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).cast("bigint").alias("_offset"))
+    within = Window.partitionBy("_range").orderBy(key)
+    ranked = ranged.join(F.broadcast(first), "_range").withColumn(out, F.col("_offset") + F.row_number().over(within) - 1)
+    return ranked.select(*[c for c in df.columns if c != out], out)
 
 
 def is_dense(df: DataFrame, key: str) -> bool:

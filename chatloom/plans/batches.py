@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.operators import collating, encoding, fallback
+from chatloom.operators.ranking import is_dense
 from chatloom.registry import ModalitySpec
 from chatloom.session import stage
 
@@ -25,7 +26,7 @@ def training_batches(
 ) -> DataFrame:
     """Encode, replace what cannot be encoded by the next good row, batch, pad, cut.
 
-    ``idx`` counts the rows from 0. The result has one row per input row: ``idx, source, batch_id, input_ids, labels,
+    Batches count the rows in the order of ``idx``. The result has one row per input row: ``idx, source, batch_id, input_ids, labels,
     attention_mask`` and the item lists of the row it was taken from.
     """
     items = [s.data_key for s in specs if s.data_key in chats.columns]
@@ -34,7 +35,8 @@ def training_batches(
     encoded = encoding.encode_chat(rows.filter("ok"), idx, specs, vocab, min_freq)
     carried = fallback.fallback_next(rows.drop("messages"), idx, "ok")
     sequences = carried.join(encoded.withColumnRenamed(idx, "source"), "source")
-    return collating.collate(sequences, idx, batch_size, encoding.special_tokens(special)["pad"], max_length)
+    pad = encoding.special_tokens(special)["pad"]
+    return collating.collate(sequences, idx, batch_size, pad, max_length, dense=is_dense(rows, idx))
 
 
 def requests(chats: DataFrame, key: str, specs: Sequence[ModalitySpec], vocab: DataFrame) -> DataFrame:

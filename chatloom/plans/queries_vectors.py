@@ -5,13 +5,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.functions import hashing, media, vectors
-from chatloom.operators import embedding, encoding, turns
+from chatloom.operators import embedding, encoding, hooks, turns
 from chatloom.operators.embedding import Projector
 from chatloom.plans import standins
 from chatloom.plans.queries_encode import SPECS, encodable, sql_ids
 from chatloom.plans.registry import query, sql_hash
+from chatloom.registry import ModalitySpec
 from chatloom.session import stage
 
 BATCH = 8
@@ -228,6 +230,51 @@ def project_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("vec_id", "slot", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
+def _lengths(texts: list) -> list:
+    """An ``encode`` hook: a text's characters, blanks and a one."""
+    return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+
+
+def _joined(lists: list) -> list:
+    """A ``preprocess`` hook: the items of a list, joined; it refuses lists that hold an empty one."""
+    if any(not t for items in lists for t in items):
+        raise ValueError("empty item")
+    return [" | ".join(items) for items in lists]
+
+
+_HOOKED = ModalitySpec("joined", "<joined>", "texts", 3, preprocess=_joined, encode=_lengths)
+_SQL_TEXTS = """t AS (SELECT conv_id, CASE WHEN conv_id % 11 <> 0 THEN list(CASE WHEN conv_id % 7 = 0 AND turn = 1 THEN '' ELSE coalesce(text, '-') END ORDER BY turn) END AS texts
+  FROM conversations GROUP BY conv_id)"""
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``conv_id, texts``: the turns of each chat as its items; some lists are missing, some hold an empty item."""
+    turn = F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 1), "").otherwise(F.coalesce("text", F.lit("-")))
+    rows = standins.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("r"))
+    return rows.select("conv_id", F.when(F.col("conv_id") % 11 != 0, F.transform("r", lambda r: r["t"])).alias("texts"))
+
+
+@query(
+    "preprocess_hook",
+    f"""WITH {_SQL_TEXTS}, e AS (SELECT *, list_contains(texts, '') AS bad FROM t)
+SELECT conv_id, CASE WHEN NOT bad THEN array_to_string(texts, ' | ') END AS value,
+  CASE WHEN texts IS NULL THEN 'no texts' WHEN bad THEN 'ValueError: empty item' END AS error FROM e""",
+)
+def preprocess_hook(spark: SparkSession, sf: str) -> DataFrame:
+    return hooks.preprocess_rows(_texts(spark, sf), "conv_id", _HOOKED, T.StringType())
+
+
+@query(
+    "encode_hook",
+    f"""WITH {_SQL_TEXTS}, i AS (SELECT conv_id, unnest(texts) AS x, generate_subscripts(texts, 1) - 1 AS k FROM t)
+SELECT conv_id, 'joined' AS name, k::BIGINT AS k, length(x)::DOUBLE AS characters, (length(x) - length(replace(x, ' ', '')))::DOUBLE AS blanks FROM i""",
+)
+def encode_hook(spark: SparkSession, sf: str) -> DataFrame:
+    items = _texts(spark, sf).select("conv_id", F.posexplode("texts").alias("k", "value"))
+    found = hooks.encode_items(items, "conv_id", _HOOKED)
+    return found.select("conv_id", "name", "k", F.get("vector", F.lit(0)).cast("double").alias("characters"), F.get("vector", F.lit(1)).cast("double").alias("blanks"))
+
+
 # ---- loss --------------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,8 +47,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    """A new path below the shared folder, which is gone when the program ends."""
+    folder = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    _staged.append((spark, folder))
+    return f"{folder}/{name}"
+
+
+@atexit.register
+def drop_staged() -> None:
+    """Delete what this program has staged; results that still read it must have been written before."""
+    while _staged:
+        spark, folder = _staged.pop()
+        if spark.sparkContext._jsc is not None:  # else the session was stopped, and its files are left to the cluster
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatloom.schemas import DIALOG
+from chatloom.session import stage
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,13 +30,15 @@ def write_chat(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_shuffled(df: DataFrame, path: str, files: int, position: str = "position") -> None:
     """Write rows in the order of their position, spread over ``files`` files of consecutive positions.
 
-    Positions are dense, so the file of a row is plain arithmetic: no sampling of ranges, and even files. The column
-    stays in the files and serves as row index later.
+    Positions are dense, so the file of a row is plain arithmetic and names its partition directly: no sampling of
+    ranges, and even files. The rows are staged, so that they are evaluated once. The column stays in the files and
+    serves as row index later.
     """
+    rows = stage(df, "shuffled")
     share = F.greatest(F.lit(1), F.ceil((F.max(position) + 1) / files)).cast("bigint")
-    size = df.agg(F.coalesce(share, F.lit(1)).alias("s")).first()["s"]
-    spread_out = df.withColumn("_file", F.floor(F.col(position) / size).cast("int"))
-    spread_out.repartitionByRange(files, "_file").sortWithinPartitions(position).drop("_file").write.parquet(path)
+    size = rows.agg(F.coalesce(share, F.lit(1)).alias("s")).first()["s"]
+    placed = rows.withColumn("_file", F.expr(f"cast(`{position}` div {size} as int)")).repartitionById(files, F.col("_file"))
+    placed.sortWithinPartitions(position).drop("_file").write.parquet(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,8 +58,16 @@ def read_jsonl(spark: SparkSession, pattern: str | list[str], schema: T.StructTy
     return spark.read.schema(wider).json(pattern, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
 
 
-def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, length)`` of every file below ``root``; file contents are not read."""
+def read_manifest(spark: SparkSession, root: str, inventory: str | None = None) -> DataFrame:
+    """``(path, length)`` of every file below ``root``; file contents are not read.
+
+    With ``inventory``, a table (path or name) of ``path`` and ``length`` as object stores publish it, the files below
+    ``root`` are taken from there: nothing is listed, and the work is a scan. Without it Spark's driver lists the folder,
+    which is meant for some millions of files at most.
+    """
+    if inventory is not None:
+        listed = read_chat(spark, inventory).select("path", F.col("length").cast("bigint").alias("length"))
+        return listed.filter(F.col("path").startswith(root.rstrip("/") + "/"))
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     )

@@ -185,3 +185,30 @@ def test_generated_rows_make_a_round_trip(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.json(cache).collect()) == sorted(r["id"] for r in rows)
     with pytest.raises(ValueError):
         builders.sound_generated(spark, sounds.filter("idx <> 5"), model, 2, 3)
+
+
+def test_manifest_from_an_inventory(spark, tmp_path):
+    spark.createDataFrame([("/a/x", 1), ("/a/b/y", 2), ("/ab/z", 3)], "path string, length int").write.parquet(str(tmp_path / "inventory"))
+    assert sorted(map(tuple, files.read_manifest(spark, "/a", str(tmp_path / "inventory")).collect())) == [("/a/b/y", 2), ("/a/x", 1)]
+
+
+def test_written_files_are_even(spark, tmp_path):
+    rows = spark.range(100_000).withColumnRenamed("id", "position").repartition(7)
+    files.write_shuffled(rows, str(tmp_path / "even"), 16)
+    by = spark.read.parquet(str(tmp_path / "even")).groupBy(F.input_file_name()).agg(F.count("position").alias("n"), F.min("position").alias("a"), F.max("position").alias("b")).collect()
+    assert len(by) == 16 and {r["n"] for r in by} == {6250} and all(r["b"] - r["a"] == 6249 for r in by)
+
+
+def test_staged_folders_are_dropped(spark, tmp_path):
+    import os
+
+    from chatloom import session
+
+    kept, session._staged[:] = session._staged[:], []
+    path = session.staging_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    folder = os.path.dirname(path.removeprefix("file:"))
+    assert os.path.isdir(folder)
+    session.drop_staged()
+    assert not os.path.exists(folder)
+    session._staged[:] = kept

@@ -285,3 +285,11 @@ def test_tokenizer_marks_first(one, text):
 
     got = one(lambda F: chat.tokenize(F.col("c")), c=("string", text))
     assert got == regex.findall(fv.TOKEN_PATTERN, text)
+
+
+def test_batches_of_an_index_with_gaps(spark):
+    from chatloom.operators import collating
+
+    df = spark.createDataFrame([(i * 1000, [i] * (i + 1), [i] * (i + 1)) for i in range(1, 8)], "idx long, input_ids array<long>, labels array<long>")
+    got = collating.collate(df.repartition(3), "idx", 3, 0, 9).orderBy("idx").collect()
+    assert [r["batch_id"] for r in got] == [0, 0, 0, 1, 1, 1, 2] and [len(r["input_ids"]) for r in got] == [4, 4, 4, 7, 7, 7, 8]

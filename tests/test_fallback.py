@@ -55,3 +55,12 @@ def test_payload_and_partitions(spark):
 def test_no_good_row_is_an_error(spark):
     with pytest.raises(Exception, match="no row can be encoded"):
         fallback_next(frame(spark, [False, False])).collect()
+
+
+def test_an_index_with_gaps(spark):
+    rows = spark.createDataFrame([(i * 10**7 + 5, i % 4 == 3, f"p{i}") for i in range(40)], "idx long, ok boolean, payload string").repartition(3)
+    got = {r["idx"]: (r["source"], r["payload"]) for r in fallback_next(rows, block=8).collect()}
+    assert len(got) == 40
+    for i in range(40):
+        j = i + (3 - i % 4)
+        assert got[i * 10**7 + 5] == (j * 10**7 + 5, f"p{j}")

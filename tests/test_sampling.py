@@ -26,7 +26,7 @@ def test_first_n_keeps_the_front(spark):
 
 def test_range_positions(spark):
     df = spark.range(300).select((F.col("id") * 7 - 100).alias("k"))
-    got = ranking.range_positions(df.repartition(5), "k", width=64).orderBy("idx").collect()
+    got = ranking.range_positions(df.repartition(5), "k").orderBy("idx").collect()
     assert [(r["k"], r["idx"]) for r in got] == [(i * 7 - 100, i) for i in range(300)]
     assert not ranking.is_dense(df, "k") and ranking.is_dense(spark.range(5), "id")
     assert [r["idx"] for r in ranking.dense_index(spark.range(5), "id").orderBy("id").collect()] == list(range(5))
