@@ -138,6 +138,25 @@ def placeholder_counts(turns: DataFrame, key: str, content: str, specs: Sequence
     return sums.select(key, F.inline(per_spec))
 
 
+def validate_items(turns: DataFrame, items: DataFrame, key: str, content: str, specs: Sequence[ModalitySpec]) -> DataFrame:
+    """``(key, name, placeholders, items, verdict)``: the placeholders of each modality and the items a chat carries.
+
+    ``items`` has the key and the item lists, one row for each chat; a NULL list counts as empty. Texts are counted turn
+    by turn and never put together.
+    """
+    counts = placeholder_counts(turns, key, content, specs).drop("width")
+    listed = F.array(
+        *[F.struct(F.lit(s.name).alias("name"), F.coalesce(F.size(F.col(s.data_key)), F.lit(0)).cast("bigint").alias("items")) for s in specs]
+    )
+    met = counts.join(items.select(key, F.inline(listed)), [key, "name"])
+    verdict = (
+        F.when(F.col("items") < F.col("placeholders"), "too few items")
+        .when(F.col("items") > F.col("placeholders"), "surplus items")
+        .otherwise("ok")
+    )
+    return met.withColumn("verdict", verdict)
+
+
 def encodable_turns(
     turns: DataFrame, key: str, order: str, role: str, content: str, specs: Sequence[ModalitySpec]
 ) -> DataFrame:

@@ -158,7 +158,8 @@ q AS (SELECT conv_id, 'vision_clip' AS name, images AS placeholders,
 SELECT *, CASE WHEN items < placeholders THEN 'too few items' WHEN items > placeholders THEN 'surplus items' ELSE 'ok' END AS verdict FROM q""",
 )
 def validate_items(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.validate_items(standins.chats(spark, sf), "conv_id", SPECS)
+    items = standins.chats(spark, sf).select("conv_id", *[s.data_key for s in SPECS])
+    return turns.validate_items(standins.chat_turns(spark, sf), items, "conv_id", "text", SPECS)
 
 
 @query(
