@@ -1,4 +1,4 @@
-"""What several operators share: the word pattern, ordered ranges, positions without a one-task window."""
+"""What several operators share: the word pattern, positions without a one-task window."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.session import stage
+from chatloom.operators.ranking import in_ranges
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,15 +21,6 @@ def count_words(text: str | Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("bigint")
 
 
-def in_ranges(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Stage ``df`` in ranges of ``order``; ``_range`` numbers them in that order.
-
-    The number is written with the rows, so later plans and repeated tasks see the same ranges. Rows with equal
-    keys stay together: put a unique column last where one key may be hot.
-    """
-    return stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
-
-
 def positions(df: DataFrame, order: Sequence[Column], out: str, name: str) -> DataFrame:
     """0-based position of every row in ``order``.
 

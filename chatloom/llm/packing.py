@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from chatloom.session import stage
 
 CAPACITY, END_ID = 2048, 1
+ROWS = 512  # texts that a task holds as ids at a time
 
 
 # ---- ids ---------------------------------------------------------------------------------------------------
@@ -73,7 +74,7 @@ def _tokenizer(path: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             owner, start, length, ids, total, nth = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 own = np.array([*encode(text or ""), end_id], "<u4")

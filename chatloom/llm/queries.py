@@ -177,7 +177,7 @@ def op9_exact_dedup(spark, sf_dir):
 def op7_mix_sources(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     columns = ["doc_id", "size", "source_size", "target", "taken", first_position().alias("first_position")]
-    return mixed.select(*columns).orderBy("first_position")
+    return mixed.select(*columns).orderBy("first_position", "doc_id")  # what isn't taken has no position
 
 
 @query("op8_shard_by_bytes")
