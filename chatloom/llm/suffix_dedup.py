@@ -16,6 +16,7 @@ anchor with many different contexts is hot; its windows are dealt one by one by
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator
@@ -35,11 +36,13 @@ from chatloom.session import stage
 LENGTH, ANCHOR = 50, 20
 SPREAD = LENGTH - ANCHOR + 1  # anchors to pick from in a window
 WIDEST = LENGTH + SPREAD - 1  # bytes that the windows of one anchor cover
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 2 << 20  # of text; a task holds some twenty times as much
 MOST_OWNER_BITS = 17
 HOT_CONTEXTS, HOT_GROUPS = 64, 512
-BLOCK = 1 << 20
-FLUSH = 32 << 20
+BLOCK = 1 << 18
+FLUSH = 8 << 20
+SORTED = 1 << 16  # suffixes that are sorted at a time
+ROWS = 512  # of a batch that are Python objects at a time
 LAST_KEY = (1 << 63) - 1  # of rows without one
 
 
@@ -71,7 +74,7 @@ def _dealer(groups: int) -> Callable:
             held.clear()
             least.clear()
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for sha, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if sha in held:
                     least[sha] = min(least[sha], key)
@@ -102,15 +105,14 @@ class _Texts:
         self.data = np.frombuffer(b"".join(found[s][1] for s in self.shas), np.uint8)
 
     def runs(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """(first window, last window, anchor's hash, anchor, hashes of windows' block, block's begin), in blocks.
+        """(first window, last window, anchor's hash, anchor), in blocks.
 
         Windows with the same anchor follow one another; none crosses the end of a text.
         """
         last = len(self.data) - LENGTH
         for at in range(0, last + 1, BLOCK):
             stop = min(at + BLOCK, last + 1)
-            part = PrefixHashes(self.data[at : stop + LENGTH - 1])
-            grams = part.every(ANCHOR)
+            grams = PrefixHashes(self.data[at : stop + LENGTH - 1]).every(ANCHOR)
             anchor = np.argmin(np.lib.stride_tricks.sliding_window_view(grams, SPREAD), axis=1) + np.arange(stop - at)
             window = np.arange(at, stop)
             owner = np.searchsorted(self.ends, window, "right")
@@ -121,7 +123,12 @@ class _Texts:
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
             first = np.flatnonzero(new)
             last_of = np.append(first[1:], len(window)) - 1
-            yield window[first], window[last_of], grams[anchor[first]], anchor[first] + at, part, at
+            yield window[first], window[last_of], grams[anchor[first]], anchor[first] + at
+
+    def window_hashes(self, window: np.ndarray) -> np.ndarray:
+        """Hash of each of these windows."""
+        parts = [window[at : at + BLOCK // LENGTH] for at in range(0, len(window), BLOCK // LENGTH)]
+        return np.concatenate([PrefixHashes(self.data[(p[:, None] + np.arange(LENGTH)).reshape(-1)]).every(LENGTH)[::LENGTH] for p in parts])
 
     def text_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, position, "right")
@@ -142,7 +149,7 @@ def _distinct(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.nda
 def _anchor_sender(bits: int, hot_contexts: int) -> Callable:
     def send(table: pa.Table) -> pa.Table:
         texts = _Texts(table)
-        found = [(h, texts.text_of(p)) for _, _, h, p, _, _ in texts.runs()]
+        found = [(h, texts.text_of(p)) for _, _, h, p in texts.runs()]
         rows = []
         if found:
             hashes, _, counts = _distinct(*(np.concatenate(x) for x in zip(*found)))
@@ -158,7 +165,16 @@ def _anchor_sender(bits: int, hot_contexts: int) -> Callable:
     return send
 
 
+def _release() -> None:
+    """Give freed memory back: a worker goes through many groups, whose arrays would leave its heap in holes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    _release()
     g, owner, blob = zip(*rows) if rows else ((), (), ())
     return pa.table({"g": pa.array(g, pa.int64()), "owner": pa.array(owner, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
@@ -211,28 +227,19 @@ def _context_sender(bits: int) -> Callable:
         blocks = list(texts.runs())
         if not blocks:
             return _rows([])
-        hashes = np.concatenate([b[2] for b in blocks])
-        owners = np.concatenate([texts.text_of(b[3]) for b in blocks])
-        every, several, _ = _distinct(hashes, owners)
-        wanted = np.union1d(shared, every[several])
-        firsts, lasts, keys, rels = [], [], [], []
-        for first, last, hash_, anchor, part, at in blocks:
-            use = _in(hash_, wanted)
-            single = use & _in(hash_, hot)
-            plain = np.flatnonzero(use & ~single)
-            firsts.append(first[plain])
-            lasts.append(last[plain])
-            keys.append(hash_[plain])
-            rels.append(anchor[plain] - first[plain])
-            if single.any():
-                alone = np.flatnonzero(single)
-                window = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[alone], last[alone])])
-                firsts.append(window)
-                lasts.append(window)
-                keys.append(part.every(LENGTH)[window - at])
-                rels.append(np.zeros(len(window), np.int64))
-        first, last, key, rel = (np.concatenate(x) for x in (firsts, lasts, keys, rels))
+        first, last, key, anchor = (np.concatenate(x) for x in zip(*blocks))
         del blocks
+        every, several, _ = _distinct(key, texts.text_of(anchor))
+        use = _in(key, np.union1d(shared, every[several]))
+        first, last, key, rel = first[use], last[use], key[use], (anchor - first)[use]
+        alone = _in(key, hot)
+        if alone.any():
+            count = (last - first + 1)[alone]
+            window = np.repeat(first[alone], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            plain = ~alone
+            key = np.concatenate([key[plain], texts.window_hashes(window)])
+            rel = np.concatenate([rel[plain], np.zeros(len(window), np.int64)])
+            first, last = np.concatenate([first[plain], window]), np.concatenate([last[plain], window])
         if not len(first):
             return _rows([])
         size = last - first + LENGTH
@@ -262,6 +269,30 @@ def _context_sender(bits: int) -> Callable:
 # ---- 3: suffixes -------------------------------------------------------------------------------------------
 
 
+def _sort_windows(
+    answer: np.ndarray,
+    data: np.ndarray,
+    hashes: PrefixHashes,
+    contexts: np.ndarray,
+    number: np.ndarray,
+    windows: np.ndarray,
+    anchor: np.ndarray,
+    least: np.ndarray,
+) -> None:
+    """Fill ``answer`` for the windows of these contexts: the least key among equal ones."""
+    count = windows[contexts]
+    context = np.repeat(contexts, count)
+    step = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
+    # equal windows have their anchor at the same place
+    group = np.repeat(number, count) * 256 + anchor[context].astype(np.int64) - step
+    by_group = np.argsort(group, kind="stable")
+    context, step, group = context[by_group], step[by_group], group[by_group]
+    order, differs = sort_suffixes(data, hashes, context * WIDEST + step, group, LENGTH)
+    starts = np.flatnonzero(differs)
+    best = np.minimum.reduceat(least[context[order]], starts)
+    answer[context[order], step[order]] = np.repeat(best, np.diff(np.append(starts, len(order))))
+
+
 def least_keys(matrix: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Least key of each window of each context, (contexts x SPREAD), ``LAST_KEY`` where there is no window.
 
@@ -278,18 +309,15 @@ def least_keys(matrix: np.ndarray, low: np.ndarray) -> np.ndarray:
     sizes = np.diff(np.append(begins, len(key)))
     several = np.flatnonzero(np.repeat(sizes > 1, sizes))
     if len(several):
-        number = np.repeat(np.arange(len(begins)), sizes)[several]
-        context = np.repeat(several, windows[several])
-        step = np.arange(len(context)) - np.repeat(np.cumsum(windows[several]) - windows[several], windows[several])
-        # equal windows have their anchor at the same place
-        group = np.repeat(number, windows[several]) * 256 + flat[context, 9].astype(np.int64) - step
-        by_group = np.argsort(group, kind="stable")
-        context, step, group = context[by_group], step[by_group], group[by_group]
         data = np.ascontiguousarray(flat[:, 10:]).reshape(-1)
-        order, differs = sort_suffixes(data, PrefixHashes(data), context * WIDEST + step, group, LENGTH)
-        starts = np.flatnonzero(differs)
-        best = np.minimum.reduceat(least[context[order]], starts)
-        answer[context[order], step[order]] = np.repeat(best, np.diff(np.append(starts, len(order))))
+        hashes = PrefixHashes(data)
+        number = np.repeat(np.arange(len(begins)), sizes)[several]
+        before = np.cumsum(windows[several]) - windows[several]
+        first = np.maximum.accumulate(np.where(np.diff(number, prepend=-1) > 0, before, 0))
+        edges = np.flatnonzero(np.diff(first // SORTED, prepend=-1))  # an anchor's contexts stay in one slice
+        for begin, end in zip(edges, np.append(edges[1:], len(several))):
+            part = slice(begin, end)
+            _sort_windows(answer, data, hashes, several[part], number[part], windows, flat[:, 9], least)
     return answer[which]
 
 
@@ -321,6 +349,7 @@ RESULT_SQL = "sha binary, first_key bigint, spans array<struct<start: bigint, en
 
 
 def _remover(table: pa.Table, told: pa.Table) -> pa.Table:
+    _release()
     out: dict[str, list] = {"sha": [], "first_key": [], "spans": [], "kept_sha256": []}
     if table.num_rows:
         texts = _Texts(table)
@@ -340,7 +369,7 @@ def _remover(table: pa.Table, told: pa.Table) -> pa.Table:
             good = key[run] < texts.keys[texts.text_of(start)]
             np.add.at(change, start[good], 1)
             np.add.at(change, start[good] + length[run][good] - 1 + LENGTH, -1)
-        covered = np.cumsum(change[:-1]) > 0
+        covered = np.cumsum(change[:-1], dtype=np.int32) > 0
         for i, (begin, end) in enumerate(zip(texts.begins.tolist(), texts.ends.tolist())):
             own = covered[begin:end]
             edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
+VERIFIED = 1 << 13  # pairs of neighbours compared at a time
 _INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -102,8 +103,8 @@ def sort_suffixes(data: np.ndarray, hashes: PrefixHashes, start: np.ndarray, gro
     # a hash that lied would join what the bytes keep apart
     equal = np.flatnonzero(~differs)
     span = np.arange(horizon)
-    for at in range(0, len(equal), 1 << 16):
-        part = equal[at : at + (1 << 16)]
+    for at in range(0, len(equal), VERIFIED):
+        part = equal[at : at + VERIFIED]
         wrong = (data[sorted_[part][:, None] + span] != data[sorted_[part - 1][:, None] + span]).any(1)
         if wrong.any():
             return _by_bytes(data, start, group, horizon)
