@@ -31,6 +31,7 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "signed_token")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}(?![A-Za-z0-9+/_=-])")
 PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
+ESCAPED_BREAK = re.compile(r"\\+[nr]")  # as in JSON, however often escaped
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 OPENSSH_MAGIC = b"openssh-key-v1\x00"
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
@@ -152,6 +153,22 @@ def _structure(data: bytes | None) -> str | None:
     return "der" if is_private_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def pem_bodies(inside: str) -> list[str]:
+    """What may be the base64 body between a PEM frame's marks, without the header lines before it.
+
+    Headers end at a blank line, and a header's further lines begin with a blank. Where line breaks are lost or the blank
+    line is, the body follows the last word with a colon or a comma, which base64 has none of.
+    """
+    inside = ESCAPED_BREAK.sub("\n", inside.replace("\r\n", "\n").replace("\\r\\n", "\n")).replace("\\/", "/")
+    if ":" not in inside:
+        return ["".join(inside.split())]
+    lines = [line.rstrip() for line in inside.strip().split("\n")]
+    after = "".join("".join(lines[lines.index("") :]).split()) if "" in lines else ""
+    words = inside.split()
+    last = max(i for i, w in enumerate(words) if ":" in w or "," in w)
+    return [after, "".join(words[last + 1 :])]
+
+
 def plain_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans by pattern alone, leftmost and without overlap for each kind."""
     found = []
@@ -172,12 +189,10 @@ def structured_spans(text: str) -> list[tuple[int, int, str]]:
             end = text.find(mark, m.end())
             if end < 0:
                 continue
-            body = "".join(line for line in text[m.end() : end].split() if ":" not in line)
-            if m[1].startswith("ENCRYPTED") or ":" not in text[m.end() : end]:
-                good = _structure(decode_base64(body)) is not None
-            else:  # an encrypted body has no structure but its block size
-                data = decode_base64(body.partition(",")[2] or body)
-                good = data is not None and len(data) >= 32
+            found_bodies = [decode_base64(body) for body in pem_bodies(text[m.end() : end])]
+            good = any(_structure(data) is not None for data in found_bodies)
+            if not good and not m[1].startswith("ENCRYPTED") and ":" in text[m.end() : end]:  # an encrypted body has no structure
+                good = any(data is not None and len(data) >= 32 for data in found_bodies)
             if good:
                 blocks.append((m.start(), end + len(mark)))
                 found.append((m.start(), end + len(mark), "pem"))

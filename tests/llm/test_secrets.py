@@ -119,3 +119,18 @@ def test_long_texts_stay_linear():
     for text in ("token" + " " * 500_000, "a." * 300_000, "AKIA" * 200_000, "0123456789abcdefg" * 50_000, "A" * 1_000_000, "-----BEGIN PRIVATE KEY-----" * 2_000):
         find_secrets(text)
     assert time.time() - begin < 20
+
+
+@pytest.mark.parametrize("kind", ["RSA", "DSA", "EC"])
+@pytest.mark.parametrize("brk", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", " "])
+def test_private_keys_with_headers_and_escaped_breaks(kind, brk):
+    lines = re.findall(".{1,64}", b64(bytes(i * 37 % 251 for i in range(608))))
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF"]
+    for body in ([*headers, "", *lines], [*headers, *lines], ["Comment: a key of mine", "  in two lines", *headers, "", *lines]):
+        block = brk.join([f"-----BEGIN {kind} PRIVATE KEY-----", *body, f"-----END {kind} PRIVATE KEY-----"])
+        assert ("pem", block) in kinds(f"x {block} y")
+    for plain in (RSA, EC):
+        block = brk.join([f"-----BEGIN {kind} PRIVATE KEY-----", *re.findall(".{1,64}", b64(plain)), f"-----END {kind} PRIVATE KEY-----"])
+        assert ("pem", block) in kinds(f'{{"private_key": "{block}{brk}"}}')
+    short = brk.join([f"-----BEGIN {kind} PRIVATE KEY-----", *headers, "", "AAAA", f"-----END {kind} PRIVATE KEY-----"])
+    assert "pem" not in [k for k, _ in kinds(short)]
