@@ -44,9 +44,10 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """ids of a text, no special tokens, by the byte-level vocabulary file (JSON) at ``path``.
+def encoder(path: str, added: bool = False) -> Callable[[str], list[int]]:
+    """ids of a text, none put around it, by the byte-level vocabulary file (JSON) at ``path``.
 
+    The strings of added tokens in a text are ordinary text, or with ``added`` these tokens, as by the library's default.
     The file's own library is exact for any text and slow; a second one reads the same ranks several times as fast and
     takes the texts on which the two can't differ.
     """
@@ -54,16 +55,17 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True  # their strings in a text are ordinary text
+    exact.encode_special_tokens = not added
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec.get("added_tokens", [])}
+    apart = re.compile("|".join(map(re.escape, sorted(special)))) if added and special else None
     of_char = _byte_of_char()
     ranks = {bytes(of_char[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> list[int]:
-        if BEYOND.search(text):
+        if BEYOND.search(text) or (apart and apart.search(text)):
             return exact.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -72,7 +74,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
 def _tokenizer(path: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added=True)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             owner, start, length, ids, total, nth = [], [], [], [], [], []

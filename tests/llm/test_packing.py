@@ -88,3 +88,13 @@ def test_edges(spark, capacity):
 
 def test_empty_table(spark):
     assert pack(no_docs(spark), PATH).pieces.count() == 0
+
+
+def test_added_tokens_in_texts_are_the_librarys_default(spark):
+    default = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "é日<|endoftext|><|endoftext|> x", "<|endoftext", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    packed = pack(docs, PATH)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packed.pieces.join(packed.tokens, "piece").collect()}
+    assert got == {i: default.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert got[0] != LIBRARY.encode(texts[0], add_special_tokens=False).ids + [1]
