@@ -2,8 +2,9 @@
 
 Every labelled language is a distribution over hashed byte trigrams, counted over all its learning texts. A document is
 taken as a mixture of languages: expectation-maximisation finds the shares that make its trigrams most likely, for each
-set of the leading languages, and the set with the best likelihood less a penalty for its size (BIC) is chosen. The
-language with the largest share is the prediction.
+set of the leading languages, and the set with the best likelihood less a penalty for its size (BIC) is chosen. Only the
+penalty limits the size: sets grow until none of more languages can score better, whatever its shares. The language with
+the largest share is the prediction.
 
 Counts combine in the tasks and again in Spark; the model has a fixed size for each language and is all that is collected.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 GRAM, BUCKETS = 3, 1 << 15
 SMOOTHING = 0.5
 MOST_LANGUAGES = 512  # 64 MiB of model
-MOST_SET, ROUNDS, SETTLED = 4, 40, 1e-4
+ROUNDS, SETTLED = 40, 1e-4
 UNKNOWN = "und"
 
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -120,18 +121,22 @@ def infer(model: Model, text: str) -> list[tuple[str, float]]:
     likelihood = np.exp(logs - logs.max(0))
     likelihood = np.maximum(likelihood, 1e-300)
     n = counts.sum() / GRAM  # a letter is in as many trigrams, so they count as that many fewer
-    shares, _ = mixture(likelihood, counts)
+    shares, fit = mixture(likelihood, counts)
+    # likelihood is concave in the shares: no mixture of any languages fits better than this
+    most = fit + counts.sum() * np.log(max(1.0, (likelihood @ (counts / (shares @ likelihood))).max() / counts.sum()))
     single = np.log(likelihood) @ counts
     first = int(np.argmax(single))
     order = [first, *[int(i) for i in np.argsort(-shares, kind="stable") if i != first]]
     best, chosen = -np.inf, None
-    for k in range(1, min(MOST_SET, len(order)) + 1):
+    for k in range(1, len(order) + 1):
+        penalty = (k - 1) * (0.5 * np.log(max(n, 2.0)) + np.log(len(model.languages)))
+        if chosen and most / GRAM - penalty <= best:
+            break
         members = order[:k]
         shares, fit = mixture(likelihood[members], counts)
-        score = fit / GRAM - (k - 1) * (0.5 * np.log(max(n, 2.0)) + np.log(len(model.languages)))
-        if score <= best:
-            break
-        best, chosen = score, sorted(zip((-shares).tolist(), members))
+        score = fit / GRAM - penalty
+        if score > best:
+            best, chosen = score, sorted(zip((-shares).tolist(), members))
     return [(model.languages[i], min(1.0, -s)) for s, i in chosen]
 
 

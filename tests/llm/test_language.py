@@ -82,3 +82,15 @@ def test_too_many_languages(spark, monkeypatch):
 def test_halves_by_checksum(spark):
     got = spark.createDataFrame([(i,) for i in (*range(50), None)], "doc_id bigint").select("doc_id", held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_all_languages_of_a_document_are_found():
+    rng = np.random.default_rng(8)
+    spoken = [["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(60)] for _ in range(9)]
+    text = [" ".join(rng.choice(words, 400)) for words in spoken]
+    own = np.array([np.bincount(grams(t), minlength=BUCKETS) for t in text])
+    model = language.Model([f"l{i}" for i in range(9)], np.log((own + SMOOTHING) / (own.sum(1, keepdims=True) + SMOOTHING * BUCKETS)))
+    for n in (1, 3, 5, 7, 9):
+        found = dict(infer(model, " ".join(" ".join(rng.choice(words, 100)) for words in spoken[:n])))
+        assert set(found) == {f"l{i}" for i in range(n)}
+        assert all(abs(share - 1 / n) < 0.05 for share in found.values())
