@@ -1,7 +1,9 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
 1. One narrow pass writes (key, 64-bit fingerprint, SHA-256, input partition) of every row to the shared folder.
-2. Every partition sends its fingerprints, sorted and Golomb-coded, to the owners of the fingerprint ranges.
+2. Every partition sends its distinct fingerprints, sorted and Golomb-coded, to the owners of the fingerprint ranges, with
+   one bit for each: whether it is repeated in the partition. However often a text occurs, its owner gets one for each
+   partition.
 3. Owners answer each partition with a bitmap: which of its fingerprints occur more than once anywhere.
 4. Partitions mark their suspects. Only suspects' texts are compared byte by byte; copies combine before that shuffle,
    so a text that fills a third of the table is one row for each task.
@@ -40,20 +42,21 @@ def _prints(table: pa.Table) -> np.ndarray:
 
 def _sender(bits: int) -> Callable:
     def send(table: pa.Table) -> pa.Table:
-        values = np.sort(_prints(table))
+        values, counts = np.unique(_prints(table), return_counts=True)
         cuts = _cuts(values, bits)
         rows = []
         for owner in np.flatnonzero(np.diff(cuts)):
             share = values[cuts[owner] : cuts[owner + 1]]
+            again = np.packbits(counts[cuts[owner] : cuts[owner + 1]] > 1).tobytes()
             shift, high, low = golomb.encode(share, int(owner) << (64 - bits), 64 - bits)
-            rows.append({"owner": int(owner), "_part": table["_part"][0].as_py(), "n": len(share), "shift": shift, "high": high, "low": low})
+            rows.append({"owner": int(owner), "_part": table["_part"][0].as_py(), "n": len(share), "shift": shift, "high": high, "low": low, "again": again})
         return pa.Table.from_pylist(rows, SENT)
 
     return send
 
 
-SENT = pa.schema([("owner", pa.int32()), ("_part", pa.int32()), ("n", pa.int32()), ("shift", pa.int32()), ("high", pa.binary()), ("low", pa.binary())])
-SENT_SQL = "owner int, _part int, n int, shift int, high binary, low binary"
+SENT = pa.schema([("owner", pa.int32()), ("_part", pa.int32()), ("n", pa.int32()), ("shift", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("again", pa.binary())])
+SENT_SQL = "owner int, _part int, n int, shift int, high binary, low binary, again binary"
 ANSWER = pa.schema([("_part", pa.int32()), ("owner", pa.int32()), ("bitmap", pa.binary())])
 ANSWER_SQL = "_part int, owner int, bitmap binary"
 
@@ -64,7 +67,8 @@ def _answerer(bits: int) -> Callable:
         start = rows[0]["owner"] << (64 - bits)
         shares = [golomb.decode(r["n"], r["shift"], r["high"], r["low"], start) for r in rows]
         _, which, counts = np.unique(np.concatenate(shares), return_inverse=True, return_counts=True)
-        repeated = (counts > 1)[which]
+        again = np.concatenate([np.unpackbits(np.frombuffer(r["again"], np.uint8), count=r["n"]) for r in rows])
+        repeated = ((counts > 1) | (np.bincount(which, again) > 0))[which]
         ends = np.cumsum([r["n"] for r in rows])
         found = [
             {"_part": r["_part"], "owner": r["owner"], "bitmap": np.packbits(repeated[end - r["n"] : end]).tobytes()}
@@ -77,14 +81,13 @@ def _answerer(bits: int) -> Callable:
 
 def _marker(bits: int) -> Callable:
     def mark(own: pa.Table, answers: pa.Table) -> pa.Table:
-        values = _prints(own)
-        order = np.argsort(values, kind="stable")
-        cuts = _cuts(values[order], bits)
+        values, which = np.unique(_prints(own), return_inverse=True)
+        cuts = _cuts(values, bits)
         marked = np.zeros(len(values), bool)
         for a in answers.to_pylist():
             begin, end = cuts[a["owner"]], cuts[a["owner"] + 1]
-            marked[order[begin:end]] = np.unpackbits(np.frombuffer(a["bitmap"], np.uint8))[: end - begin].astype(bool)
-        return own.filter(pa.array(marked)).drop_columns(["_part"])
+            marked[begin:end] = np.unpackbits(np.frombuffer(a["bitmap"], np.uint8))[: end - begin].astype(bool)
+        return own.filter(pa.array(marked[which])).drop_columns(["_part"])
 
     return mark
 

@@ -59,3 +59,17 @@ def test_normalised_texts(spark):
 
 def test_empty_table(spark):
     assert exact_duplicates(no_docs(spark)).count() == 0
+
+
+def test_an_owner_gets_one_fingerprint_for_each_partition():
+    import pyarrow as pa
+    from chatloom.llm import exact_dedup as module
+
+    hot, twice, once = 7, 1 << 40, -5
+    first = pa.table({"_part": pa.array([0] * 1003, pa.int32()), "_print": [hot] * 1000 + [twice, twice, once]})
+    second = pa.table({"_part": pa.array([1] * 2, pa.int32()), "_print": [hot, 9]})
+    sent = [module._sender(0)(t) for t in (first, second)]
+    assert [t["n"].to_pylist() for t in sent] == [[3], [2]]
+    answers = module._answerer(0)(pa.concat_tables(sent))
+    marked = [module._marker(0)(t, answers.filter(pa.array([p == i for p in answers["_part"].to_pylist()]))) for i, t in enumerate((first, second))]
+    assert [t["_print"].to_pylist() for t in marked] == [[hot] * 1000 + [twice, twice], [hot]]
