@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from chatloom.llm.exact_dedup import exact_duplicates
+from chatloom.llm.html_text import extract_text
+from chatloom.llm.importance import resample
 from chatloom.llm.language import held_out, identify, learn
+from chatloom.llm.manifest import merkle_manifest
 from chatloom.llm.mixing import first_position, mix_sources
 from chatloom.llm.packing import Packed, pack
 from chatloom.llm.quality import ERROR, NEARLY, RISK, TOLERATED, quality_rules
@@ -193,3 +196,133 @@ def op10_language_id(spark, sf_dir):
     model = learn(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text"))
     found = identify(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 in SQL: every byte is followed by the eight steps that shift it out."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    steps = f"flatten(list_transform(range(octet_length(encode({text}))), lambda i: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"xor(list_reduce({steps}, lambda c, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FEATURES_SQL = rf"regexp_extract_all({_LOWER_SQL.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op11_importance_resampling",
+    f"""
+    WITH docs AS (SELECT row_number() OVER () AS n, doc_id, {_FEATURES_SQL} AS f FROM documents),
+    own AS (SELECT n, unnest(f) AS x FROM docs),
+    wanted AS (SELECT unnest({_FEATURES_SQL}) AS x FROM benchmark),
+    buckets AS (SELECT x, {_crc32_sql("x")} % 10000 AS b FROM (SELECT x FROM own UNION SELECT x FROM wanted)),
+    s AS (SELECT b, count(*) AS s FROM own JOIN buckets USING (x) GROUP BY b),
+    t AS (SELECT b, count(*) AS t FROM wanted JOIN buckets USING (x) GROUP BY b),
+    gains AS (
+      SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM own) + 10000)::DOUBLE
+                                / ((s + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM s LEFT JOIN t USING (b)),
+    weights AS (SELECT n, sum(gain)::BIGINT AS weight FROM own JOIN buckets USING (x) JOIN gains USING (b) GROUP BY n),
+    scored AS (
+      SELECT n, doc_id, len(f)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM docs LEFT JOIN weights USING (n)),
+    ranked AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, rank
+    FROM scored LEFT JOIN (SELECT * FROM ranked WHERE rank <= (SELECT count(*) FROM ranked) * 10 // 100) USING (n)
+    """,
+)
+def op11_importance_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    drawn = resample(docs, table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs from ``name``_n0 (g, r, h): the nodes of every level, and beside each its siblings."""
+    out = []
+    for k in range(levels):
+        now = f"(SELECT *, count(*) OVER (PARTITION BY g) > 1 AS open FROM {name}_n{k})"
+        out.append(
+            f"""{name}_s{k} AS (
+      SELECT g, r, open, coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 8 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+             coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 8 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+      FROM {now}),
+    {name}_n{k + 1} AS (
+      SELECT g, r // 8 AS r, CASE WHEN bool_or(open) THEN sha256(string_agg(h, '' ORDER BY r)) ELSE min(h) END AS h FROM {now} GROUP BY g, r // 8)"""
+        )
+    return ",\n    ".join(out)
+
+
+def _climb_sql(tree: str, levels: int, start: str, group: str, rank: str, name: str) -> str:
+    """CTEs that lead the rows of ``start`` up: ``proof`` and ``fold`` grow by a level each."""
+    out, before = [], start
+    for k in range(levels):
+        out.append(
+            f"""{name}{k} AS (
+      SELECT p.* EXCLUDE (proof, fold), proof || lft || rgt AS proof, CASE WHEN open THEN sha256(lft || fold || rgt) ELSE fold END AS fold
+      FROM {before} p JOIN {tree}_s{k} s ON s.g = p.{group} AND s.r = p.{rank} // {8**k})"""
+        )
+        before = f"{name}{k}"
+    return ",\n    ".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+_GROUP_LEVELS, _TOP_LEVELS = 7, 3  # enough for two million rows of a language, and 512 languages
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH made AS (
+      SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql("text")} AS leaf,
+             CASE WHEN coalesce({_crc32_sql("doc_id::VARCHAR")} % 3 = 0, false) THEN {_leaf_sql(_LOWER_SQL.format("text"))}
+                  ELSE {_leaf_sql("text")} END AS fold
+      FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, '' AS proof FROM made),
+    low_n0 AS (SELECT g, r, leaf AS h FROM leaves),
+    {_tree_sql("low", _GROUP_LEVELS)},
+    subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS top_r, 0 AS all_of FROM low_n{_GROUP_LEVELS}),
+    top_n0 AS (SELECT all_of AS g, top_r AS r, subroot AS h FROM subroots),
+    {_tree_sql("top", _TOP_LEVELS)},
+    {_climb_sql("low", _GROUP_LEVELS, "leaves", "g", "r", "climb_low")},
+    between AS (SELECT c.*, subroot, top_r, all_of FROM climb_low{_GROUP_LEVELS - 1} c JOIN subroots USING (g)),
+    {_climb_sql("top", _TOP_LEVELS, "between", "all_of", "top_r", "climb_top")}
+    SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+    FROM climb_top{_TOP_LEVELS - 1}, (SELECT h FROM top_n{_TOP_LEVELS})
+    """,
+)
+def op12_merkle_manifest(spark, sf_dir):
+    made = merkle_manifest(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_DECODED_SQL = "b"
+for _reference, _character in [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;", "''"), ("&amp;?", "&")]:
+    _DECODED_SQL = f"regexp_replace({_DECODED_SQL}, '{_reference}', '{_character}', 'g')"
+
+
+@query(
+    "op13_html_text",
+    # the pages of these tables hold their text in one article, in headings and paragraphs
+    rf"""
+    WITH blocks AS (
+      SELECT row_number() OVER () AS n, page_id, url,
+             regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS bs
+      FROM pages),
+    texts AS (
+      SELECT page_id, url, list_transform(bs, lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?[a-z][^>]*>', '', 'g')) AS bs FROM blocks),
+    decoded AS (
+      SELECT page_id, url, list_transform(bs, lambda b: trim(regexp_replace({_DECODED_SQL}, '\s+', ' ', 'g'))) AS bs FROM texts)
+    SELECT page_id, url, array_to_string(list_filter(bs, lambda b: b <> ''), chr(10)) AS text,
+           length(array_to_string(list_filter(bs, lambda b: b <> ''), chr(10))) AS n_chars
+    FROM decoded
+    """,
+)
+def op13_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
