@@ -40,3 +40,18 @@ def positions(df: DataFrame, order: Sequence[Column], out: str, name: str) -> Da
         .withColumn(out, F.col("_first") + F.row_number().over(inside) - 1)
         .drop("_range", "_first")
     )
+
+
+def text_print(text: str | Column) -> Column:
+    """The XXH64 of the whole text, by which rows are found again."""
+    return F.xxhash64(whole(text))
+
+
+def rows_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose key and ``text_print`` are in ``wanted`` (_key, _print), one of those that repeat both."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.col(f"`{key}`").alias("_k"), text_print(f"`{text}`").alias("_p"))
+    same = F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_p") == F.col("_print"))
+    rows = rows.join(wanted.distinct().hint("merge"), same, "left_semi")
+    rest = [F.col("_in").getField(c) for c in docs.columns if c not in (key, text)]
+    nth = F.row_number().over(Window.partitionBy("_k", "_p").orderBy(F.hash(*rest) if rest else F.lit(0)))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select("_in.*")

@@ -3,8 +3,9 @@
 Markup is stripped into lines, one for each block of text. A line counts with the characters that are not in links; lines of
 page furniture (navigation, asides, forms, notices, adverts, comments; told by element, role, class or id) and, on pages that mark
 their article, everything around it count nothing. Sums over sliding windows of lines are the distribution: the text begins
-at a surge, where a window rises above the threshold and stays there, and ends at the dive to zero. A text's region is completed
-to the innermost element that holds it, so that its short first and last lines stay.
+at a surge, where a window reaches the threshold, and ends at the dive, where one falls below; in a marked article any character
+is a surge. Without one, the largest region is completed to the innermost division that holds its long lines, so that its short first
+and last ones stay.
 
 One pass over the rows, in Arrow batches; a page is the only thing in memory.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from chatloom.llm.common import whole
 
 WINDOW = 3  # lines
-SURGE = 80  # characters in a window, on pages without an article element
+SURGE, DIVE = 80, 40  # characters in a window, on pages without an article element
 
 # fixed values: HTML's elements without content, with raw content, and those that begin a new block
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -43,6 +44,7 @@ MARKS = frozenset(
 
 CONTENT = frozenset("html body main article".split())  # furniture only where they are named as comments
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = HEADINGS | frozenset("p li dt dd dl ul ol tr td th tbody thead tfoot table caption blockquote pre figure figcaption".split())  # of a text, not its holder
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z]", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
@@ -88,7 +90,7 @@ def _named(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 def page_lines(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
-    """The lines of a page without markup, and the ranges of lines that its elements hold."""
+    """The lines of a page without markup, and the ranges of lines that its divisions hold."""
     lines: list[Line] = []
     spans: list[tuple[int, int]] = []
     stack = [Element("", False, False, 0)]
@@ -109,7 +111,8 @@ def page_lines(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
         nonlocal paragraph
         for e in stack[depth:]:
             open_tags[e.tag] -= 1
-            spans.append((e.first, len(lines)))
+            if e.tag not in PARTS and e.tag not in INLINE:
+                spans.append((e.first, len(lines)))
         del stack[depth:]
         if paragraph >= depth:
             paragraph = 0
@@ -167,17 +170,19 @@ def page_lines(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
 
 
 def regions(weights: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """[(surge, dive)]: from the first line with weight of a window that reaches the threshold to the next empty window."""
+    """[(surge, dive)]: from the first line with weight of a window that reaches the threshold to the next window below ``DIVE``;
+    where the threshold is less than ``SURGE``, to the next empty window."""
     padded = np.concatenate([[0], np.cumsum(np.concatenate([weights, np.zeros(WINDOW)]))])
     sums = padded[WINDOW:] - padded[:-WINDOW]
-    high, empty, used = np.flatnonzero(sums >= threshold), np.flatnonzero(sums == 0), np.flatnonzero(weights)
+    high, low, used = np.flatnonzero(sums >= threshold), np.flatnonzero(sums < (DIVE if threshold >= SURGE else 1)), np.flatnonzero(weights)
+    low = np.append(low, len(weights))
     found, end = [], 0
     while True:
         k = np.searchsorted(high, end)
         if k == len(high):
             return found
         begin = int(used[np.searchsorted(used, high[k])])
-        end = int(empty[np.searchsorted(empty, begin)])
+        end = int(low[np.searchsorted(low, begin)])
         found.append((begin, end))
 
 
@@ -194,7 +199,8 @@ def main_text(page: str) -> str:
             return ""
         most = np.convolve(weights, np.ones(WINDOW)).max()
         best = max(regions(weights, min(SURGE, most)), key=lambda r: int(weights[r[0] : r[1]].sum()))
-        around = [s for s in spans if s[0] <= best[0] and s[1] >= best[1] and not (s[0] == 0 and s[1] == len(lines))]
+        long_ = best[0] + np.flatnonzero(weights[best[0] : best[1]] >= min(DIVE, weights[best[0] : best[1]].max()))
+        around = [s for s in spans if s[0] <= long_[0] and s[1] > long_[-1] and s != (0, len(lines))]
         kept = [min(around, key=lambda s: s[1] - s[0], default=best)]
     return "\n".join(x.text for a, b in kept for x in lines[a:b] if not x.furniture and (x.article or not marked))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import whole
+from chatloom.llm.common import rows_of, text_print, whole
 from chatloom.llm.components import components
 from chatloom.session import stage
 
@@ -121,3 +121,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return marked.join(named, "print").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all their columns, of which one of each component of ``near_duplicates`` stays.
+
+    It is the row of the smallest key; a NULL key stays only where there is no other, and of rows that repeat the key the one
+    whose text has the smallest hash. Texts of no words are in one component. An empty table stays empty.
+    """
+    own = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), text_print(f"`{text}`").alias("print"))
+    found = near_duplicates(docs.select(own.alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", shingle)
+    stays = found.select(F.col("component_id.key").alias("_key"), F.col("component_id.print").alias("_print"))
+    return rows_of(docs, stays, key, text)

@@ -17,7 +17,7 @@ def test_query_as_by_sql(spark, name):
 
 def test_all_operators_are_registered():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_stages_on_their_own_inputs(spark):
