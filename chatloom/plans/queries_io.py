@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from chatloom.plans.registry import query, sql_hash
 from chatloom.schemas import MESSAGES
 from chatloom.session import staging_path
 from chatloom.sources import card, files
+from chatloom.sources.arrow_files import read_arrow
 
 DIALOGS_PER_FILE = 1000
 
@@ -30,6 +31,28 @@ def src_chat_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), flat_messages(F.col("messages")).alias("messages"))
 
 
+@query(
+    "src_arrow_roundtrip",
+    f"""WITH {SQL_TURNS} SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS position, count(*) AS n_messages,
+  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM turns GROUP BY conv_id""",
+)
+def src_arrow_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Through a folder of ``*.arrow`` files, in order: positions come from the files' rows counted up."""
+    path = staging_path(spark, "arrow")
+    rows = standins.chats(spark, sf).repartitionByRange("conv_id").sortWithinPartitions("conv_id")
+    files.write_chat(rows, path, layout="arrow")
+    back = read_arrow(spark, path, ["conv_id", "messages"], place=True)
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    first = read_arrow(spark, path, ["conv_id"], place=True).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    first = first.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return back.join(first, "file").select(
+        "conv_id",
+        (F.col("first") + F.col("row")).alias("position"),
+        F.size("messages").cast("bigint").alias("n_messages"),
+        flat_messages(F.col("messages")).alias("messages"),
+    )
+
+
 def _write_dialog_arrays(spark: SparkSession, sf: str, path: str) -> None:
     """JSON arrays of about DIALOGS_PER_FILE dialogues each, spread over the files by hash."""
     dialogs = standins.dialogs(spark, sf)

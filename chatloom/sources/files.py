@@ -8,23 +8,35 @@ from pyspark.sql import types as T
 
 from chatloom.schemas import DIALOG
 from chatloom.session import stage
+from chatloom.sources.arrow_files import read_arrow, write_arrow
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_chat(spark: SparkSession, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """A saved dataset: the path if it exists, else the table of that name."""
-    if _path_exists(spark, name):
-        reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(name)
-    return spark.table(name)
+    """A saved dataset: the path if it exists (a folder of ``*.arrow`` files, else Parquet), else the table of that name."""
+    if not path_exists(spark, name):
+        return spark.table(name)
+    if is_arrow_folder(spark, name):
+        return read_arrow(spark, name, schema)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(name)
 
 
-def write_chat(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).parquet(path)
+def is_arrow_folder(spark: SparkSession, path: str) -> bool:
+    glob = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*.arrow")
+    return bool(glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob))
+
+
+def write_chat(df: DataFrame, path: str, mode: str = "errorifexists", layout: str = "parquet") -> None:
+    """Save a dataset as Parquet or, with ``layout="arrow"``, as a new folder of ``*.arrow`` files (see ``arrow_files``)."""
+    if layout == "arrow":
+        write_arrow(df, path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def write_shuffled(df: DataFrame, path: str, files: int, position: str = "position") -> None:
@@ -74,6 +86,15 @@ def read_manifest(spark: SparkSession, root: str, inventory: str | None = None)
     return listed.withColumn("path", F.regexp_replace("path", r"\Afile:/+", "/"))
 
 
+def append_jsonl(df: DataFrame, folder: str) -> None:
+    """Append rows as JSON lines; NULLs are written, and a task's rows stay even if the job fails after the task.
+
+    A reader never sees half a file. A task that is repeated after it was committed may leave its rows twice: give them keys.
+    """
+    kept = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "ignoreNullFields": "false"}
+    df.write.mode("append").options(**kept).json(folder)
+
+
 def write_cache_jsonl(df: DataFrame, folder: str) -> None:
     """Append accepted generated examples, so that paid results survive a later failure of the build."""
-    df.write.mode("append").json(folder)
+    append_jsonl(df, folder)
