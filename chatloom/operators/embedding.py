@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.operators.blocks import Blocks, fetch
 from chatloom.operators.joins import attach_by_frequency
 from chatloom.registry import ModalitySpec
 
@@ -54,9 +55,9 @@ def find_spans(encoded: DataFrame, key: str, specs: Sequence[ModalitySpec], ids:
 
 
 def embed_tokens(token_ids: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Attach the vector columns of ``vectors`` (token_id, freq, ...) to text positions.
+    """Attach the columns of ``vectors`` (token_id, freq, ...), best a reference to each vector, to text positions.
 
-    Placeholder positions (negative ids) stay without a vector: they count as zero until an item is scattered there.
+    Placeholder positions (negative ids) stay without: they count as zero until an item is scattered there.
     """
     wanted = token_ids.withColumn("_text_id", F.when(F.col("token_id") >= 0, F.col("token_id")))
     return attach_by_frequency(wanted, vectors.withColumnRenamed("token_id", "_text_id"), "_text_id", "freq").drop("_text_id")
@@ -75,18 +76,24 @@ def scatter_items(spans: DataFrame, slots: DataFrame, key: str) -> DataFrame:
     ).drop("_found", "start")
 
 
-def input_vectors(embedded: DataFrame, filled: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """The sequence a model reads: ``(key, pos, kind, vector)`` with one vector of ``size`` numbers for each position.
+def input_references(embedded: DataFrame, filled: DataFrame, key: str, reference: Sequence[str] = ("block", "place")) -> DataFrame:
+    """The sequence a model reads, by reference: ``(key, pos, kind, reference columns)`` for each position.
 
-    ``embedded`` has every position with its text vector or NULL (``embed_tokens``), ``filled`` the vectors of items
-    (``scatter_items``). A position is ``text``, ``item``, or ``zero`` where a placeholder has no item. Positions are
-    unique on both sides, so the join is even.
+    ``embedded`` has every position with the reference of its text vector or NULLs (``embed_tokens``), ``filled`` those of
+    items (``scatter_items``). A position is ``text``, ``item``, or ``zero`` where a placeholder has no item; the reference
+    decides, no vector is looked at. Positions are unique on both sides, so the join is even.
     """
-    items = filled.select(key, "pos", F.col(vector).alias("_item"))
-    met = embedded.select(key, "pos", F.col(vector).alias("_text")).join(items, [key, "pos"], "left")
-    kind = F.when(F.col("_text").isNotNull(), "text").when(F.col("_item").isNotNull(), "item").otherwise("zero")
-    zeros = F.array_repeat(F.lit(0.0), size)
-    return met.select(key, "pos", kind.alias("kind"), F.coalesce("_text", "_item", zeros).alias(vector))
+    items = filled.select(key, "pos", F.struct(*reference).alias("_item"))
+    met = embedded.select(key, "pos", F.struct(*reference).alias("_text")).join(items, [key, "pos"], "left")
+    text, item = F.col("_text")[reference[0]].isNotNull(), F.col("_item")[reference[0]].isNotNull()
+    kind = F.when(text, "text").when(item, "item").otherwise("zero")
+    chosen = F.when(text, F.col("_text")).otherwise(F.col("_item"))
+    return met.select(key, "pos", kind.alias("kind"), *[chosen[r].alias(r) for r in reference])
+
+
+def input_vectors(embedded: DataFrame, filled: DataFrame, key: str, blocks: Blocks, vector: str = "vector") -> DataFrame:
+    """``(key, pos, kind, vector)``: ``input_references`` with the vectors fetched last, zeros where there is none."""
+    return fetch(input_references(embedded, filled, key), blocks, vector)
 
 
 def surplus_items(spans: DataFrame, slots: DataFrame, key: str) -> DataFrame:

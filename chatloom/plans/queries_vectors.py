@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatloom.functions import hashing, media, vectors
-from chatloom.operators import embedding, encoding, hooks, turns
+from chatloom.operators import blocks, embedding, encoding, hooks, turns
 from chatloom.operators.embedding import Projector
 from chatloom.plans import standins
 from chatloom.plans.queries_encode import SPECS, encodable, sql_ids
@@ -32,9 +32,10 @@ spans AS (SELECT conv_id, CASE WHEN id = -1626 THEN 'vision_clip' ELSE 'document
     row_number() OVER (PARTITION BY conv_id, id ORDER BY start) - 1 AS k, start, width FROM starts)"""
 
 
-def _spans(spark: SparkSession, sf: str) -> DataFrame:
+def _spans(spark: SparkSession, sf: str, ready: DataFrame | None = None) -> DataFrame:
     """Spans of all chats that can be encoded, from sequences in one piece per turn; no word is looked up."""
-    sequences = stage(turns.code_sequences(encodable(spark, sf), "conv_id", "turn", SPECS), "sequences")
+    ready = encodable(spark, sf) if ready is None else ready
+    sequences = stage(turns.code_sequences(ready, "conv_id", "turn", SPECS), "sequences")
     return turns.turn_spans(sequences, "conv_id", "turn", SPECS)
 
 
@@ -131,16 +132,22 @@ SELECT i.conv_id, i.pos, CASE WHEN i.id >= 0 THEN 'text' WHEN f.size IS NOT NULL
 FROM ids i CROSS JOIN n LEFT JOIN plain e ON e.vec_id = i.id % n.n LEFT JOIN filled f ON f.conv_id = i.conv_id AND f.pos = i.pos""",
 )
 def input_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole sequences of vectors: text, projected items, zeros. ``size`` is the sum of absolute values."""
-    found = stage(turns.positions(encodable(spark, sf), "conv_id", "turn", SPECS), "positions")
+    """The whole sequences of vectors: text, projected items, zeros. ``size`` is the sum of absolute values.
+
+    Positions carry references throughout; vectors lie where the tasks that read or projected them wrote them.
+    """
+    ready = encodable(spark, sf)
+    found = stage(turns.positions(ready, "conv_id", "turn", SPECS), "positions")
     vocab = encoding.build_vocab(found)
     ids = encoding.attach_ids(found, vocab).select("conv_id", "pos", "token_id")
     table = standins.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    entries = stage(standins.token_vectors(vocab, table, table.count()).withColumnRenamed("embedding", "vector"), "token_vectors")
-    embedded = embedding.embed_tokens(ids, entries.drop("vec_id"))
-    projected = embedding.project_vectors(table, "vec_id", "embedding", _linear(64)).select("vec_id", F.col("projected").alias("vector"))
-    filled = embedding.scatter_items(_spans(spark, sf), _slots(spark, sf, table.count()).join(projected, "vec_id"), "conv_id")
-    rows = embedding.input_vectors(embedded, filled, "conv_id", "vector", 64)
+    plain = blocks.store_vectors(table, ["vec_id"], "embedding", 64, "double")
+    projected = embedding.project_vectors(table, "vec_id", "embedding", _linear(64))
+    items = blocks.store_vectors(projected, ["vec_id"], "projected", 64, "double", beside=plain)
+    n = plain.index.count()
+    embedded = embedding.embed_tokens(ids, stage(standins.token_vectors(vocab, plain.index, n).drop("vec_id"), "token_references"))
+    filled = embedding.scatter_items(_spans(spark, sf, ready), _slots(spark, sf, n).join(items.index, "vec_id"), "conv_id")
+    rows = embedding.input_vectors(embedded, filled, "conv_id", plain)
     size = F.aggregate("vector", F.lit(0.0), lambda a, v: a + F.abs(v))
     return rows.select("conv_id", "pos", "kind", F.round(size, 6).alias("size"))
 

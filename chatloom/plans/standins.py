@@ -303,8 +303,12 @@ def speech(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_vectors(vocab: DataFrame, embeddings: DataFrame, n_vectors: int) -> DataFrame:
-    """``token_id, freq, vec_id, embedding``: each vocabulary entry takes a row of the embeddings table."""
-    return vocab.withColumn("vec_id", F.col("token_id") % n_vectors).join(embeddings.select("vec_id", "embedding"), "vec_id").select(
-        "token_id", "freq", "vec_id", "embedding"
-    )
+    """``token_id, freq`` and the columns of ``embeddings``: each vocabulary entry takes a row of that table, or of its index."""
+    met = vocab.withColumn("vec_id", F.col("token_id") % n_vectors).join(embeddings, "vec_id")
+    return met.select("token_id", "freq", *embeddings.columns)
+
 
+def abbreviated(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, text``: documents in which some words have an abbreviation in front."""
+    text = F.replace(F.replace("text", F.lit(" in "), F.lit(" e.g. in ")), F.lit(" die "), F.lit(" bzw. die "))
+    return table(spark, sf, "documents").select("doc_id", F.replace(text, F.lit(" la "), F.lit(" No. 5 la ")).alias("text"))

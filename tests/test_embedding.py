@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from chatloom.operators import embedding
+from chatloom.operators.blocks import store_vectors
 from chatloom.operators.embedding import Projector
 from chatloom.registry import ModalitySpec
 
@@ -80,9 +81,13 @@ def test_erf():
 
 
 def test_input_vectors(spark):
-    embedded = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, None), (0, 2, None)], "row long, pos long, v array<double>")
-    filled = spark.createDataFrame([(0, 1, [3.0, 4.0]), (0, 2, None)], "row long, pos long, v array<double>")
-    got = embedding.input_vectors(embedded, filled, "row", "v", 2).orderBy("pos").collect()
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, v array<double>")
+    stored = store_vectors(vectors, ["vec_id"], "v", 2, "double")
+    at = {r["vec_id"]: (r["block"], r["place"]) for r in stored.index.collect()}
+    schema = "row long, pos long, block long, place int"
+    embedded = spark.createDataFrame([(0, 0, *at[1]), (0, 1, None, None), (0, 2, None, None)], schema)
+    filled = spark.createDataFrame([(0, 1, *at[2]), (0, 2, None, None)], schema)
+    got = embedding.input_vectors(embedded, filled, "row", stored, "v").orderBy("pos").collect()
     assert [(r["kind"], r["v"]) for r in got] == [("text", [1.0, 2.0]), ("item", [3.0, 4.0]), ("zero", [0.0, 0.0])]
 
 
