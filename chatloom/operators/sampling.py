@@ -58,12 +58,24 @@ def accept_until(
         share = min(1.0, share * max(2.0, 1.25 * n / max(found, 1)))
 
 
+def drawn_row(salt: str, rows: int) -> Column:
+    """The row that an attempt (``shard``, ``attempt``) draws."""
+    return pick_row(key_text(F.col("shard"), F.col("attempt")), salt, rows)
+
+
+def next_attempts(open_shards: DataFrame, rows: int, salt: str = "draw") -> DataFrame:
+    """``shard, attempt, idx``: the attempts ``first`` to ``last`` - 1 of each shard and the row each draws."""
+    made = open_shards.select("shard", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("attempt"))
+    return made.withColumn("idx", drawn_row(salt, rows))
+
+
 def attempts(spark: SparkSession, rows: int, shards: int, first: int, last: int, salt: str = "draw") -> DataFrame:
-    """``shard, attempt, idx``: the attempts ``first`` to ``last`` - 1 of every shard and the row each draws."""
-    made = spark.range(shards * (last - first)).select(
-        F.expr(f"id div {last - first}").alias("shard"), (F.col("id") % (last - first) + first).alias("attempt")
-    )
-    return made.withColumn("idx", pick_row(key_text(F.col("shard"), F.col("attempt")), salt, rows))
+    """The same attempts of every shard."""
+    return next_attempts(spark.range(shards).select(F.col("id").alias("shard"), _long(first).alias("first"), _long(last).alias("last")), rows, salt)
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
 def draw_with_retry(
@@ -77,25 +89,33 @@ def draw_with_retry(
 ) -> DataFrame:
     """Every shard draws row numbers with replacement until ``quota`` draws were accepted.
 
-    ``build`` receives ``(shard, attempt, idx)`` and returns the accepted attempts with their payload. The number of
-    attempts is doubled until all shards are full; a source that rejects nearly everything raises an error instead
+    ``build`` receives ``(shard, attempt, idx)`` and returns the accepted attempts with their payload. It is given every
+    attempt once: a round asks for the next attempts of the shards that are still open, as many as their own acceptance so
+    far makes likely to fill them. The result, the first ``quota`` accepted attempts of each shard, does not depend on how
+    rounds were cut. A source that rejects nearly everything raises an error after ``quota * max_factor`` attempts instead
     of looping for ever. Keep the quota of a shard moderate (some 10**5) and scale the number of shards.
     """
     if rows < 1:
         raise ValueError("nothing to draw from")
-    factor = 2
+    most = quota * max_factor
+    state = spark.range(shards).select(F.col("id").alias("shard"), _long(0).alias("first"), _long(quota).alias("last"))
+    accepted = None
     while True:
-        accepted = stage(build(attempts(spark, rows, shards, 0, quota * factor, salt)), "draws")
-        full = accepted.groupBy("shard").count().filter(F.col("count") >= quota).count()
-        if full == shards:
+        found = stage(build(next_attempts(state, rows, salt)), "draws")
+        accepted = found if accepted is None else accepted.unionByName(found)
+        have = accepted.groupBy("shard").agg(F.count(F.lit(1)).alias("_have"))
+        tried, got = F.col("last"), F.coalesce(F.col("_have"), F.lit(0))
+        likely = F.ceil(F.lit(1.25) * (quota - got) * tried / F.greatest(got, F.lit(1))).cast("bigint")
+        after = F.least(tried + F.least(likely, 4 * tried), F.lit(most))
+        state = state.join(have, "shard", "left").filter(got < quota).select("shard", tried.alias("first"), after.alias("last"))
+        state = stage(state, "open_shards")
+        counts = state.agg(F.count(F.lit(1)).alias("open"), F.count_if(F.col("first") >= most).alias("stuck")).first()
+        if counts["stuck"]:
+            raise RuntimeError(f"{counts['stuck']} of {shards} shards not filled after {most} attempts each")
+        if not counts["open"]:
             order = Window.partitionBy("shard").orderBy("attempt")
-            return (
-                accepted.withColumn("slot", (F.row_number().over(order) - 1).cast("bigint"))
-                .filter(F.col("slot") < quota)
-            )
-        factor *= 2
-        if factor > max_factor:
-            raise RuntimeError(f"{shards - full} of {shards} shards not filled after {quota * max_factor // 2} attempts each")
+            slot = (F.row_number().over(order) - 1).cast("bigint")
+            return accepted.withColumn("slot", slot).filter(F.col("slot") < quota)
 
 
 def draw_k_rows(examples: DataFrame, example: str, rows: int, max_k: int, salt: str = "k") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from chatloom import fixed_values as fv
 from chatloom.functions import hashing, media, text
 from chatloom.operators import chunking, extraction, joins, messages, ranking, sampling
-from chatloom.session import stage
+from chatloom.operators.answers import ask_once
+from chatloom.session import stage, staging_path
 from chatloom.sources.files import write_cache_jsonl
 
 
@@ -155,25 +156,40 @@ def speech_pretrain(speech: DataFrame, max_examples: int = 200_000) -> DataFrame
 Responses = DataFrame | Callable[[DataFrame], DataFrame]
 
 
+def parsed_answers(answers: DataFrame, *fields: str) -> DataFrame:
+    """The rows whose ``response`` parses, with its ``fields`` in its place."""
+    parsed = answers.withColumn("_qa", text.parse_json_fields(F.col("response"), *fields)).filter(F.col("_qa").isNotNull())
+    return parsed.select(*[c for c in answers.columns if c != "response"], *[F.col(f"_qa.{f}").alias(f) for f in fields])
+
+
 def generated_answers(requests: DataFrame, responses: Responses, keys: Sequence[str], *fields: str) -> DataFrame:
     """The requests whose answer parses, with the answer's ``fields``; ``prompt`` is dropped."""
     table = responses(requests) if callable(responses) else responses
-    met = requests.drop("prompt").join(table.select(*keys, "response"), list(keys))
-    parsed = met.withColumn("_qa", text.parse_json_fields(F.col("response"), *fields)).filter(F.col("_qa").isNotNull())
-    return parsed.select(*[c for c in requests.columns if c != "prompt"], *[F.col(f"_qa.{f}").alias(f) for f in fields])
+    return parsed_answers(requests.drop("prompt").join(table.select(*keys, "response"), list(keys)), *fields)
 
 
 def _draw_answers(
-    spark: SparkSession, rows: int, responses: Responses, shards: int, quota: int, salt: str, ask: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    rows: int,
+    responses: Responses,
+    shards: int,
+    quota: int,
+    salt: str,
+    ask: Callable[[DataFrame], DataFrame],
+    log: str | None = None,
 ) -> DataFrame:
     """(shard, slot, attempt, idx, question, answer): attempts accepted by their answers alone, cut to the quota.
 
-    ``ask`` turns attempts into requests. Prompts are made for a responding function only; a table needs none.
+    ``ask`` turns attempts into requests. Prompts are made for a responding function only, which is asked for an attempt
+    once: its answers go to ``log`` (a folder of this run if none is given) and are taken from there. A table needs no log.
     """
+    log = log or staging_path(spark, "answers")
 
     def build(attempts: DataFrame) -> DataFrame:
-        requests = ask(attempts) if callable(responses) else attempts
-        return generated_answers(requests, responses, ["shard", "attempt"], "question", "answer")
+        if not callable(responses):
+            return generated_answers(attempts, responses, ["shard", "attempt"], "question", "answer")
+        given = ask_once(attempts, lambda todo: responses(ask(todo)), log, salt, sampling.drawn_row(salt, rows))
+        return parsed_answers(given, "question", "answer")
 
     return sampling.draw_with_retry(spark, rows, build, shards, quota, salt)
 
@@ -221,17 +237,19 @@ def image_prompts(attempts: DataFrame, images: DataFrame, rows: int, max_images:
 
 
 def speech_generated(
-    spark: SparkSession, speech: DataFrame, responses: Responses, shards: int, quota: int, cache: str | None = None
+    spark: SparkSession, speech: DataFrame, responses: Responses, shards: int, quota: int, cache: str | None = None, log: str | None = None
 ) -> DataFrame:
     """Question/answer rows over randomly drawn speech rows; responses are keyed by (shard, attempt).
 
-    With ``cache`` the rows are also appended to that folder as JSON lines before anything else can fail.
+    A responding function is asked for an attempt once. With ``log``, a folder that outlives the run, that holds for all
+    runs together: a build that was stopped half-way goes on from the answers it has. With ``cache`` the finished rows are
+    also appended to that folder as JSON lines.
     """
 
     def ask(attempts: DataFrame) -> DataFrame:
         return speech_prompts(attempts, speech)
 
-    accepted = _draw_answers(spark, _rows(speech), responses, shards, quota, "speech_draw", ask)
+    accepted = _draw_answers(spark, _rows(speech), responses, shards, quota, "speech_draw", ask, log)
     question = text.place_tokens(_attempt_key(), F.col("question"), "<speech>", F.lit(1))
     rows = accepted.select(
         "shard",
@@ -244,14 +262,14 @@ def speech_generated(
 
 
 def sound_generated(
-    spark: SparkSession, sounds: DataFrame, responses: Responses, shards: int, quota: int, cache: str | None = None
+    spark: SparkSession, sounds: DataFrame, responses: Responses, shards: int, quota: int, cache: str | None = None, log: str | None = None
 ) -> DataFrame:
     """Question/answer rows over randomly drawn ``(idx, url, tags)`` sounds, fetched after the quota is met."""
 
     def ask(attempts: DataFrame) -> DataFrame:
         return sound_prompts(attempts, sounds)
 
-    accepted = _draw_answers(spark, _rows(sounds), responses, shards, quota, "sound_draw", ask)
+    accepted = _draw_answers(spark, _rows(sounds), responses, shards, quota, "sound_draw", ask, log)
     question = text.place_tokens(_attempt_key(), F.col("question"), "<sound>", F.lit(1))
     rows = accepted.join(sounds.select("idx", "url"), "idx").select(
         "shard",
@@ -263,10 +281,19 @@ def sound_generated(
     return cached(rows, cache)
 
 
-def sound_captions(sounds: DataFrame, responses: Responses, cache: str | None = None) -> DataFrame:
-    """Every sound once, in random order; a failed caption is dropped, not drawn again."""
-    requests = caption_prompts(sounds) if callable(responses) else sounds.select("idx")
-    parsed = generated_answers(requests, responses, ["idx"], "caption")
+def sound_captions(sounds: DataFrame, responses: Responses, cache: str | None = None, log: str | None = None) -> DataFrame:
+    """Every sound once, in random order; a failed caption is dropped, not drawn again. ``log`` as for drawn rows."""
+    if callable(responses) and log is not None:
+        each = sounds.select(F.lit(0).cast("bigint").alias("shard"), F.col("idx").alias("attempt"), "idx")
+
+        def ask(todo: DataFrame) -> DataFrame:
+            given = responses(caption_prompts(sounds.join(todo.select("idx"), "idx", "left_semi")))
+            return given.select(F.lit(0).cast("bigint").alias("shard"), F.col("idx").alias("attempt"), "response")
+
+        parsed = parsed_answers(ask_once(each, ask, log, "sound_captions", F.col("attempt")).select("idx", "response"), "caption")
+    else:
+        requests = caption_prompts(sounds) if callable(responses) else sounds.select("idx")
+        parsed = generated_answers(requests, responses, ["idx"], "caption")
     question = text.pick_template(F.col("idx"), fv.SOUND_PHRASES, "sound")
     rows = parsed.join(sounds.select("idx", "url"), "idx").select(
         "idx",
@@ -286,6 +313,7 @@ def multi_image_generated(
     quota: int,
     max_images: int = 6,
     cache: str | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Question/answer rows over 1..max_images distinct images ``(idx, image, caption)`` in drawn order.
 
@@ -296,7 +324,7 @@ def multi_image_generated(
     def ask(attempts: DataFrame) -> DataFrame:
         return image_prompts(attempts, images, n, max_images)
 
-    accepted = _draw_answers(spark, n, responses, shards, quota, "image_draw", ask).withColumn("example", _attempt_key())
+    accepted = _draw_answers(spark, n, responses, shards, quota, "image_draw", ask, log).withColumn("example", _attempt_key())
     draws = sampling.draw_k_rows(accepted, "example", n, max_images, "images")
     rows = accepted.join(joins.gather_rows(draws, images, "example", ["image"]), "example")
     question = text.place_tokens(F.col("example"), F.col("question"), "<image>", F.size("image"))

@@ -62,6 +62,23 @@ def test_draw_with_retry_fills_every_shard(spark):
     assert [r["idx"] for r in got] == want
 
 
+def test_draws_ask_for_an_attempt_once_and_of_open_shards_only(spark):
+    asked = []
+
+    def build(attempts):
+        asked.extend((r["shard"], r["attempt"]) for r in attempts.collect())
+        # shard 0 accepts all, shard 1 every third, shard 2 starts late
+        return attempts.filter((F.col("shard") == 0) | (F.col("shard") == 1) & (F.col("attempt") % 3 == 0) | (F.col("attempt") > 40))
+
+    got = sampling.draw_with_retry(spark, 9, build, shards=3, quota=5).collect()
+    want = {0: [0, 1, 2, 3, 4], 1: [0, 3, 6, 9, 12], 2: [41, 42, 43, 44, 45]}
+    assert {s: sorted(r["attempt"] for r in got if r["shard"] == s) for s in range(3)} == want
+    assert len(asked) == len(set(asked)) and sorted(a for s, a in asked if s == 0) == [0, 1, 2, 3, 4]
+    for s in range(3):
+        own = sorted(a for x, a in asked if x == s)
+        assert own == list(range(len(own)))
+
+
 def test_draw_with_retry_gives_up(spark):
     with pytest.raises(RuntimeError, match="not filled"):
         sampling.draw_with_retry(spark, 3, lambda a: a.filter(F.col("attempt") < 0), 2, 4, max_factor=4)
