@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,15 @@ def pack_sentences(lengths: Column, window: int) -> Column:
     return F.aggregate(lengths, start, step, lambda s: F.array_append(s["done"], s["open"]))
 
 
-def chunk_documents(df: DataFrame, text: str, window: int = fv.DOCUMENT_WINDOW, out: str = "chunks") -> DataFrame:
-    """Add ``chunks``: ``array<struct<tokens, sentences, text>>``. An empty text gives one empty chunk."""
-    split = compute_once(df, _sentences=split_sentences(F.col(text)))
-    packed = split.withColumn("_packed", pack_sentences(F.transform("_sentences", count_tokens), window))
+def chunk_documents(
+    df: DataFrame, text: str, window: int = fv.DOCUMENT_WINDOW, out: str = "chunks", split: Callable[[Column], Column] = split_sentences
+) -> DataFrame:
+    """Add ``chunks``: ``array<struct<tokens, sentences, text>>``. An empty text gives one empty chunk.
+
+    ``split`` cuts a text into sentences: at every end mark before a blank, or as learned (``sentence_splitter``).
+    """
+    cut = compute_once(df, _sentences=split(F.col(text)))
+    packed = cut.withColumn("_packed", pack_sentences(F.transform("_sentences", count_tokens), window))
     chunks = F.transform(
         "_packed",
         lambda c: F.struct(

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions import hashing, media, text
-from chatloom.operators import extraction, messages
+from chatloom.operators import extraction, messages, sentences
 from chatloom.operators.joins import keep_existing
 from chatloom.plans import builders, standins
 from chatloom.plans.registry import query, quote, sql_hash, sql_list, sql_order, sql_pick, sql_strip
+from chatloom.session import stage
 
 # ---- shared SQL ----------------------------------------------------------------------------------------------
 
@@ -547,3 +548,89 @@ def label_to_action(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(builders.action_label(F.col("action")), F.when(F.col("frame") % 5 == 0, " ").otherwise("")).alias("label"),
     )
     return played.select("event_id", "label", builders.label_to_action(F.col("label")).cast("bigint").alias("action"))
+
+
+# ---- learned sentence ends -----------------------------------------------------------------------------------------
+
+
+def _sql_log(n: str, p: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN ({n}) * ln({p}) ELSE 0 END"
+
+
+def _sql_binomial(k: str, n: str, p: str) -> str:
+    return f"({_sql_log(k, p)} + {_sql_log(f'({n}) - ({k})', f'1 - {p}')})"
+
+
+def _sql_association(a: str, b: str, both: str, n: str) -> str:
+    p, p1, p2 = f"(({b}) / {n}::DOUBLE)", f"({both} / ({a})::DOUBLE)", f"((({b}) - {both}) / nullif({n} - ({a}), 0)::DOUBLE)"
+    rest = f"coalesce({p2}, 0)"
+    return f"""-2 * ({_sql_binomial(both, a, p)} + {_sql_binomial(f'({b}) - {both}', f'{n} - ({a})', p)}
+    - {_sql_binomial(both, a, p1)} - {_sql_binomial(f'({b}) - {both}', f'{n} - ({a})', rest)})"""
+
+
+def _sql_bare(token: str) -> str:
+    return f"regexp_replace(regexp_replace({token}, {quote(sentences.OPENING)}, ''), {quote(sentences.CLOSING)}, '')"
+
+
+def _sql_word(bare: str) -> str:
+    word = f"lower(regexp_replace({bare}, '[.!?]+\\z', ''))"
+    return f"CASE WHEN regexp_matches({word}, '\\p{{L}}') THEN {word} ELSE '#' END"
+
+
+SQL_SENTENCES = f"""src AS (SELECT doc_id, replace(replace(replace(text, ' in ', ' e.g. in '), ' die ', ' bzw. die '), ' la ', ' No. 5 la ') AS text FROM documents),
+lists AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''), lambda t: {_sql_bare('t')}) AS l FROM src),
+toks AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS b FROM lists),
+kinds AS (SELECT doc_id, i, {_sql_word('b')} AS word, ends_with(b, '.') AS dot, regexp_matches(b, '[!?]\\z') AS mark FROM toks),
+pairs AS (SELECT word, dot, mark, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM kinds),
+words AS (SELECT word, count(*) FILTER (dot) AS dotted, count(*) FILTER (NOT dot) AS plain, count(*) AS n FROM kinds GROUP BY word),
+size_ AS (SELECT sum(n)::BIGINT AS n, sum(dotted)::DOUBLE / sum(n) AS chance FROM words),
+shape AS (SELECT *, length(replace(word, '.', ''))::DOUBLE AS letters FROM words WHERE dotted > 0 AND word <> '#'),
+abbreviations AS (SELECT * FROM (
+  SELECT word, -2 * ({_sql_binomial('dotted', 'w.n', 'chance')} - {_sql_binomial('dotted', 'w.n', '0.99::DOUBLE')}) * exp(-letters)
+    * (length(word) - letters + 1) * letters ** (-plain) AS score FROM shape w, size_) WHERE score >= {sentences.ABBREVIATION}),
+ends AS (SELECT * FROM pairs WHERE mark OR (dot AND word <> '#' AND word NOT IN (SELECT word FROM abbreviations))),
+starts AS (SELECT next, count(*) AS "both", w.n AS n FROM ends JOIN words w ON w.word = next WHERE regexp_matches(next, '\\p{{L}}') GROUP BY next, w.n),
+breaks AS (SELECT count(*) AS a FROM ends),
+starters AS (SELECT * FROM (SELECT next, {_sql_association('a', 's.n', '"both"', 'z.n')} AS score FROM starts s, breaks, size_ z
+  WHERE z.n / a::DOUBLE > s.n / "both"::DOUBLE) WHERE score >= {sentences.STARTER}),
+met AS (SELECT word, next, count(*) AS "both" FROM pairs WHERE dot AND regexp_matches(next, '\\p{{L}}')
+  AND (word = '#' OR word IN (SELECT word FROM abbreviations)) AND next NOT IN (SELECT next FROM starters) GROUP BY word, next HAVING count(*) > 1),
+collocations AS (SELECT * FROM (SELECT m.word, m.next, {_sql_association('x.dotted', 'y.n', '"both"', 'z.n')} AS score
+  FROM met m JOIN words x USING (word) JOIN words y ON y.word = m.next, size_ z WHERE z.n / x.dotted::DOUBLE > y.n / "both"::DOUBLE) WHERE score >= {sentences.COLLOCATION})"""
+
+
+@query(
+    "sentence_model",
+    f"""WITH {SQL_SENTENCES} SELECT 'abbreviation' AS kind, word, NULL AS next, round(score, 4) AS score FROM abbreviations
+UNION ALL SELECT 'starter', NULL, next, round(score, 4) FROM starters UNION ALL SELECT 'collocation', word, next, round(score, 4) FROM collocations""",
+)
+def sentence_model(spark: SparkSession, sf: str) -> DataFrame:
+    """What the texts tell of their abbreviations, sentence starters and collocations."""
+    words, pairs = sentences.word_counts(standins.abbreviated(spark, sf), "text")
+    short = stage(sentences.abbreviation_scores(words).filter(F.col("score") >= sentences.ABBREVIATION), "abbreviations")
+    starters = stage(sentences.starter_scores(words, pairs, short.select("word")).filter(F.col("score") >= sentences.STARTER), "starters")
+    met = sentences.collocation_scores(words, pairs, short, starters).filter(F.col("score") >= sentences.COLLOCATION)
+    parts = {"abbreviation": short, "starter": starters, "collocation": met}
+    made = [df.withColumn("kind", F.lit(kind)) for kind, df in parts.items()]
+    every = made[0].unionByName(made[1], allowMissingColumns=True).unionByName(made[2], allowMissingColumns=True)
+    return every.select("kind", "word", "next", F.round("score", 4).alias("score"))
+
+
+@query(
+    "learned_sentences",
+    f"""WITH {SQL_SENTENCES},
+pieces AS (SELECT doc_id, list_filter(string_split(regexp_replace({sql_strip('text')}, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS l FROM src),
+rows_ AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM pieces),
+both_ AS (SELECT *, {_sql_bare("regexp_extract(s, '([^ \\t\\n\\r\\f]+)\\z', 1)")} AS own,
+  {_sql_bare("regexp_extract(lead(s) OVER (PARTITION BY doc_id ORDER BY i), '\\A([^ \\t\\n\\r\\f]+)', 1)")} AS follows FROM rows_),
+named AS (SELECT *, {_sql_word('own')} AS word, {_sql_word('follows')} AS next FROM both_),
+judged AS (SELECT doc_id, i, s, NOT (ends_with(own, '.') AND (c.word IS NOT NULL OR (a.word IS NOT NULL AND NOT (regexp_matches(follows, '\\A\\p{{Lu}}') AND t.next IS NOT NULL)))) AS ends
+  FROM named n LEFT JOIN collocations c ON c.word = n.word AND c.next = n.next LEFT JOIN abbreviations a ON a.word = n.word LEFT JOIN starters t ON t.next = n.next),
+numbered AS (SELECT doc_id, i, s, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM judged)
+SELECT doc_id, sentence, string_agg(s, ' ' ORDER BY i) AS text FROM numbered GROUP BY doc_id, sentence""",
+)
+def learned_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    docs = standins.abbreviated(spark, sf)
+    split = sentences.sentence_splitter(sentences.learn_sentences(docs, "text"))
+    found = docs.select("doc_id", F.posexplode(split(F.col("text"))).alias("sentence", "text"))
+    return found.select("doc_id", F.col("sentence").cast("bigint").alias("sentence"), "text")
