@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.llm.common import rows_of
 from chatloom.llm.exact_dedup import exact_duplicates
 from chatloom.llm.mixing import training_rows
-from chatloom.llm.near_copies import drop_near_copies, rows_of
 from chatloom.llm.packing import pack
 from chatloom.llm.quality import good_documents
 from chatloom.llm.queries import VOCABULARY, digests
 from chatloom.llm.registry import query, table
+from chatloom.llm.simhash import drop_near_duplicates
 from chatloom.session import stage
 
 
@@ -28,13 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
     found = exact_duplicates(docs).filter("kept")
-    wanted = found.select(F.col("doc_id").alias("_key"), F.col("text_print").alias("_node"))
+    wanted = found.select(F.col("doc_id").alias("_key"), F.col("text_print").alias("_print"))
     return rows_of(docs, wanted, "doc_id", "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return drop_near_copies(docs)
+    """One row of each group of texts whose fingerprints are linked by differences of at most two bits."""
+    return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("packing", packing)]
 
-#: Near copies, training positions and packing have no SQL; the stages are tested against brute force.
+#: Fingerprints, training positions and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
