@@ -113,7 +113,7 @@ class _Texts:
         for at in range(0, last + 1, BLOCK):
             stop = min(at + BLOCK, last + 1)
             grams = PrefixHashes(self.data[at : stop + LENGTH - 1]).every(ANCHOR)
-            anchor = np.argmin(np.lib.stride_tricks.sliding_window_view(grams, SPREAD), axis=1) + np.arange(stop - at)
+            anchor = leftmost_minima(grams, SPREAD)
             window = np.arange(at, stop)
             owner = np.searchsorted(self.ends, window, "right")
             good = window + LENGTH <= self.ends[owner]
@@ -134,6 +134,18 @@ class _Texts:
         return np.searchsorted(self.ends, position, "right")
 
 
+def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the first least of every ``width`` neighbouring values is; ranges double until two of them cover a window."""
+    least, place, size = values, np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        right = least[step:] < least[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        least = np.where(right, least[step:], least[:-step])
+        size += step
+    return place
+
+
 def _distinct(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct hashes, whether several texts have each, how often each occurs)."""
     order = np.lexsort((texts, hashes))
@@ -212,7 +224,30 @@ def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 # ---- 2: contexts -------------------------------------------------------------------------------------------
 
-CONTEXTS, PLACES = 0, 1
+VERIFIED = 1 << 14  # records whose bytes are compared at a time
+
+
+def _keys(matrix: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(matrix[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def distinct_records(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows by key, the number of each row's): rows are sorted by key and hash, and neighbours compared by bytes."""
+    factors = np.cumprod(np.full(matrix.shape[1], 0x9E3779B97F4A7C15, np.uint64))
+    parts = [(matrix[at : at + VERIFIED].astype(np.uint64) + np.uint64(1)) @ factors for at in range(0, len(matrix), VERIFIED)]
+    hashed, key = np.concatenate(parts) if parts else np.zeros(0, np.uint64), _keys(matrix)
+    order = np.lexsort((hashed, key))
+    new = np.ones(len(matrix), bool)
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (hashed[order[1:]] != hashed[order[:-1]])
+    same = np.flatnonzero(~new)
+    for at in range(0, len(same), VERIFIED):
+        part = same[at : at + VERIFIED]
+        if (matrix[order[part]] != matrix[order[part - 1]]).any():  # a hash that lied
+            found, which = np.unique(np.ascontiguousarray(matrix).view(f"V{matrix.shape[1]}").reshape(-1), return_inverse=True)
+            return found.view(np.uint8).reshape(len(found), -1), which
+    which = np.empty(len(matrix), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return matrix[order[new]], which
 
 
 def _context_sender(bits: int) -> Callable:
@@ -243,20 +278,18 @@ def _context_sender(bits: int) -> Callable:
         if not len(first):
             return _rows([])
         size = last - first + LENGTH
-        record = np.zeros((len(first), 10 + WIDEST), np.uint8)
+        record = np.empty((len(first), 10 + WIDEST), np.uint8)
         record[:, :8] = key.astype(">u8").view(np.uint8).reshape(-1, 8)
         record[:, 8], record[:, 9] = size, rel
-        for j in range(WIDEST):
-            rows = np.flatnonzero(size > j) if j >= LENGTH else slice(None)
-            record[rows, 10 + j] = texts.data[first[rows] + j]
-        distinct, which = np.unique(record.view(f"V{record.shape[1]}").reshape(-1), return_inverse=True)
+        padded = np.concatenate([texts.data, np.zeros(WIDEST, np.uint8)])
+        record[:, 10:] = np.lib.stride_tricks.sliding_window_view(padded, WIDEST)[first]
+        record[:, 10:][np.arange(WIDEST) >= size[:, None]] = 0
+        matrix, which = distinct_records(record)
         keys_of = texts.keys[texts.text_of(first)]
-        low, high = np.full(len(distinct), LAST_KEY, np.int64), np.full(len(distinct), -LAST_KEY - 1, np.int64)
+        low, high = np.full(len(matrix), LAST_KEY, np.int64), np.full(len(matrix), -LAST_KEY - 1, np.int64)
         np.minimum.at(low, which, keys_of)
         np.maximum.at(high, which, keys_of)
-        matrix = distinct.view(np.uint8).reshape(len(distinct), -1)
-        own = np.ascontiguousarray(matrix[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
-        cuts = _cuts(own, bits)  # distinct records are sorted by key
+        cuts = _cuts(_keys(matrix), bits)
         rows = [(g, -1, _dump(which.astype(np.int32), first))]
         for owner in np.flatnonzero(np.diff(cuts)):
             share = slice(int(cuts[owner]), int(cuts[owner + 1]))
@@ -298,11 +331,10 @@ def least_keys(matrix: np.ndarray, low: np.ndarray) -> np.ndarray:
 
     ``matrix`` rows: key (8 bytes, big-endian), size, place of the anchor, the bytes; ``low``: each context's least key.
     """
-    classes, which = np.unique(np.ascontiguousarray(matrix).view(f"V{matrix.shape[1]}").reshape(-1), return_inverse=True)
-    flat = classes.view(np.uint8).reshape(len(classes), -1)
-    least = np.full(len(classes), LAST_KEY, np.int64)
+    flat, which = distinct_records(matrix)
+    least = np.full(len(flat), LAST_KEY, np.int64)
     np.minimum.at(least, which, low)
-    key = np.ascontiguousarray(flat[:, :8]).view(">u8").reshape(-1)
+    key = _keys(flat)
     windows = flat[:, 8].astype(np.int64) - LENGTH + 1
     answer = np.where(np.arange(SPREAD) < windows[:, None], least[:, None], LAST_KEY)
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))

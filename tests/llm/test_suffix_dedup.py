@@ -122,3 +122,27 @@ def test_edges(spark):
     rows = [r for r in edge_rows() if r[0] != 400]
     assert result(remove_repeats(edge_docs(spark, rows))) == brute([r[:2] for r in rows])
     assert remove_repeats(no_docs(spark)).count() == 0
+
+
+def test_leftmost_minima():
+    rng = np.random.default_rng(3)
+    for n, high in ((31, 3), (200, 3), (200, 2**63)):
+        values = rng.integers(0, high, n).astype(np.uint64)
+        for width in (1, 2, 7, 30, 31):
+            want = [i + int(np.argmin(values[i : i + width])) for i in range(n - width + 1)]
+            assert module.leftmost_minima(values, width).tolist() == want
+
+
+@pytest.mark.parametrize("lying", [False, True])
+def test_distinct_records(monkeypatch, lying):
+    """By bytes, also where all hashes are equal."""
+    rng = np.random.default_rng(4)
+    matrix = rng.integers(0, 2, (300, 90)).astype(np.uint8)
+    matrix[:, 3:80] = 0
+    if lying:
+        monkeypatch.setattr(module.np, "cumprod", lambda a: np.zeros_like(a))
+    found, which = module.distinct_records(matrix)
+    assert (found[which] == matrix).all() and len(found) == len({r.tobytes() for r in matrix})
+    keys = module._keys(found)
+    assert (keys[1:] >= keys[:-1]).all()
+    assert len(module.distinct_records(matrix[:0])[0]) == 0
