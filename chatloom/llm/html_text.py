@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one for each block of text. A line counts with the characters that are not in links; lines of
 page furniture (navigation, asides, forms, notices, adverts, comments; told by element, role, class or id) and, on pages that mark
-their article, everything around it count nothing. Sums over sliding windows of lines are the distribution: the text begins
+their article or main part, everything around it count nothing. Sums over sliding windows of lines are the distribution: the text begins
 at a surge, where a window reaches the threshold, and ends at the dive, where one falls below; in a marked article any character
 is a surge. Without one, the largest region is completed to the innermost division that holds its long lines, so that its short first
 and last ones stay.
@@ -37,15 +37,18 @@ INLINE = frozenset(
 FURNITURE = frozenset("nav aside footer form dialog menu button head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar alert".split())
 MARKS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header menu "
-    "modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond share sharing "
-    "sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsbygoogle adslot adunit advert advertisement advertorial adverts alert banner breadcrumb breadcrumbs comment comments consent "
+    "cookie cookies disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted "
+    "promotion related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 
 CONTENT = frozenset("html body main article".split())  # furniture only where they are named as comments
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = HEADINGS | frozenset("p li dt dd dl ul ol tr td th tbody thead tfoot table caption blockquote pre figure figcaption".split())  # of a text, not its holder
 
+ARTICLE, MAIN = 2, 1
+HOLDERS = {"article": ARTICLE, "main": MAIN}
+
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z]", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -60,26 +63,26 @@ class Line:
     text: str
     linked: int
     furniture: bool
-    article: bool
+    article: int  # ARTICLE, MAIN or 0: what it is in
 
 
 @dataclass
 class Element:
     tag: str
     furniture: bool
-    article: bool
+    article: int
     first: int  # its first line
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool]:
+def _named(tag: str, attributes: str) -> tuple[bool, int]:
     """(furniture, article) as the element's own name and attributes tell."""
-    furniture, article = tag in FURNITURE, tag == "article"
+    furniture, article = tag in FURNITURE, HOLDERS.get(tag, 0)
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "role":
-            furniture, article = furniture or value.lower() in ROLES, article or value.lower() == "article"
+            furniture, article = furniture or value.lower() in ROLES, max(article, HOLDERS.get(value.lower(), 0))
         elif name == "itemprop":
-            article = article or value == "articleBody"
+            article = ARTICLE if value == "articleBody" else article
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             furniture = True
         elif name in ("class", "id") and tag not in HEADINGS:
@@ -93,7 +96,7 @@ def page_lines(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
     """The lines of a page without markup, and the ranges of lines that its divisions hold."""
     lines: list[Line] = []
     spans: list[tuple[int, int]] = []
-    stack = [Element("", False, False, 0)]
+    stack = [Element("", False, 0, 0)]
     open_tags: Counter[str] = Counter()
     paragraph = 0  # where in the stack an open paragraph is
     parts: list[str] = []
@@ -140,7 +143,7 @@ def page_lines(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
             in_link = not ends
         if tag == "br":
             parts.append("\n")
-        furniture, article = (False, False) if ends or not attributes and tag in INLINE else _named(tag, attributes)
+        furniture, article = (False, 0) if ends or not attributes and tag in INLINE else _named(tag, attributes)
         if tag in INLINE and not (furniture or ends and open_tags[tag]):
             continue
         flush()
@@ -162,7 +165,7 @@ def page_lines(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
             inside = (over.furniture and not (over.tag == "header" and over.article and tag in HEADINGS)) or furniture
             if tag == "p":
                 paragraph = len(stack)
-            stack.append(Element(tag, inside, over.article or article, len(lines)))
+            stack.append(Element(tag, inside, max(over.article, article), len(lines)))
             open_tags[tag] += 1
     flush()
     close(1)
@@ -189,9 +192,9 @@ def regions(weights: np.ndarray, threshold: float) -> list[tuple[int, int]]:
 def main_text(page: str) -> str:
     """The text between surges and dives, one line for each block."""
     lines, spans = page_lines(page)
-    marked = any(x.article and not x.furniture for x in lines)
+    marked = max((x.article for x in lines if not x.furniture), default=0)
     if marked:
-        weights = np.array([len(x.text) if x.article and not x.furniture else 0 for x in lines])
+        weights = np.array([len(x.text) if x.article == marked and not x.furniture else 0 for x in lines])
         kept = regions(weights, 1)
     else:
         weights = np.array([0 if x.furniture else len(x.text) - x.linked for x in lines])
@@ -202,7 +205,7 @@ def main_text(page: str) -> str:
         long_ = best[0] + np.flatnonzero(weights[best[0] : best[1]] >= min(DIVE, weights[best[0] : best[1]].max()))
         around = [s for s in spans if s[0] <= long_[0] and s[1] > long_[-1] and s != (0, len(lines))]
         kept = [min(around, key=lambda s: s[1] - s[0], default=best)]
-    return "\n".join(x.text for a, b in kept for x in lines[a:b] if not x.furniture and (x.article or not marked))
+    return "\n".join(x.text for a, b in kept for x in lines[a:b] if not x.furniture and (x.article == marked or not marked))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "signed_token")
 # what makes a candidate: a run that long, or a PEM frame
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 LONG_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}(?![A-Za-z0-9+/_=-])")
-PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
 ESCAPED_BREAK = re.compile(r"\\+[nr]")  # as in JSON, however often escaped
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 OPENSSH_MAGIC = b"openssh-key-v1\x00"
@@ -184,23 +185,27 @@ def structured_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     blocks = []
     if "-----BEGIN " in text:
-        for m in PEM_BEGIN.finditer(text):
-            mark = f"-----END {m[1]}-----"
-            end = text.find(mark, m.end())
-            if end < 0:
+        begin = None
+        for m in PEM_MARK.finditer(text):
+            if m[1] == "BEGIN":
+                begin = m  # a body holds no dashes, so only the last mark before an end can be its beginning
                 continue
-            found_bodies = [decode_base64(body) for body in pem_bodies(text[m.end() : end])]
-            good = any(_structure(data) is not None for data in found_bodies)
-            if not good and not m[1].startswith("ENCRYPTED") and ":" in text[m.end() : end]:  # an encrypted body has no structure
-                good = any(data is not None and len(data) >= 32 for data in found_bodies)
-            if good:
-                blocks.append((m.start(), end + len(mark)))
-                found.append((m.start(), end + len(mark), "pem"))
+            if begin is not None and begin[2] == m[2]:
+                inside = text[begin.end() : m.start()]
+                bodies = [decode_base64(body) for body in pem_bodies(inside)]
+                good = any(_structure(data) is not None for data in bodies)
+                if not good and not m[2].startswith("ENCRYPTED") and ":" in inside:  # an encrypted body has no structure
+                    good = any(data is not None and len(data) >= 32 for data in bodies)
+                if good:
+                    blocks.append((begin.start(), m.end()))
+                    found.append((begin.start(), m.end(), "pem"))
+            begin = None
     if "." in text:
         found += [(*m.span(), "signed_token") for m in DOTTED.finditer(text) if m[3] and is_token_header(m[1])]
     for pattern, decode in ((LONG_HEX, lambda run: bytes.fromhex(run) if len(run) % 2 == 0 else None), (LONG_BASE64, decode_base64)):
         for m in pattern.finditer(text):
-            if not any(b <= m.start() and m.end() <= e for b, e in blocks) and (kind := _structure(decode(m[0]))):
+            before = bisect.bisect_right(blocks, (m.start(), len(text))) - 1  # blocks are in order and apart
+            if (before < 0 or m.end() > blocks[before][1]) and (kind := _structure(decode(m[0]))):
                 found.append((*m.span(), kind))
     return found
 

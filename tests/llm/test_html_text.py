@@ -23,6 +23,9 @@ PAGES = {
     f"<div id=top><a href=/>Home</a> <a href=/b>More</a></div><div id=main><h2>H</h2><p>Short.</p><p>{LONG}</p><p>{LONG}</p><p>End.</p></div>"
     f"<div class=sidebar><p>{LONG} aside</p></div><p>small print</p>": f"H\nShort.\n{PARAGRAPH}\n{PARAGRAPH}\nEnd.",
     f"<body><p>top</p><div class=page><div><p>{LONG}</p><p>End.</p></div></div><div class=widget>w</div></body>": f"{PARAGRAPH}\nEnd.",
+    "<header>x</header><main><header><h1>T</h1></header><p>a</p><div class=alert>n</div></main><div>b</div>": "T\na",
+    "<main><p>teaser</p><article><p>a</p></article></main>": "a",
+    "<div role=main><p>a</p></div><p>b</p>": "a",
     "<p>only</p>": "only",
     "plain  text\nonly": "plain text only",
     "": "",

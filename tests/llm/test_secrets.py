@@ -121,6 +121,21 @@ def test_long_texts_stay_linear():
     assert time.time() - begin < 20
 
 
+def test_many_key_marks_stay_linear():
+    """One end behind very many beginnings, and very many blocks beside very many candidates."""
+    import time
+
+    body = "\n".join(re.findall(".{1,64}", b64(RSA)))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    begin = time.time()
+    marks = "-----BEGIN RSA PRIVATE KEY-----\nx: y\n" * 30_000  # 1 MB
+    assert [k for k, _ in kinds(marks + block)] == ["pem"] and ("pem", block) in kinds(marks + block)
+    assert "pem" not in [k for k, _ in kinds(marks + "-----END RSA PRIVATE KEY-----")]
+    many = kinds((block + "\n" + "0123456789abcdef" * 8 + "\n") * 1_000)
+    assert sum(k == "pem" for k, _ in many) == 1_000
+    assert time.time() - begin < 10
+
+
 @pytest.mark.parametrize("kind", ["RSA", "DSA", "EC"])
 @pytest.mark.parametrize("brk", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", " "])
 def test_private_keys_with_headers_and_escaped_breaks(kind, brk):
