@@ -17,6 +17,7 @@ from chatloom.sources import card, files
 from chatloom.sources.arrow_files import read_arrow
 
 DIALOGS_PER_FILE = 1000
+DIALOG_RANGE = 1 << 16  # so that files have several ranges at every scale
 
 
 @query(
@@ -74,7 +75,7 @@ def _write_dialog_arrays(spark: SparkSession, sf: str, path: str) -> None:
 def src_dialog_json(spark: SparkSession, sf: str) -> DataFrame:
     path = staging_path(spark, "dialogs")
     _write_dialog_arrays(spark, sf, path)
-    back = files.read_dialog_json(spark, [f"{path}/part=*"])
+    back = files.read_dialog_json(spark, [f"{path}/part=*"], split_bytes=DIALOG_RANGE)
     return back.select(
         "id",
         "image",

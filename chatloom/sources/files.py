@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from chatloom.schemas import DIALOG
 from chatloom.session import stage
+from chatloom.sources import json_arrays
 from chatloom.sources.arrow_files import read_arrow, write_arrow
+from chatloom.sources.listing import list_files
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -57,9 +59,36 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_dialog_json(spark: SparkSession, paths: list[str] | str, schema: T.StructType = DIALOG) -> DataFrame:
-    """Dialogues from files that each hold one JSON array. Such a file cannot be split: prefer many to one big one."""
-    return spark.read.schema(schema).json(paths, multiLine=True)
+def read_dialog_json(
+    spark: SparkSession, paths: list[str] | str, schema: T.StructType = DIALOG, split_bytes: int = json_arrays.SPLIT_BYTES
+) -> DataFrame:
+    """Dialogues from files that each hold one JSON array.
+
+    Files of up to ``split_bytes`` are read whole, one a task; larger ones in ranges of that size (see ``json_arrays``).
+    An element that does not fit the schema gives NULLs.
+    """
+    sized = matching_files(spark, paths)
+    large = [f for f in sized if f[1] > split_bytes]
+    small = spark.read.schema(schema).json([p for p, n in sized if n <= split_bytes], multiLine=True)
+    if not large:
+        return small
+    cut = json_arrays.read_elements(spark, large, split_bytes).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return cut if len(large) == len(sized) else small.unionByName(cut)
+
+
+def matching_files(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files that the paths or patterns name, those in named folders included."""
+    found = []
+    for pattern in [paths] if isinstance(paths, str) else paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        matched = system.globStatus(target)
+        if not matched:
+            raise FileNotFoundError(pattern)
+        for status in matched:
+            inside = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += [(f.getPath().toString(), f.getLen()) for f in inside if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return found
 
 
 def read_jsonl(spark: SparkSession, pattern: str | list[str], schema: T.StructType, corrupt: str | None = None) -> DataFrame:
@@ -71,19 +100,15 @@ def read_jsonl(spark: SparkSession, pattern: str | list[str], schema: T.StructTy
 
 
 def read_manifest(spark: SparkSession, root: str, inventory: str | None = None) -> DataFrame:
-    """``(path, length)`` of every file below ``root``; file contents are not read.
+    """``(path, length)`` of every file below ``root``; file contents are not read, hidden files are left out.
 
     With ``inventory``, a table (path or name) of ``path`` and ``length`` as object stores publish it, the files below
-    ``root`` are taken from there: nothing is listed, and the work is a scan. Without it Spark's driver lists the folder,
-    which is meant for some millions of files at most.
+    ``root`` are taken from there: nothing is listed, and the work is a scan. Without it tasks list the folders.
     """
     if inventory is not None:
         listed = read_chat(spark, inventory).select("path", F.col("length").cast("bigint").alias("length"))
         return listed.filter(F.col("path").startswith(root.rstrip("/") + "/"))
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    )
-    return listed.withColumn("path", F.regexp_replace("path", r"\Afile:/+", "/"))
+    return list_files(spark, root).withColumn("path", F.regexp_replace("path", r"\Afile:/+", "/"))
 
 
 def append_jsonl(df: DataFrame, folder: str) -> None:

@@ -192,6 +192,21 @@ def test_manifest_from_an_inventory(spark, tmp_path):
     assert sorted(map(tuple, files.read_manifest(spark, "/a", str(tmp_path / "inventory")).collect())) == [("/a/b/y", 2), ("/a/x", 1)]
 
 
+def test_manifest_listed_in_tasks(spark, tmp_path):
+    want = {}
+    for i in range(60):
+        folder = tmp_path / f"f{i % 7}" / f"g{i % 3}" if i % 5 else tmp_path
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"x {i}.bin").write_bytes(b"y" * i)
+        want[str(folder / f"x {i}.bin")] = i
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "z").write_bytes(b"z")
+    (tmp_path / ".crc").write_bytes(b"z")
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        assert dict(map(tuple, files.read_manifest(spark, root).collect())) == want
+
+
 def test_written_files_are_even(spark, tmp_path):
     rows = spark.range(100_000).withColumnRenamed("id", "position").repartition(7)
     files.write_shuffled(rows, str(tmp_path / "even"), 16)
