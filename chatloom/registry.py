@@ -33,6 +33,8 @@ class ModalitySpec:
     # user hooks, see operators.hooks: lists of items to lists of values, item values to vectors
     preprocess: Callable[[list[list[Any]]], list[Any]] | None = field(default=None, compare=False)
     encode: Callable[[list[Any]], list[list[float]]] | None = field(default=None, compare=False)
+    # run once in a worker; what it returns (a loaded model) is then the first argument of both hooks
+    setup: Callable[[], Any] | None = field(default=None, compare=False)
 
     @property
     def code(self) -> int:

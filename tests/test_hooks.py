@@ -1,11 +1,13 @@
+import os
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatloom import fixed_values as fv
-from chatloom.operators import embedding, encoding, hooks, pretrained
+from chatloom.operators import embedding, hooks
 from chatloom.registry import ModalitySpec
-from chatloom.schemas import MESSAGES
 
 
 def toy() -> ModalitySpec:
@@ -53,19 +55,42 @@ def test_encode_hook_feeds_scatter(spark, items):
         hooks.encode_items(flat, "id", PLAIN)
 
 
-def test_sentencepiece_model(spark, tmp_path):
-    spm = pytest.importorskip("sentencepiece")
-    corpus = tmp_path / "corpus.txt"
-    corpus.write_text("\n".join(f"some words and number {i} in a line" for i in range(300)))
-    spm.SentencePieceTrainer.train(input=str(corpus), model_prefix=str(tmp_path / "m"), vocab_size=45, minloglevel=2)
-    model = spm.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
-    rows = spark.createDataFrame(
-        [(0, [{"role": "user", "content": "some <toy> words"}, {"role": "assistant", "content": "a line"}])],
-        T.StructType([T.StructField("id", T.LongType()), T.StructField("messages", MESSAGES)]),
-    )
-    pieces = encoding.with_pieces(rows, [TOY])
-    got = pretrained.encode_with_model(pieces, ["id"], [TOY], str(tmp_path / "m.model")).first()
-    inside = model.encode("[INST] some ") + [TOY.code] * 2 + model.encode(" words [/INST]")
-    answer = model.encode("a line") + [model.eos_id()]
-    assert got["input_ids"] == [model.bos_id()] + inside + answer
-    assert got["labels"] == [model.bos_id()] + [fv.IGNORE_INDEX] * len(inside) + answer
+def test_setup_runs_once_in_a_worker(spark, tmp_path):
+    """However many tasks and batches a worker gets."""
+    folder = str(tmp_path)
+
+    def load():
+        with open(f"{folder}/{os.getpid()}", "a") as f:
+            f.write("x")
+        return {"factor": 3.0}
+
+    def scaled(state, values):
+        return np.array([[len(v) * state["factor"]] for v in values])
+
+    def joined(state, lists):
+        return [str(state["factor"]) + "".join(v) for v in lists]
+
+    spec = ModalitySpec("loaded", "<loaded>", "toys", 1, preprocess=joined, encode=scaled, setup=load)
+    flat = spark.range(400).select(F.lit(0).alias("id"), F.col("id").alias("k"), F.lit("ab").alias("value")).repartition(40)
+    assert {tuple(r["vector"]) for r in hooks.encode_items(flat, "id", spec).collect()} == {(6.0,)}
+    lists = spark.createDataFrame([(i, ["a"]) for i in range(50)], "id long, toys array<string>").repartition(20)
+    assert {r["value"] for r in hooks.preprocess_rows(lists, "id", spec, T.StringType()).collect()} == {"3.0a"}
+    runs = [open(f"{folder}/{name}").read() for name in os.listdir(folder)]
+    assert runs and set(runs) == {"x"}
+
+
+def test_hooks_get_bounded_batches(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["x" * (5000 if i == 50 else 10) for i in range(100)])], names=["k", "v"])
+    parts = list(hooks.slices(batch, 1, 200))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or p.column(1).nbytes <= 400 for p in parts)
+    assert [p.num_rows for p in hooks.slices(batch, 1)] == [100]
+
+
+def test_a_wrong_number_of_values_is_an_error(spark, items):
+    few = ModalitySpec("few", "<few>", "toys", 1, preprocess=lambda lists: ["x"], encode=lambda values: [])
+    got = {r["id"]: (r["value"], r["error"]) for r in hooks.preprocess_rows(items.coalesce(1), "id", few, T.StringType()).collect()}
+    assert got[0] == ("x", None) and got[2] == (None, "no toys")  # one by one the number is right
+    flat = items.select("id", F.posexplode("toys").alias("k", "value"))
+    with pytest.raises(Exception, match="0 vectors for"):
+        hooks.encode_items(flat, "id", few).collect()
