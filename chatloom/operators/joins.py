@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BROADCAST_BYTES = 256 << 20
+# keys that make up more than 1 / HOT_SHARE of the rows looked up by a shuffle are dealt over SALTS places
+HOT_SHARE, SALTS = 512, 64
 
 
 def _tagged(sources: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
@@ -31,20 +33,31 @@ def _target(refs: DataFrame, dataset: str, idx: str, reference: str | None) -> t
     return reference_name(F.col(reference)), F.col(reference)["idx"]
 
 
-def resolve_refs(
-    refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx", reference: str | None = None
+def attach_refs(
+    refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx", reference: str | None = None, verdict: str = "verdict"
 ) -> DataFrame:
-    """Attach to every reference the columns of the row it names.
+    """Attach to every reference the columns of the row it names, and a ``verdict``: ``resolved``, or ``dangling`` and NULLs.
 
     A reference is a dataset name and a row number in two columns, or, with ``reference``, a struct as the builders store
     it (``dataset_args`` with path, name and split, and ``idx``). ``sources`` maps a name (``reference_name``) to a frame
     with an ``idx`` column; all have the same columns. Row numbers are unique per dataset, so only the reference side can
     be skewed (many references to one row), which adaptive execution splits; a small dataset is broadcast by its size.
-    References to a row that does not exist are dropped (see ``dangling_refs``).
+    One left join, in which both sides are read once.
     """
     name, number = _target(refs, dataset, idx, reference)
-    keyed = refs.withColumn("_dataset", name).withColumn("_idx", number)
-    return keyed.join(_tagged(sources), ["_dataset", "_idx"]).drop("_dataset", "_idx")
+    rows = _tagged(sources)
+    columns = [c for c in rows.columns if c not in ("_dataset", "_idx")]
+    found = rows.select("_dataset", "_idx", F.struct(*columns).alias("_row"))
+    met = refs.withColumn("_dataset", name).withColumn("_idx", number).join(found, ["_dataset", "_idx"], "left")
+    outcome = F.when(F.col("_row").isNull(), "dangling").otherwise("resolved")
+    return met.select(*refs.columns, *[F.col("_row")[c].alias(c) for c in columns], outcome.alias(verdict))
+
+
+def resolve_refs(
+    refs: DataFrame, sources: dict[str, DataFrame], dataset: str = "dataset", idx: str = "idx", reference: str | None = None
+) -> DataFrame:
+    """``attach_refs`` without the references to rows that do not exist (see ``dangling_refs``)."""
+    return attach_refs(refs, sources, dataset, idx, reference, "_verdict").filter(F.col("_verdict") == "resolved").drop("_verdict")
 
 
 def dangling_refs(
@@ -100,6 +113,17 @@ def _head_floor(dim: DataFrame, columns: list[str], freq: str, limit: int) -> in
     return 0
 
 
+def hot_keys(keys: DataFrame, key: str, share: int = HOT_SHARE) -> list:
+    """The keys that make up at least 1 / ``share`` of the rows, NULL aside, and maybe some that nearly do.
+
+    A sketch of frequent items is filled in the tasks and merged: one pass, a few thousand counters each. It is off by less
+    than a fraction of that share.
+    """
+    sketch = F.call_function("approx_top_k", F.col(key), F.lit(share), F.lit(16 * share))
+    row = keys.filter(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
+    return [r["item"] for r in row["top"] or [] if r["count"] * share >= row["n"]]
+
+
 def attach_by_frequency(
     facts: DataFrame, dim: DataFrame, key: str, freq: str = "freq", max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:
@@ -108,10 +132,11 @@ def attach_by_frequency(
     Words follow a steep frequency curve: a few keys make up most rows. The most frequent rows of the dimension are
     broadcast as far as they fit the limit, counted in bytes; what they don't find is looked up in the rest by a shuffle,
     in which no known key has more rows than the least frequent one broadcast. Rows whose key was found or is NULL are
-    spread over all partitions there. The facts are read once. ``freq`` must come from these facts: keys that the
-    dimension lacks have no bound, and a hot one is left to the splitting of skewed joins.
+    spread over all partitions there. Keys that turn out hot although the dimension does not tell (it lacks them, or its
+    ``freq`` comes from other data) are found by a sketch over what is to be looked up and dealt over ``SALTS`` places.
 
-    ``dim`` is read several times: pass a staged table.
+    ``dim`` is read several times: pass a staged table. The facts are read once, and once more for the sketch, of which only
+    the key is kept.
     """
     columns = [c for c in dim.columns if c not in (key, freq)]
     floor = _head_floor(dim, [key, *columns], freq, max_broadcast_bytes)
@@ -120,12 +145,13 @@ def attach_by_frequency(
     order = [*facts.columns, *columns]
     row = F.struct(*columns)
     head = dim.filter(F.col(freq) >= floor).select(key, row.alias("_head"))
-    tail = dim.filter(F.col(freq) < floor).select(F.col(key).alias("_key"), row.alias("_tail"), F.lit(0).alias("_salt"))
-    met = facts.join(F.broadcast(head), key, "left")
-    open_ = F.when(F.col("_head").isNull(), F.col(key))
-    salted = met.withColumn("_key", open_).withColumn(
-        "_salt", F.when(F.col("_key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("int")).otherwise(F.lit(0))
-    )
+    met = facts.join(F.broadcast(head), key, "left").withColumn("_key", F.when(F.col("_head").isNull(), F.col(key)))
+    hot = F.col("_key").isin(hot_keys(met.select("_key"), "_key"))
+    places = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    tail = dim.filter(F.col(freq) < floor).select(F.col(key).alias("_key"), row.alias("_tail")).withColumn("_salt", F.explode(places))
+    number = F.monotonically_increasing_id()
+    salt = F.when(F.col("_key").isNull(), F.pmod(number, F.lit(1 << 16))).when(hot, F.pmod(number, F.lit(SALTS))).otherwise(F.lit(0))
+    salted = met.withColumn("_salt", salt.cast("int"))
     found = salted.join(tail, ["_key", "_salt"], "left").withColumn("_row", F.coalesce("_head", "_tail"))
     return found.select(*facts.columns, *[F.col("_row").getField(c).alias(c) for c in columns]).select(*order)
 

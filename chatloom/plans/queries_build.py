@@ -388,18 +388,16 @@ SELECT r.event_id, r.dataset, r.idx, s.text, CASE WHEN s.idx IS NULL THEN 'dangl
 FROM r LEFT JOIN s USING (dataset, idx)""",
 )
 def resolve_refs(spark: SparkSession, sf: str) -> DataFrame:
-    refs = standins.table(spark, sf, "events").select(
-        "event_id",
-        F.when(F.col("event_id") % 4 == 0, "benchmark").otherwise("documents").alias("dataset"),
-        F.col("user_id").alias("idx"),
-    )
+    """References in the form in which builders store them, resolved and dangling ones by one join."""
+    name = F.when(F.col("event_id") % 4 == 0, "benchmark").otherwise("documents")
+    args = F.struct(name.alias("path"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("split"))
+    refs = standins.table(spark, sf, "events").select("event_id", F.struct(args.alias("dataset_args"), F.col("user_id").alias("idx")).alias("ref"))
     sources = {
         "documents": standins.table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text"),
         "benchmark": standins.speech(spark, sf),
     }
-    found = joins.resolve_refs(refs, sources).withColumn("verdict", F.lit("resolved"))
-    lost = joins.dangling_refs(refs, sources).withColumn("verdict", F.lit("dangling"))
-    return found.unionByName(lost, allowMissingColumns=True).select("event_id", "dataset", "idx", "text", "verdict")
+    found = joins.attach_refs(refs, sources, reference="ref")
+    return found.select("event_id", F.col("ref.dataset_args.path").alias("dataset"), F.col("ref.idx").alias("idx"), "text", "verdict")
 
 
 @query(

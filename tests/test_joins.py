@@ -14,6 +14,17 @@ def test_resolve_refs_with_one_hot_row(spark):
     assert found.count() + lost.count() == 3000 and lost.filter("idx < 40").count() == 0
 
 
+def test_stored_references_by_one_join(spark):
+    args = "struct<path: string, name: string, split: string>"
+    refs = spark.createDataFrame([(1, (("d", None, "train"), 0)), (2, (("d", "n", None), 5)), (3, (("x", None, None), 0)), (4, None)], f"id int, ref struct<dataset_args: {args}, idx: bigint>")
+    sources = {"d/train": spark.createDataFrame([(0, None)], "idx long, text string"), "d/n": spark.createDataFrame([(5, "t")], "idx long, text string")}
+    found = joins.attach_refs(refs, sources, reference="ref")
+    assert found.columns == ["id", "ref", "text", "verdict"]
+    assert sorted((r["id"], r["text"], r["verdict"]) for r in found.collect()) == [(1, None, "resolved"), (2, "t", "resolved"), (3, None, "dangling"), (4, None, "dangling")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert joins.resolve_refs(refs, sources, reference="ref").count() == 2 and joins.dangling_refs(refs, sources, reference="ref").count() == 2
+
+
 def test_keep_existing(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "i int, path string")
     manifest = spark.createDataFrame([("a", 1), ("a", 2)], "path string, length long")
@@ -88,3 +99,32 @@ def test_gather_rows_keeps_the_drawn_order(spark):
     data = spark.range(10).select(F.col("id").alias("idx"), F.concat(F.lit("c"), "id").alias("caption"), F.col("id").alias("n"))
     got = {r["example"]: (r["caption"], r["n"]) for r in joins.gather_rows(draws, data, "example", ["caption", "n"]).collect()}
     assert got == {"e": (["c5", "c2", "c9"], [5, 2, 9]), "f": (["c2"], [2])}
+
+
+def test_hot_keys(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', if(id % 40 = 1, 'warm', concat('k', id))) as word")
+    found = joins.hot_keys(rows.unionByName(spark.createDataFrame([(None,)] * 9000, "word string")).repartition(7), "word")
+    assert sorted(found) == ["hot", "warm"]
+    assert joins.hot_keys(rows.limit(0), "word") == []
+
+
+def test_a_third_of_the_rows_with_an_unknown_key_is_spread(spark):
+    """And one that the dimension knows, but calls rare."""
+    n = 60_000
+    facts = spark.range(n).selectExpr("id", "case when id % 3 = 0 then 'unknown' when id % 7 = 1 then 'called rare' else concat('w', id % 5000) end as word")
+    dim = spark.range(5000).selectExpr("concat('w', id) as word", "5L as freq", "id as code")
+    dim = dim.unionByName(spark.createDataFrame([("called rare", 5, -1), ("common", 900, -2)], "word string, freq bigint, code bigint"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "8", "-1")):
+            spark.conf.set(k, v)
+        met = joins.attach_by_frequency(facts, dim, "word", max_broadcast_bytes=200).withColumn("p", F.spark_partition_id())
+        sizes = sorted(r["count"] for r in met.groupBy("p").count().collect())
+        assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+        want = met.groupBy("word").agg(F.count("id").alias("n"), F.count_distinct("code").alias("codes"), F.min("code").alias("code"))
+        got = {r["word"]: (r["n"], r["codes"], r["code"]) for r in want.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got["unknown"] == (n // 3, 0, None) and got["called rare"][1:] == (1, -1) and got["w2"][1:] == (1, 2)
+    assert sum(v[0] for v in got.values()) == n
