@@ -52,11 +52,30 @@ def _is_http(text: Column) -> Column:
     return F.coalesce(text.startswith("http://") | text.startswith("https://"), F.lit(False))
 
 
-def audio_source(item: Column) -> Column:
+class VariantItem:
+    """A media item stored as VARIANT, in the form its source had: text, or an object with the fields of one kind.
+
+    ``item["path"]`` is that field, read from the stored value by ``try_variant_get``; it stands for the tagged struct in
+    the functions below, so that no row carries the fields of forms that it has not.
+    """
+
+    _KINDS = {"array": "array<double>", "sampling_rate": "bigint", "idx": "bigint"}
+    _PATHS = {"dataset": "$.dataset_args.path"}
+
+    def __init__(self, stored: Column):
+        self.stored = stored
+
+    def __getitem__(self, name: str) -> Column:
+        if name == "text":  # the value itself
+            return F.when(F.schema_of_variant(self.stored) == "STRING", F.try_variant_get(self.stored, "$", "string"))
+        return F.try_variant_get(self.stored, self._PATHS.get(name, f"$.{name}"), self._KINDS.get(name, "string"))
+
+
+def audio_source(item: Column | VariantItem) -> Column:
     """How an audio item is to be loaded.
 
-    ``item`` is the tagged struct ``ITEM_STRUCT`` of chatloom.schemas; the tests run in a fixed order, so a value
-    that carries both samples and a path is read as samples.
+    ``item`` is the tagged struct ``ITEM_STRUCT`` of chatloom.schemas, or a VARIANT in the form of its source
+    (``VariantItem``); the tests run in a fixed order, so a value that carries both samples and a path is read as samples.
     """
     return (
         F.when(item["array"].isNotNull() & item["sampling_rate"].isNotNull(), "array")
@@ -67,7 +86,7 @@ def audio_source(item: Column) -> Column:
     )
 
 
-def image_source(item: Column, path_exists: Column) -> Column:
+def image_source(item: Column | VariantItem, path_exists: Column) -> Column:
     """``http``, ``local`` (the path must exist) or ``error``; only plain text names an image."""
     return (
         F.when(_is_http(item["text"]), "http")
@@ -76,7 +95,7 @@ def image_source(item: Column, path_exists: Column) -> Column:
     )
 
 
-def video_source(item: Column) -> Column:
+def video_source(item: Column | VariantItem) -> Column:
     """A struct with any non-empty url is a hosted video; plain text is one only if it names the video host."""
     return (
         F.when(F.coalesce(item["url"], F.lit("")) != "", "hosted")

@@ -44,10 +44,9 @@ def decode_outputs(outputs: DataFrame, key: str, ids: str, prompt_length: str, v
 
     Words are joined by one blank. A sequence with nothing but special tokens gives an empty text.
     """
-    answer = F.filter(
-        F.expr(f"slice({ids}, cast({prompt_length} as int) + 1, greatest(size({ids}) - cast({prompt_length} as int), 0))"),
-        lambda i: ~i.isin(*special_ids) & (i >= 0),
-    )
+    begin = F.col(f"`{prompt_length}`").cast("int")
+    made = F.slice(F.col(f"`{ids}`"), begin + 1, F.greatest(F.size(F.col(f"`{ids}`")) - begin, F.lit(0)))
+    answer = F.filter(made, lambda i: ~i.isin(*special_ids) & (i >= 0))
     flat = outputs.select(key, F.posexplode_outer(answer).alias("pos", "token_id"))
     words = attach_by_frequency(flat, vocab, "token_id", "freq")
     packed = words.groupBy(key).agg(

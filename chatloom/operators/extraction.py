@@ -71,27 +71,27 @@ def extract_paper_qa(df: DataFrame, instruction: str, input_: str, output: str)
     )
 
 
-def _last_split(text: Column, literal: str) -> tuple[Column, Column]:
-    """What stands before and behind the last ``literal`` with something behind it; NULLs without one."""
+def _last_place(text: Column, end: Column, literal: str, floor: int) -> Column:
+    """Where the last ``literal`` before ``end`` begins that has something behind it; NULL if that is before ``floor``."""
     # the last place that leaves a character behind it is the last one in the text less its last character
-    searched = F.left(text, F.length(text) - 1)
-    after = F.when((F.length(text) > 0) & searched.contains(literal), F.substring_index(searched, literal, -1))
-    size = F.length(searched) - F.length(after) - len(literal)
-    return F.left(text, size), F.substring(text, size + len(literal) + 1, F.length(text))
+    searched = F.left(text, end - 1)
+    after = F.when((end > floor) & searched.contains(literal), F.substring_index(searched, literal, -1))
+    place = F.length(searched) - F.length(after) - len(literal)
+    return F.when(place >= floor, place)
 
 
 def _by_literals(df: DataFrame, text: Column, lead: str, literals: list[str], out: list[str]) -> DataFrame:
-    """Columns ``out``: the groups that a pattern of greedy "one or more of anything" groups between ``literals`` captures.
+    """Columns ``out``: where the literals begin between which a pattern has greedy "one or more of anything" groups.
 
     Greedy groups take the last literal from the right, then the last of the one before in what is left, and so on, as
-    long as every group keeps a character; each step is one scan, where a matcher would try all combinations.
+    long as every group keeps a character; each step is one scan, where a matcher would try all combinations. Only places
+    are kept: the text is cut once, when it is known which frame fits.
     """
-    fits = text.startswith(lead)
-    df = compute_once(df, _rest=F.when(fits, F.substring(text, len(lead) + 1, F.length(text))))
-    for literal, name in reversed(list(zip(literals, out[1:]))):
-        before, behind = _last_split(F.col("_rest"), literal)
-        df = compute_once(df, _before=before, **{name: behind}).drop("_rest").withColumnRenamed("_before", "_rest")
-    return df.withColumnRenamed("_rest", out[0])
+    end = F.when(text.startswith(lead), F.length(text))
+    for literal, name in reversed(list(zip(literals, out))):
+        df = compute_once(df, **{name: _last_place(text, end, literal, len(lead))})
+        end = F.col(name)
+    return df
 
 
 def extract_long_qa(df: DataFrame, text: str) -> DataFrame:
@@ -102,16 +102,19 @@ def extract_long_qa(df: DataFrame, text: str) -> DataFrame:
     source = F.col(text)
     cut = df
     for number, (lead, literals) in enumerate(_LONG_FRAMES):
-        names = [f"_g{number}_{g}" for g in range(1, len(literals) + 2)]
+        names = [f"_p{number}_{g}" for g in range(1, len(literals) + 1)]
         cut = _by_literals(cut, source, lead, literals, names)
-    complete = [F.length(f"_g{n}_1") > 0 for n in range(len(_LONG_FRAMES))]
+    complete = [F.col(f"_p{n}_1") > len(lead) for n, (lead, _) in enumerate(_LONG_FRAMES)]
     which = F.lit(None).cast("int")
     for number in reversed(range(len(_LONG_FRAMES))):
         which = F.when(F.coalesce(complete[number], F.lit(False)), F.lit(number)).otherwise(which)
     matched = compute_once(cut, _which=which)
 
     def group(number: int):
-        return lambda g: strip(F.col(f"_g{number}_{g}"))
+        lead, literals = _LONG_FRAMES[number]
+        begins = [F.lit(len(lead)), *[F.col(f"_p{number}_{g}") + len(x) for g, x in enumerate(literals, 1)]]
+        ends = [*[F.col(f"_p{number}_{g}") for g in range(1, len(literals) + 1)], F.length(source)]
+        return lambda g: strip(F.substring(source, begins[g - 1] + 1, ends[g - 1] - begins[g - 1]))
 
     count = range(len(_LONG_FRAMES))
     document = _by_match("_which", [group(i)(1) for i in count])

@@ -199,6 +199,23 @@ def with_offsets(turns: DataFrame, key: str, order: str, length: str = "length",
     ).drop("_block", "_base")
 
 
+def piece_offsets(encodable: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec]) -> DataFrame:
+    """``(key, piece, instruction, length, offset)``: number and first position of every piece in the encoded sequence.
+
+    Pieces and positions of earlier turns are running sums over blocks of turns; inside a turn a window counts on. A piece
+    lies in one turn.
+    """
+    sized = F.transform("pieces", lambda p: F.struct(chat.piece_length(p, specs).cast("bigint").alias("length"), p["instruction"].alias("instruction")))
+    turns = encodable.select(key, order, "length", sized.alias("_p"), F.size("pieces").cast("bigint").alias("_n"))
+    placed = with_offsets(with_offsets(turns, key, order), key, order, "_n", "_first")
+    pieces = placed.select(key, order, "start", "_first", F.posexplode("_p").alias("_i", "p"))
+    before = Window.partitionBy(key, order).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("p.length").over(before), F.lit(0))
+    return pieces.select(
+        key, (F.col("_first") + F.col("_i")).alias("piece"), "p.instruction", "p.length", (F.col("start") + inside).cast("bigint").alias("offset")
+    )
+
+
 def turn_tokens(encodable: DataFrame, key: str, order: str, specs: Sequence[ModalitySpec]) -> DataFrame:
     """``(key, order, at, token, code, trained)``: one row per position, ``at`` counted from the turn's start."""
     return encodable.select(key, order, F.posexplode(chat.piece_tokens(F.col("pieces"), specs)).alias("at", "t")).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom import fixed_values as fv
 from chatloom.functions import chat
-from chatloom.operators import chunking, collating, encoding, fallback, turns
+from chatloom.operators import chunking, collating, encoding, fallback, subwords, turns
 from chatloom.plans import standins
 from chatloom.plans.batches import requests, training_batches
 from chatloom.plans.registry import query, quote, sql_order
@@ -193,7 +193,7 @@ SELECT conv_id, piece, instruction, length::BIGINT AS length,
   coalesce(sum(length) OVER (PARTITION BY conv_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM l""",
 )
 def piece_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.piece_offsets(standins.chats(spark, sf), "conv_id", SPECS)
+    return turns.piece_offsets(encodable(spark, sf), "conv_id", "turn", SPECS)
 
 
 # ---- vocabulary and sequences --------------------------------------------------------------------------------------------
@@ -211,6 +211,17 @@ def build_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.build_vocab(turns.turn_tokens(found, "conv_id", "turn", SPECS))
 
 
+@query("subword_ids")
+def subword_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of every document by a public byte-level vocabulary."""
+    import public_tokenizers
+
+    ranks = subwords.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = standins.table(spark, sf, "documents").select("doc_id", "text")
+    found = subwords.encode_subwords(docs, "doc_id", "text", ranks)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(ids_text("ids")).alias("ids_md5"))
+
+
 @query(
     "encode_chat",
     f"""WITH {sql_ids()} SELECT conv_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels FROM encoded""",

@@ -455,9 +455,7 @@ def parse_generated(spark: SparkSession, sf: str) -> DataFrame:
 # ---- media kinds ---------------------------------------------------------------------------------------------------
 
 
-@query(
-    "classify_item",
-    """WITH i AS (SELECT page_id, page_id % 7 AS shape, url, 'media/' || page_id || '.wav' AS file,
+_CLASSIFY_SQL = """WITH i AS (SELECT page_id, page_id % 7 AS shape, url, 'media/' || page_id || '.wav' AS file,
     CASE WHEN page_id % 3 = 0 THEN 'https://www.youtube.com/watch?v=' || page_id ELSE 'clips/' || page_id || '.mp4' END AS video FROM pages)
 SELECT page_id,
   CASE shape WHEN 0 THEN 'array' WHEN 1 THEN 'dataset_ref'
@@ -470,8 +468,10 @@ SELECT page_id,
     ELSE 'error' END AS image,
   CASE shape WHEN 3 THEN 'hosted' WHEN 4 THEN CASE WHEN contains(url, 'youtube.com') THEN 'hosted' ELSE 'local' END
     WHEN 5 THEN 'local' WHEN 6 THEN CASE WHEN page_id % 3 = 0 THEN 'hosted' ELSE 'local' END ELSE 'error' END AS video
-FROM i""",
-)
+FROM i"""
+
+
+@query("classify_item", _CLASSIFY_SQL)
 def classify_item(spark: SparkSession, sf: str) -> DataFrame:
     n, url = F.col("page_id"), F.col("url")
     shape = n % 7
@@ -496,6 +496,33 @@ def classify_item(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("classify_variant", _CLASSIFY_SQL)
+def classify_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """The same items as they come in JSON, of mixed forms in one stored column."""
+    n, url = F.col("page_id"), F.col("url")
+    shape = n % 7
+    watch = F.when(n % 3 == 0, F.concat(F.lit(fv.VIDEO_URL_PREFIX), n)).otherwise(F.concat(F.lit("clips/"), n, F.lit(".mp4")))
+    plain = F.when(shape == 4, url).when(shape == 5, F.concat(F.lit("media/"), n, F.lit(".wav"))).otherwise(watch)
+    samples = F.struct(F.array(F.lit(0.0), F.lit(0.5)).alias("array"), F.lit(16000).alias("sampling_rate"), url.alias("path"))
+    reference = F.struct(F.struct(F.lit("speech").alias("path")).alias("dataset_args"), n.alias("idx"))
+    form = (
+        F.when(shape == 0, F.to_json(samples))
+        .when(shape == 1, F.to_json(reference))
+        .when(shape == 2, F.to_json(F.struct(url.alias("path"))))
+        .when(shape == 3, F.to_json(F.struct(url.alias("url"))))
+        .otherwise(F.regexp_extract(F.to_json(F.array(plain)), r"(?s)\A\[(.*)\]\z", 1))
+    )
+    stored = stage(standins.table(spark, sf, "pages").select("page_id", F.parse_json(form).alias("item")), "items")
+    known = standins.table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), F.lit(True).alias("known"))
+    item = media.VariantItem(F.col("item"))
+    return stored.join(known, "page_id", "left").select(
+        "page_id",
+        media.audio_source(item).alias("audio"),
+        media.image_source(item, F.col("known")).alias("image"),
+        media.video_source(item).alias("video"),
+    )
+
+
 _SUFFIXES = ["", ".wav", ".jpg", ".JPG", ".jpeg", "/.wav", ".png?size=1"]
 
 

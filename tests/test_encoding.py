@@ -233,20 +233,24 @@ def test_rare_words_are_unknown(spark):
 
 def test_offsets_match_positions(spark):
     good = rows(spark, TRICKY)
-    offsets = encoding.piece_offsets(good, "id", SPECS).collect()
+    encodable = turns.encodable_turns(turn_rows(spark, TRICKY), "id", "turn", "role", "content", SPECS)
+    offsets = turns.piece_offsets(encodable, "id", "turn", SPECS).collect()
     sizes = encoding.token_rows(encoding.with_pieces(good, SPECS), "id", SPECS).groupBy("id").count()
     total = {r["id"]: r["count"] for r in sizes.collect()}
-    for i in total:
-        mine = sorted((r["offset"], r["length"]) for r in offsets if r["id"] == i)
+    assert {r["id"] for r in offsets} == {i for i in total if TRICKY[i]}  # a chat without turns has no rows
+    for i in {r["id"] for r in offsets}:
+        ordered = sorted((r for r in offsets if r["id"] == i), key=lambda r: r["piece"])
+        assert [r["piece"] for r in ordered] == list(range(len(ordered)))
+        mine = [(r["offset"], r["length"]) for r in ordered]
         assert mine[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:]))
         assert sum(mine[-1]) == total[i]
 
 
 def test_validate_items(spark):
-    df = rows(spark, [[("user", "<image><image>")], [("user", "x")], [("user", "<document>")]])
+    df = turn_rows(spark, [[("user", "<image><image>")], [("user", "x")], [("user", "<document>")]])
     items = {0: (["a"], None), 1: (["a"], []), 2: (None, ["d"])}
     extra = spark.createDataFrame([(i, *v) for i, v in items.items()], "id long, images array<string>, documents array<string>")
-    got = {(r["id"], r["name"]): r["verdict"] for r in encoding.validate_items(df.join(extra, "id"), "id", SPECS).collect()}
+    got = {(r["id"], r["name"]): r["verdict"] for r in turns.validate_items(df, extra, "id", "content", SPECS).collect()}
     assert got[(0, "image")] == "too few items" and got[(1, "image")] == "surplus items"
     assert got[(2, "document")] == "ok" and got[(2, "image")] == "ok"
 
