@@ -86,19 +86,20 @@ def draw_with_retry(
     quota: int,
     salt: str = "draw",
     max_factor: int = 64,
+    start: int = 1,
 ) -> DataFrame:
     """Every shard draws row numbers with replacement until ``quota`` draws were accepted.
 
     ``build`` receives ``(shard, attempt, idx)`` and returns the accepted attempts with their payload. It is given every
     attempt once: a round asks for the next attempts of the shards that are still open, as many as their own acceptance so
-    far makes likely to fill them. The result, the first ``quota`` accepted attempts of each shard, does not depend on how
-    rounds were cut. A source that rejects nearly everything raises an error after ``quota * max_factor`` attempts instead
-    of looping for ever. Keep the quota of a shard moderate (some 10**5) and scale the number of shards.
+    far makes likely to fill them; the first asks for ``start`` times the quota, more than once where asking costs nothing.
+    The result, the first ``quota`` accepted attempts of each shard, does not depend on how rounds were cut. A source that
+    rejects nearly everything raises an error after ``quota * max_factor`` attempts instead of looping for ever. Keep the quota of a shard moderate (some 10**5) and scale the number of shards.
     """
     if rows < 1:
         raise ValueError("nothing to draw from")
     most = quota * max_factor
-    state = spark.range(shards).select(F.col("id").alias("shard"), _long(0).alias("first"), _long(quota).alias("last"))
+    state = spark.range(shards).select(F.col("id").alias("shard"), _long(0).alias("first"), _long(quota * start).alias("last"))
     accepted = None
     while True:
         found = stage(build(next_attempts(state, rows, salt)), "draws")

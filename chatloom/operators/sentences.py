@@ -30,7 +30,7 @@ ALWAYS = 0.99  # how often an abbreviation has its period
 
 MOST_ENTRIES = 200_000  # of a model in all: it is part of the plan
 ENDS = r"(?<=[.!?])\s+"
-OPENING, CLOSING = r"\A[\"'(\[{«„“‘]+", r"[\"')\]}»”’,;:]+\z"
+OPENING, CLOSING, MARKS = "\"'([{«„“‘", "\"')]}»”’,;:", ".!?"
 LETTER = r"\p{L}"
 
 
@@ -43,26 +43,27 @@ class SentenceModel:
 
 def bare(token: Column) -> Column:
     """A token without quotes and brackets around it."""
-    return F.regexp_replace(F.regexp_replace(token, OPENING, ""), CLOSING, "")
+    return F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING))
 
 
-def word_type(token: Column) -> Column:
-    """The lower-cased word of a bare token, without a final period."""
-    return F.lower(F.regexp_replace(token, r"[.!?]+\z", ""))
+def lowered(token: Column) -> Column:
+    """A bare token in lower case, without the marks at its end."""
+    return F.lower(F.rtrim(token, F.lit(MARKS)))
+
+
+def named(word: Column) -> Column:
+    """``#`` for what has no letter."""
+    return F.when(word.rlike(LETTER), word).otherwise("#")
 
 
 def _tokens(docs: DataFrame, text: str) -> DataFrame:
     """``word``, ``dot``, ``mark`` (ends in ! or ?) of every token and, at a candidate for an end, the ``next`` word.
 
-    Tokens without a letter count as ``#``.
+    Tokens without a letter count as ``#``. Every step is an array of its own, so that nothing is worked out twice.
     """
     bares = F.transform(F.filter(F.split(F.col(text), r"\s+", -1), lambda t: t != ""), bare)
-    kinds = F.transform(
-        bares,
-        lambda t: F.struct(
-            F.when(word_type(t).rlike(LETTER), word_type(t)).otherwise("#").alias("word"), t.endswith(".").alias("dot"), t.rlike(r"[!?]\z").alias("mark")
-        ),
-    )
+    forms = F.transform(bares, lambda t: F.struct(lowered(t).alias("word"), t.endswith(".").alias("dot"), (t.endswith("!") | t.endswith("?")).alias("mark")))
+    kinds = F.transform(forms, lambda f: F.struct(named(f["word"]).alias("word"), f["dot"].alias("dot"), f["mark"].alias("mark")))
     listed = docs.filter(F.col(text).isNotNull()).select(kinds.alias("_k")).select(F.inline(F.array(F.struct("_k"))))
     after = lambda k, i: F.when(k["dot"] | k["mark"], F.get(F.col("_k"), i + 1)["word"])
     pairs = F.transform("_k", lambda k, i: F.struct(k.alias("own"), after(k, i).alias("next")))
@@ -174,25 +175,41 @@ def sentence_splitter(model: SentenceModel) -> Callable[[Column], Column]:
     """
     joined = frozenset(f"{a} {b}" for a, b in model.collocations)
 
-    def is_end(before: Column, after: Column) -> Column:
-        token, follows = bare(F.regexp_extract(before, r"(\S+)\z", 1)), bare(F.regexp_extract(after, r"\A(\S+)", 1))
-        word = F.when(word_type(token).rlike(LETTER), word_type(token)).otherwise("#")
-        next_word = F.when(word_type(follows).rlike(LETTER), word_type(follows)).otherwise("#")
-        capital = follows.rlike(r"\A\p{Lu}")
-        begins = capital & _among(next_word, model.starters)
-        held = _among(F.concat_ws(" ", word, next_word), joined) | (_among(word, model.abbreviations) & ~begins)
-        return ~(token.endswith(".") & held)
+    def ends(w: Column) -> Column:
+        begins = w["capital"] & _among(w["next"], model.starters)
+        held = _among(F.concat_ws(" ", w["word"], w["next"]), joined) | (_among(w["word"], model.abbreviations) & ~begins)
+        return ~(w["dot"] & held)
+
+    def last_token(sentence: Column) -> Column:
+        return F.reverse(F.regexp_extract(F.reverse(sentence), r"\A(\S+)", 1))
+
+    def cut(p: Column) -> Column:
+        n = F.size(p)
+        joints = F.transform(
+            F.slice(p, F.lit(2), n),
+            lambda s, i: F.struct(bare(last_token(F.get(p, i))).alias("own"), bare(F.regexp_extract(s, r"\A(\S+)", 1)).alias("follows")),
+        )
+        forms = F.transform(
+            joints,
+            lambda j: F.struct(
+                lowered(j["own"]).alias("word"), lowered(j["follows"]).alias("next"), j["own"].endswith(".").alias("dot"), j["follows"].rlike(r"\A\p{Lu}").alias("capital")
+            ),
+        )
+        words = F.transform(
+            forms, lambda f: F.struct(named(f["word"]).alias("word"), named(f["next"]).alias("next"), f["dot"].alias("dot"), f["capital"].alias("capital"))
+        )
+        inner = F.filter(F.transform(words, lambda w, i: F.when(ends(w), i + 1)), lambda i: i.isNotNull())
+        starts, stops = F.concat(F.array(F.lit(0)), inner), F.concat(inner, F.array(n))
+        # a list of one, so that the ends are found once
+        return F.flatten(
+            F.transform(
+                F.array(F.arrays_zip(starts.alias("a"), stops.alias("z"))),
+                lambda spans: F.transform(spans, lambda s: F.array_join(F.slice(p, s["a"] + 1, s["z"] - s["a"]), " ")),
+            )
+        )
 
     def split(text: Column) -> Column:
         pieces = F.filter(F.split(strip(text), ENDS, -1), lambda s: s != "")
-
-        def cut(p: Column) -> Column:
-            n = F.size(p)
-            starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | is_end(F.get(p, i - 1), F.get(p, i)))
-            ends = F.concat(F.slice(starts, F.lit(2), n), F.array(n))
-            return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("z")), lambda s: F.array_join(F.slice(p, s["a"] + 1, s["z"] - s["a"]), " "))
-
-        # lists of one, so that the text is cut once
         return F.flatten(F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 0, p).otherwise(cut(p))))
 
     return split

@@ -191,7 +191,7 @@ def _draw_answers(
         given = ask_once(attempts, lambda todo: responses(ask(todo)), log, salt, sampling.drawn_row(salt, rows))
         return parsed_answers(given, "question", "answer")
 
-    return sampling.draw_with_retry(spark, rows, build, shards, quota, salt)
+    return sampling.draw_with_retry(spark, rows, build, shards, quota, salt, start=1 if callable(responses) else 2)
 
 
 def _rows(source: DataFrame) -> int:

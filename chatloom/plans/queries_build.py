@@ -302,7 +302,7 @@ def draw_with_retry(spark: SparkSession, sf: str) -> DataFrame:
     def build(attempts: DataFrame) -> DataFrame:
         return builders.generated_answers(attempts, responses, ["shard", "attempt"], "answer").select("shard", "attempt", "idx")
 
-    return sampling.draw_with_retry(spark, rows, build, shards, quota).select("shard", "slot", "attempt", "idx")
+    return sampling.draw_with_retry(spark, rows, build, shards, quota, start=2).select("shard", "slot", "attempt", "idx")
 
 
 @query(

@@ -596,7 +596,7 @@ def _sql_association(a: str, b: str, both: str, n: str) -> str:
 
 
 def _sql_bare(token: str) -> str:
-    return f"regexp_replace(regexp_replace({token}, {quote(sentences.OPENING)}, ''), {quote(sentences.CLOSING)}, '')"
+    return f"rtrim(ltrim({token}, {quote(sentences.OPENING)}), {quote(sentences.CLOSING)})"
 
 
 def _sql_word(bare: str) -> str:

@@ -17,8 +17,12 @@ def con():
     return connect(SF)
 
 
+#: SQL can't express them; test_subwords holds the query against the tokenizers library.
+BY_LIBRARY = {"subword_ids"}
+
+
 def test_every_query_has_sql():
-    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) - BY_LIBRARY == set(all_oracles())
 
 
 @pytest.mark.parametrize("name", sorted(all_queries()))
