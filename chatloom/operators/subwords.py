@@ -1,26 +1,31 @@
 """Texts to ids of a given byte-level vocabulary.
 
 A vocabulary is a table of byte strings in the order in which a training run, somewhere else, merged them; nothing is
-trained here. A text is cut into words by a pattern in the JVM. The distinct words are few, so each is split into the
-vocabulary's parts once, in tasks, and looked up for all its occurrences by a join that knows how frequent it is.
+trained here. A text is cut into words by a pattern in the JVM and stays where it is: nothing is exchanged or staged. A task
+splits the distinct words of a batch into the vocabulary's parts, remembers them, and sets them in for all occurrences.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chatloom.operators.joins import MAX_BROADCAST_BYTES, attach_by_frequency
-from chatloom.session import stage
+from chatloom.operators.hooks import slices
 
 # fixed value: how byte-level vocabularies cut texts into words
 PATTERN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_ENTRIES = 1 << 21  # a vocabulary is sent to every executor
+MOST_KNOWN_BYTES = 64 << 20  # of words that a task remembers
+ENTRY_BYTES = 200  # about what a remembered word takes beside its characters and ids
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -64,30 +69,52 @@ def split_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def word_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Add ``ids`` to ``words`` (word, freq), which are distinct."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)
+class KnownWords:
+    """``split_word`` by one vocabulary, remembering words as far as ``most`` bytes reach; then it begins anew."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [split_word(w.encode(), shared.value) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "freq", "ids"])
+    def __init__(self, ranks: dict[bytes, int], most: int) -> None:
+        self.ranks, self.most, self.used, self.known = ranks, most, 0, {}
+
+    def ids(self, word: str) -> bytes:
+        """The ids as 32-bit integers."""
+        found = self.known.get(word)
+        if found is None:
+            found = array("i", split_word(word.encode(), self.ranks)).tobytes()
+            size = ENTRY_BYTES + 4 * len(word) + len(found)
+            if self.used + size > self.most:
+                self.known, self.used = {}, 0
+            if size <= self.most:
+                self.known[word] = found
+                self.used += size
+        return found
 
-    return words.select("word", "freq").mapInArrow(run, "word string, freq bigint, ids array<int>")
+
+def _ids_of(words: pa.ListArray, known: KnownWords) -> pa.ListArray:
+    """The ids of each row's words, one list a row. Every distinct word is looked at once."""
+    coded = words.flatten().dictionary_encode()
+    met = pa.array([known.ids(w) for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(met).to_numpy(zero_copy_only=False) // 4)])
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, met.buffers()[2] or pa.py_buffer(b"")])
+    rows = words.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(ends[rows - rows[0]], pa.int32()), values)
 
 
 def encode_subwords(
-    docs: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str = PATTERN, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+    docs: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str = PATTERN, max_broadcast_bytes: int = MOST_KNOWN_BYTES
 ) -> DataFrame:
-    """``(key, ids)``: the ids of every text in order; ``key`` is unique. A NULL or empty text has none."""
+    """``(key, ids)``: the ids of every text in order, one row a row. A NULL or empty text has none.
+
+    One pass over the texts, by which only the vocabulary is broadcast. ``max_broadcast_bytes`` is what a task keeps beside
+    it: the ids of words it has met. Fewer cost time, not memory or results.
+    """
     cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))
-    rows = stage(docs.select(key, cut.alias("words")), "words")
-    found = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    vocabulary = stage(word_ids(found, ranks), "word_ids")
-    places = rows.select(key, F.posexplode("words").alias("at", "word"))
-    met = attach_by_frequency(places, vocabulary, "word", "freq", max_broadcast_bytes)
-    packed = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_s"))
-    packed = packed.select(F.col(key).alias("_key"), F.flatten(F.transform("_s", lambda s: s["ids"])).alias("ids"))
-    none = F.array().cast("array<int>")
-    every = rows.select(key).join(packed, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return every.select(key, F.coalesce("ids", none).alias("ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownWords(shared.value, max_broadcast_bytes)
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), _ids_of(part.column(1), known)], names=[key, "ids"])
+
+    schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(key, cut.alias("words")).mapInArrow(run, schema)

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.operators.subwords import encode_subwords, load_ranks, split_word
+from chatloom.operators.subwords import KnownWords, _ids_of, encode_subwords, load_ranks, split_word
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -61,6 +62,25 @@ def test_empty_table_and_missing_bytes(spark, ranks, tmp_path):
         load_ranks(str(tmp_path / "v"))
 
 
+def test_nothing_is_exchanged_for_occurrences(spark, ranks, library):
+    """Every occurrence of a word once went through two exchanges, and rows of one key were put into one list."""
+    rows = [(1, "to be or not to be"), (1, "be"), (2, None), (None, " to")]
+    found = encode_subwords(spark.createDataFrame(rows, "k long, t string"), "k", "t", ranks)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r["k"]), r["ids"]) for r in found.collect()) == sorted((str(k), library(t or "")) for k, t in rows)
+
+
+def test_rows_of_a_batch_and_words_that_are_forgotten(ranks, library):
+    """A slice of a batch whose lists do not begin at zero, an empty one, and no room to remember."""
+    texts = [["a", " few"], [], [" words", " words", " undivided"], [""], [" few", "x" * 5000]]
+    for most in (0, 600, 1 << 20):
+        known = KnownWords(ranks, most)
+        for at, n in ((0, 5), (2, 3), (1, 1), (0, 0)):
+            got = _ids_of(pa.array(texts, pa.list_(pa.string())).slice(at, n), known)
+            assert got.to_pylist() == [[i for w in words for i in split_word(w.encode(), ranks)] for words in texts[at : at + n]]
+            assert known.used <= most
+
+
 def test_query_is_the_operator_over_all_documents(spark, library):
     from chatloom.plans import all_queries
 
