@@ -30,6 +30,7 @@ ALWAYS = 0.99  # how often an abbreviation has its period
 
 MOST_ENTRIES = 200_000  # of a model in all: it is part of the plan
 ENDS = r"(?<=[.!?])\s+"
+BLANKS = " \n\t\r\f\v"  # what \s is
 OPENING, CLOSING, MARKS = "\"'([{«„“‘", "\"')]}»”’,;:", ".!?"
 LETTER = r"\p{L}"
 
@@ -168,48 +169,52 @@ def _among(value: Column, values: frozenset[str]) -> Column:
     return value.isin(sorted(values)) if values else F.lit(False)
 
 
+def _last_token(sentence: Column) -> Column:
+    """Of a sentence that ends in no blank: searched from its end by bytes, whatever its length."""
+    for blank in BLANKS:
+        sentence = F.substring_index(sentence, blank, -1)
+    return sentence
+
+
 def sentence_splitter(model: SentenceModel) -> Callable[[Column], Column]:
     """A function that cuts a text column into its sentences.
 
-    Blanks where a candidate for an end turned out to be none become one blank; the rest of a sentence is as written.
+    Blanks where a candidate for an end turned out to be none become one blank; the rest of a sentence is as written. What
+    follows a candidate is looked at only if the model knows the word before. Every step is an array of its own, so that
+    nothing is worked out twice.
     """
     joined = frozenset(f"{a} {b}" for a, b in model.collocations)
+    suspects = model.abbreviations | {a for a, _ in model.collocations}
+
+    def held(j: Column) -> Column:
+        begins = j["capital"] & _among(j["next"], model.starters)
+        return _among(F.concat_ws(" ", j["word"], j["next"]), joined) | (_among(j["word"], model.abbreviations) & ~begins)
+
+    def inner_ends(p: Column) -> Column:
+        """How many pieces there are up to each end but the last. A piece ends in a mark, so nothing closes it."""
+        own = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda s: F.when(s.endswith("."), lowered(F.ltrim(_last_token(s), F.lit(OPENING)))))
+        words = F.transform(own, lambda w: F.when(w.isNotNull(), named(w)))
+        first = lambda s: bare(F.regexp_extract(s, r"\A(\S+)", 1))
+        known = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.when(_among(w, suspects), first(F.get(p, i + 1))).alias("follows")))
+        low = F.transform(
+            known, lambda k: F.when(k["follows"].isNotNull(), F.struct(k["word"], lowered(k["follows"]).alias("next"), k["follows"].rlike(r"\A\p{Lu}").alias("capital")))
+        )
+        joints = F.transform(low, lambda j: F.when(j.isNotNull(), F.struct(j["word"], named(j["next"]).alias("next"), j["capital"])))
+        return F.filter(F.transform(joints, lambda j, i: F.when(j.isNull() | ~held(j), i + 1)), lambda i: i.isNotNull())
 
-    def ends(w: Column) -> Column:
-        begins = w["capital"] & _among(w["next"], model.starters)
-        held = _among(F.concat_ws(" ", w["word"], w["next"]), joined) | (_among(w["word"], model.abbreviations) & ~begins)
-        return ~(w["dot"] & held)
+    def cut(p: Column) -> Column:
+        def between(ends: Column) -> Column:
+            def sentence(a: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(ends, k), F.size(p)) - a
+                return F.when(n == 1, F.get(p, a)).otherwise(F.array_join(F.slice(p, a + 1, n), " "))
 
-    def last_token(sentence: Column) -> Column:
-        return F.reverse(F.regexp_extract(F.reverse(sentence), r"\A(\S+)", 1))
+            return F.transform(F.concat(F.array(F.lit(0)), ends), sentence)
 
-    def cut(p: Column) -> Column:
-        n = F.size(p)
-        joints = F.transform(
-            F.slice(p, F.lit(2), n),
-            lambda s, i: F.struct(bare(last_token(F.get(p, i))).alias("own"), bare(F.regexp_extract(s, r"\A(\S+)", 1)).alias("follows")),
-        )
-        forms = F.transform(
-            joints,
-            lambda j: F.struct(
-                lowered(j["own"]).alias("word"), lowered(j["follows"]).alias("next"), j["own"].endswith(".").alias("dot"), j["follows"].rlike(r"\A\p{Lu}").alias("capital")
-            ),
-        )
-        words = F.transform(
-            forms, lambda f: F.struct(named(f["word"]).alias("word"), named(f["next"]).alias("next"), f["dot"].alias("dot"), f["capital"].alias("capital"))
-        )
-        inner = F.filter(F.transform(words, lambda w, i: F.when(ends(w), i + 1)), lambda i: i.isNotNull())
-        starts, stops = F.concat(F.array(F.lit(0)), inner), F.concat(inner, F.array(n))
         # a list of one, so that the ends are found once
-        return F.flatten(
-            F.transform(
-                F.array(F.arrays_zip(starts.alias("a"), stops.alias("z"))),
-                lambda spans: F.transform(spans, lambda s: F.array_join(F.slice(p, s["a"] + 1, s["z"] - s["a"]), " ")),
-            )
-        )
+        return F.flatten(F.transform(F.array(inner_ends(p)), between))
 
     def split(text: Column) -> Column:
         pieces = F.filter(F.split(strip(text), ENDS, -1), lambda s: s != "")
-        return F.flatten(F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 0, p).otherwise(cut(p))))
+        return F.flatten(F.transform(F.array(pieces), lambda p: F.when(F.size(p) < 2, p).otherwise(cut(p))))
 
     return split

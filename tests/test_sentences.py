@@ -118,6 +118,32 @@ def test_abbreviations_are_not_cut(spark):
     assert [r["s"] for r in got] == [w for _, w in cases]
 
 
+def cut_plainly(text, model):
+    pieces = [p for p in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", text.strip()) if p]
+    out = pieces[:1]
+    for left, right in zip(pieces, pieces[1:]):
+        own, follows = (bare(re.split(r"[ \t\n\x0b\f\r]", t)[i]) for t, i in ((left, -1), (right, 0)))
+        pair = (word(own), word(follows))
+        begins = follows[:1].isupper() and pair[1] in model.starters
+        if own.endswith(".") and (pair in model.collocations or (pair[0] in model.abbreviations and not begins)):
+            out[-1] += " " + right
+        else:
+            out.append(right)
+    return out
+
+
+def test_cuts_are_those_of_a_plain_program(spark):
+    """All kinds of blanks, quotes and words that only a collocation knows; the ends are worked out once in the expression."""
+    model = SentenceModel(frozenset({"dr", "e.g"}), frozenset({"the", "él"}), frozenset({("#", "mai"), ("no", "the"), ("no", "#")}))
+    split, rng = sentence_splitter(model), random.Random(9)
+    parts = ["Dr.", "dr.", '"(e.g.', "e.g.\u00a0", "No.", "5.", "mai", "The", "the", "\"The", "Él", "x!", "y?", "z.)", "...", ".", "(.", "w", "\u00a0Dr.", "日本."]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "\n", "\t", "\x0b", "\f", "\r\n", "  "]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", split(F.col("t")).alias("s"))
+    for r in rows.collect():
+        assert r["s"] == cut_plainly(texts[r["i"]], model)
+    assert rows._jdf.queryExecution().analyzed().toString().count(r"\p{Lu}") == 1
+
+
 def test_without_a_model_every_period_ends(spark):
     df = spark.createDataFrame([("A dr. b! C",)], "t string")
     assert df.select(sentence_splitter(SentenceModel())(F.col("t")).alias("s")).first()["s"] == ["A dr.", "b!", "C"]
