@@ -58,17 +58,24 @@ def named(word: Column) -> Column:
 
 
 def _tokens(docs: DataFrame, text: str) -> DataFrame:
-    """``word``, ``dot``, ``mark`` (ends in ! or ?) of every token and, at a candidate for an end, the ``next`` word.
+    """``word``, ``dot``, ``mark`` (ends in ! or ?) of tokens, at a candidate for an end the ``next`` word, and their number ``n``.
 
-    Tokens without a letter count as ``#``. Every step is an array of its own, so that nothing is worked out twice.
+    Tokens without a letter count as ``#``. Tokens are counted as they are written, which combines in the tasks; what they
+    stand for is worked out once for each way of writing, so rows may be equal but for ``n``.
     """
-    bares = F.transform(F.filter(F.split(F.col(text), r"\s+", -1), lambda t: t != ""), bare)
-    forms = F.transform(bares, lambda t: F.struct(lowered(t).alias("word"), t.endswith(".").alias("dot"), (t.endswith("!") | t.endswith("?")).alias("mark")))
-    kinds = F.transform(forms, lambda f: F.struct(named(f["word"]).alias("word"), f["dot"].alias("dot"), f["mark"].alias("mark")))
-    listed = docs.filter(F.col(text).isNotNull()).select(kinds.alias("_k")).select(F.inline(F.array(F.struct("_k"))))
-    after = lambda k, i: F.when(k["dot"] | k["mark"], F.get(F.col("_k"), i + 1)["word"])
-    pairs = F.transform("_k", lambda k, i: F.struct(k.alias("own"), after(k, i).alias("next")))
-    return listed.select(F.explode(pairs).alias("p")).select("p.own.*", "p.next")
+    listed = docs.filter(F.col(text).isNotNull()).select(F.split(F.col(text), r"\s+", -1).alias("own"))
+    zipped = F.arrays_zip("own", F.slice("own", F.lit(2), F.size("own")).alias("follows"))
+    own = F.col("own")
+    marked = own.contains(".") | own.contains("!") | own.contains("?")
+    pairs = listed.select(F.explode(zipped).alias("p")).select("p.*").filter(own != "").select("own", F.when(marked, F.col("follows")).alias("follows"))
+    written = pairs.groupBy("own", "follows").agg(F.count(F.lit(1)).alias("n"))
+    after = F.when(F.col("follows") != "", bare(F.col("follows")))  # the text's end may leave an empty one
+    forms = written.select(bare(own).alias("own"), after.alias("follows"), "n")
+    kinds = forms.select(
+        lowered(own).alias("word"), own.endswith(".").alias("dot"), (own.endswith("!") | own.endswith("?")).alias("mark"), lowered(F.col("follows")).alias("next"), "n"
+    )
+    following = F.when((F.col("dot") | F.col("mark")) & F.col("next").isNotNull(), named(F.col("next")))
+    return kinds.select(named(F.col("word")).alias("word"), "dot", "mark", following.alias("next"), "n")
 
 
 def _times_log(n: Column, p: Column) -> Column:
@@ -107,9 +114,9 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(``word, dotted, plain`` of each word; ``word, dot, mark, next, n`` of words with what follows an end), both staged.
 
-    The second combines in the tasks, and the first are sums over it, so the texts are cut into tokens once.
+    The texts are cut into tokens once: the first are sums over the second, of which several rows may count the same.
     """
-    pairs = stage(_tokens(docs, text).groupBy("word", "dot", "mark", "next").agg(F.count(F.lit(1)).alias("n")), "neighbours")
+    pairs = stage(_tokens(docs, text), "neighbours")
     sums = pairs.groupBy("word").agg(
         F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("dotted"), F.sum(F.when(~F.col("dot"), F.col("n")).otherwise(0)).alias("plain")
     )

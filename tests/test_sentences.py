@@ -11,6 +11,7 @@ from chatloom.operators.sentences import (
     COLLOCATION,
     STARTER,
     SentenceModel,
+    _tokens,
     learn_sentences,
     sentence_splitter,
 )
@@ -103,6 +104,18 @@ def test_model_is_that_of_a_plain_program(spark):
     assert {"dr", "e.g", "no"} <= model.abbreviations and {"the", "then", "it"} <= model.starters and ("#", "mai") in model.collocations
 
 
+def test_forms_of_tokens_are_worked_out_once_for_each_way_of_writing(spark):
+    """Every occurrence once went through all steps; now copies of a text only add to the counts."""
+    text = '  He said "No." Then (e.g. it) left,\tat 3.14 \n pm! \n '
+    once = _tokens(spark.createDataFrame([(text,), (None,)], "t string"), "t")
+    often = _tokens(spark.createDataFrame([(text,)] * 50 + [(None,), ("",), (" \n",)], "t string").repartition(4), "t")
+    rows = lambda df, n: sorted((r["word"], r["dot"], r["mark"], r["next"] or "", r["n"] // n) for r in df.collect())
+    assert rows(often, 50) == rows(once, 1) == sorted(
+        [(w, False, False, "", 1) for w in ("he", "said", "then", "it", "left", "at")]
+        + [("#", False, False, "", 1), ("no", True, False, "then", 1), ("e.g", True, False, "it", 1), ("pm", False, True, "", 1)]
+    )
+
+
 def test_abbreviations_are_not_cut(spark):
     df = spark.createDataFrame([(t,) for t in corpus()], "t string")
     split = sentence_splitter(learn_sentences(df, "t"))
