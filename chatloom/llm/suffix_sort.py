@@ -41,10 +41,18 @@ class PrefixHashes:
     def every(self, length: int) -> np.ndarray:
         """Hashes of all parts of one length, mixed so that their order is as good as random."""
         n = max(0, len(self.sums) - length)
-        h = (self.sums[length:] - self.sums[:n]) * self._down[:n]
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        return h ^ (h >> np.uint64(33))
+        return _mixed((self.sums[length:] - self.sums[:n]) * self._down[:n])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
+def hashes_of(parts: np.ndarray) -> np.ndarray:
+    """Hash of each row of bytes, as ``PrefixHashes.every`` has it for such a part."""
+    return _mixed((parts.astype(np.uint64) + np.uint64(1)) @ _powers(BASE, parts.shape[1]))
 
 
 def common(hashes: PrefixHashes, a: np.ndarray, b: np.ndarray, horizon: int) -> np.ndarray:

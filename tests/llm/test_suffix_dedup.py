@@ -1,7 +1,10 @@
 import hashlib
 import random
+import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from fixtures import edge_docs, edge_rows, no_docs
 
@@ -146,3 +149,94 @@ def test_distinct_records(monkeypatch, lying):
     keys = module._keys(found)
     assert (keys[1:] >= keys[:-1]).all()
     assert len(module.distinct_records(matrix[:0])[0]) == 0
+
+
+def test_texts_are_exchanged_once(spark, monkeypatch, tmp_path):
+    dealer = module._dealer
+
+    def noted(groups):
+        run = dealer(groups)
+
+        def note(batches):
+            (tmp_path / uuid.uuid4().hex).touch()
+            return run(batches)
+
+        return note
+
+    monkeypatch.setattr(module, "_dealer", noted)
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert result(remove_repeats(docs)) == brute(rows)
+    assert len(list(tmp_path.iterdir())) == 5
+
+
+def test_messages_grow_with_the_text():
+    def messages(total):
+        groups = 1 + total // module._group_bytes(total)
+        return groups << min(module.MOST_OWNER_BITS, (groups - 1).bit_length())
+
+    for total in (10**9, 6 * 10**9, 10**10, 5 * 10**10):
+        assert total // messages(total) > 7000
+    assert module._group_bytes(10**15) == module.GROUP_BYTES * module.MOST_GROUP and module._group_bytes(0) == module.GROUP_BYTES
+
+
+def test_owners_have_even_shares():
+    rng = np.random.default_rng(8)
+    texts = [(i.to_bytes(32, "big"), i, rng.integers(97, 123, 20_000).astype(np.uint8).tobytes()) for i in range(20)]
+    table = pa.table({"g": pa.array([0], pa.int64()), "blob": pa.array([module._dump(texts)], pa.binary())})
+    keys = np.concatenate([h for _, _, h, _ in module._Texts(table).runs()])
+    assert len(np.unique(keys)) > 20_000
+    assert np.bincount((keys >> np.uint64(60)).astype(int), minlength=16).max() < 1.2 * len(keys) / 16
+
+
+def by_steps(rows, groups, hot_contexts):
+    """The spans of each text by key, from the steps' functions alone."""
+    bits, width = (groups - 1).bit_length(), 24
+
+    def split(tables, column):
+        tables = [t for t in tables if t.num_rows]
+        every = pa.concat_tables(tables) if tables else module._rows([])
+        return {v: every.filter(pc.equal(every[column], v)) for v in every[column].unique().to_pylist()}
+
+    texts = [(hashlib.sha256(t.encode()).digest(), k, t.encode()) for k, t in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts)], names=["sha", "key", "text"])
+    dealt = split([pa.Table.from_batches([b]) for b in module._dealer(groups)(iter([batch]))], "g")
+    shared = split([t for x in split(map(module._anchor_sender(bits, width, hot_contexts), dealt.values()), "owner").values() for t in [module._anchor_owner(bits, width)(x)]], "g")
+    sent = split([module._context_sender(bits, width)(t, shared.get(g, module._rows([]))) for g, t in dealt.items()], "owner")
+    told = split(map(module._context_owner, sent.values()), "g")
+    out = [module._remover(t, told.get(g, module._rows([]))).to_pylist() for g, t in dealt.items()]
+    return {r["first_key"]: [(s["start"], s["end"]) for s in r["spans"]] for x in out for r in x}
+
+
+@pytest.mark.parametrize("records", [1 << 16, 7])
+@pytest.mark.parametrize("groups, hot", [(1, 64), (9, 64), (9, 2), (9, 0)])
+def test_steps_as_by_brute_force(monkeypatch, records, groups, hot):
+    monkeypatch.setattr(module, "RECORDS", records)
+    rows = list({t: (k, t) for k, t in planted() if k is not None and t}.values())
+    rows = [(10 * i + (k or 0) % 10, t) for i, (k, t) in enumerate(random.Random(5).sample(rows, len(rows)))]
+    rows += [(10**6, "ab" * 300), (10**6 + 1, "ab" * 200 + "c"), (10**6 + 2, "x" * 90)]
+    want = {k: eval(r)[2] for r in brute(rows) for k in [eval(r)[0]]}  # noqa: S307 - made here
+    found = by_steps(rows, groups, hot)
+    assert found == want and any(want.values())
+
+
+def test_contexts_come_as_sent():
+    rng = np.random.default_rng(9)
+    n = 500
+    size = rng.integers(module.LENGTH, module.WIDEST + 1, n)
+    place = np.minimum(rng.integers(0, module.SPREAD, n), size - module.ANCHOR)
+    alone = rng.random(n) < 0.3
+    size[alone], place[alone] = module.LENGTH, module.ALONE
+    matrix = np.zeros((n, 10 + module.WIDEST), np.uint8)
+    matrix[:, 8], matrix[:, 9], matrix[:, 10:] = size, place, rng.integers(0, 256, (n, module.WIDEST))
+    matrix[:, 10:][np.arange(module.WIDEST) >= size[:, None]] = 0
+    low = rng.integers(-(2**63), 2**63 - 1, n)
+    high = np.maximum(low, module.LAST_KEY - rng.integers(0, 2, n))
+    blobs = [module._pack(base, matrix[a:b], low[a:b], high[a:b]) for base, a, b in ((1000, 0, 200), (0, 200, 201), (7, 201, n))]
+    found, *numbers, number, source = module._unpack(blobs)
+    assert (found[:, 10:] == matrix[:, 10:]).all() and (found[:, 8] == size).all() and (found[:, 9] == np.where(alone, 0, place)).all()
+    assert (numbers[0] == low).all() and (numbers[1] == high).all()
+    assert number.tolist() == [*range(1000, 1200), 0, *range(7, 7 + n - 201)] and np.bincount(source).tolist() == [200, 1, n - 201]
+    for i, key in enumerate(module._keys(found).tolist()):
+        part = PrefixHashes(matrix[i, 10:].copy())
+        assert key == int(part.every(module.LENGTH)[0] if alone[i] else module.spread(part.every(module.ANCHOR))[place[i]])
